@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_language_id": "language_id",
+    "op2_bpe": "bpe",
     "op10_quality_rules": "quality_rules",
 }
 
