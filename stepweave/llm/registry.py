@@ -7,6 +7,9 @@ from importlib import import_module
 _MODULES = {
     "op1_language_id": "language_id",
     "op2_bpe": "bpe",
+    "op7_html_text": "html_text",
+    "op6_sharding": "sharding",
+    "op9_mixing": "mixing",
     "op10_quality_rules": "quality_rules",
 }
 
