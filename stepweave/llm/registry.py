@@ -9,6 +9,7 @@ _MODULES = {
     "op2_bpe": "bpe",
     "op7_html_text": "html_text",
     "op6_sharding": "sharding",
+    "op8_fingerprints": "fingerprints",
     "op9_mixing": "mixing",
     "op10_quality_rules": "quality_rules",
 }
