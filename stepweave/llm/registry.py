@@ -8,6 +8,8 @@ _MODULES = {
     "op1_language_id": "language_id",
     "op2_bpe": "bpe",
     "op7_html_text": "html_text",
+    "op4_line_dedup": "line_dedup",
+    "op5_jaccard_join": "jaccard_join",
     "op6_sharding": "sharding",
     "op8_fingerprints": "fingerprints",
     "op9_mixing": "mixing",
