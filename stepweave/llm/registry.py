@@ -8,6 +8,7 @@ _MODULES = {
     "op1_language_id": "language_id",
     "op2_bpe": "bpe",
     "op7_html_text": "html_text",
+    "op3_substring_dedup": "substring_dedup",
     "op4_line_dedup": "line_dedup",
     "op5_jaccard_join": "jaccard_join",
     "op6_sharding": "sharding",
