@@ -1,0 +1 @@
+"""Stepweave: analytics over behaviour-driven test suites as Spark tables."""
