@@ -114,7 +114,7 @@ def route_like(route: Column, strict: bool = False) -> Column:
     """Whether a text looks like a route; strict: with an absolute form or a template after a slash."""
     r = F.coalesce(route, F.lit(""))
     xpath = F.regexp_replace(r, "://", "").rlike(r"/[A-Za-z_][\w.-]*:[A-Za-z]")
-    ok = (r != "") & ~r.rlike(r"\s") & r.contains("/") & ~r.startswith("//") & ~r.contains("(") & ~r.contains(")") & ~xpath
+    ok = (r != "") & ~r.rlike(r"\s") & r.contains("/") & ~r.startswith("//") & ~r.contains("()") & ~xpath
     return ok & (r.startswith("/") | r.contains("://") | r.contains("/{")) if strict else ok
 
 

@@ -14,6 +14,7 @@ from ..operators import binding as B
 from ..operators import classify as C
 from ..operators import graph as G
 from ..operators import search as S
+from ..operators import structural
 from .derived import PRELUDE, Facts, derived_map
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
@@ -158,7 +159,7 @@ def call_edges(spark, sf):
     return Facts(spark, sf).calls
 
 
-# Names of classes in upper case without their number stand for ambiguous base names.
+# Ids modulo a number stand for names that several classes share.
 @_query("""select a.id from_id, b.id to_id, case when count(*) over (partition by a.id) > 1 then 'ambiguous' else 'exact' end confidence
   from m_class a join m_class b on concat('Supplier', cast(a.id % 7 as varchar)) = concat('Supplier', cast(b.id % 60 as varchar)) and a.id <> b.id where a.base_id is not null""")
 def inherits_by_name(spark, sf):
@@ -167,10 +168,7 @@ def inherits_by_name(spark, sf):
     return structural.inherits(base, c.select("id", F.concat(F.lit("Supplier"), (F.col("id") % 60).cast("string")).alias("name")))
 
 
-@_query("""select u.method_id, b.id class_id, case when bool_or(n > 1) then 'ambiguous' else 'exact' end confidence from
-  (select u.method_id, t.id, count(*) over (partition by u.method_id, u.class_id) n from m_uses u join m_method m on m.id = u.method_id
-   join m_class t on t.id % 60 = u.class_id % 60 and t.kind in ('page_object', 'api_client') and t.id <> m.class_id) q(method_id, id, n)
-  join m_uses u on false right join m_class b on false where false""" if False else """
+@_query("""
   select method_id, id class_id, case when bool_or(n > 1) then 'ambiguous' else 'exact' end confidence from
   (select u.method_id, t.id, count(*) over (partition by u.method_id, u.name) n from (select distinct method_id, class_id % 60 name from m_uses) u join m_method m on m.id = u.method_id
    join m_class t on t.id % 60 = u.name and t.kind in ('page_object', 'api_client') and t.id <> m.class_id) q group by 1, 2""")
@@ -436,9 +434,9 @@ def salient_tokens(spark, sf):
 
 # scalar functions
 
-@_query("""select page_id, (url <> '' and not regexp_matches(url, '\\s') and contains(url, '/') and not starts_with(url, '//') and not contains(url, '(') and not contains(url, ')')
+@_query("""select page_id, (url <> '' and not regexp_matches(url, '\\s') and contains(url, '/') and not starts_with(url, '//') and not contains(url, '()')
   and not regexp_matches(replace(url, '://', ''), '/[A-Za-z_][\\w.-]*:[A-Za-z]')) relaxed,
-  (contains(url, '://') or starts_with(url, '/') or contains(url, '/{')) and contains(url, '/') and not regexp_matches(url, '\\s') and not contains(url, '(') and not contains(url, ')') and not starts_with(url, '//') and not regexp_matches(replace(url, '://', ''), '/[A-Za-z_][\\w.-]*:[A-Za-z]') strict from pages""", prelude=False)
+  (contains(url, '://') or starts_with(url, '/') or contains(url, '/{')) and contains(url, '/') and not regexp_matches(url, '\\s') and not contains(url, '()') and not starts_with(url, '//') and not regexp_matches(replace(url, '://', ''), '/[A-Za-z_][\\w.-]*:[A-Za-z]') strict from pages""", prelude=False)
 def route_like(spark, sf):
     p = Facts(spark, sf).read("pages")
     return p.select("page_id", X.route_like(F.col("url")).alias("relaxed"), X.route_like(F.col("url"), strict=True).alias("strict"))
@@ -497,8 +495,6 @@ FACTS = """select id, name, base_id, id % 5 = 2 and id % 10 = 2 steps, id % 7 =
 
 
 @_query(f""", fx as ({FACTS}), k0 as (select *, case when steps then 'step_class' when ui then 'page_object' when api then 'api_client' when test then 'test_class' else 'other' end kind from fx),
-  kx as (select id, base_id, kind, 0 pass from k0 union all select k.id, k.base_id, case when k.kind = 'other' or k.kind = 'test_class' and false then coalesce(case when b.kind in ('page_object', 'api_client') then b.kind end, 'other') else k.kind end, pass + 1
-    from kx k left join (select id, kind from k0) z on false left join (select id, kind from k0) b on b.id = k.base_id where pass < 0),
   ch as (select id, id top, 0 d from k0 union all select ch.id, k.base_id, d + 1 from ch join k0 k on k.id = ch.top where k.base_id is not null and d < 10 and (select kind from k0 where k0.id = ch.top) = 'other'),
   inh as (select ch.id, arg_min(k0.kind, d) kind from ch join k0 on k0.id = ch.top where k0.kind in ('page_object', 'api_client') group by 1)
   select k0.id, case when k0.kind = 'other' then coalesce(inh.kind, 'other') else k0.kind end kind from k0 left join inh using (id)""")
@@ -529,6 +525,3 @@ def logical_dump(spark, sf):
 @_query("""select cast(row_number() over (order by name, ptype, id desc) as bigint) id, name from m_method""")
 def id_assignment(spark, sf):
     return structural.numbered(Facts(spark, sf).method, [F.col("name"), F.col("ptype"), F.col("id").desc()]).select("id", "name")
-
-
-from ..operators import structural  # noqa: E402
