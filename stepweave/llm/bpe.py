@@ -50,7 +50,6 @@ class Merges:
     """A proper merge list over bytes: symbols, ranks and sufficient lookahead."""
 
     def __init__(self, symbols: dict[bytes, int], merges: list[tuple[bytes, bytes]]):
-        self.ids = symbols
         self.single = [symbols[bytes([b])] for b in range(256)]
         self.longest = max(map(len, symbols))
         self.ranks = {(symbols[a], symbols[b]): (k, symbols[a + b]) for k, (a, b) in enumerate(merges)}
@@ -60,8 +59,10 @@ class Merges:
         self.rights: dict[int, list] = {}
         self.lefts: dict[int, list] = {}
         self.bytes_of = {i: s for s, i in symbols.items()}
+        # A symbol that isn't the encoding of its own bytes occurs in no encoding.
+        self.ids = {s: i for s, i in symbols.items() if len(s) == 1 or self.by_rank(s) == [i]}
         tails: dict[bytes, set[int]] = {}
-        for s in symbols:
+        for s in self.ids:
             if len(s) > 2:
                 tails.setdefault(s[-3:], set()).add(len(s))
         #: Lengths of the symbols that end with three given bytes, longest first.
