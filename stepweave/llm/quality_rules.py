@@ -68,7 +68,9 @@ def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     covered = F.expr("aggregate(__at, struct(-9 as last, 0L as n), (a, i) -> struct(i as last, a.n + least(3, i - a.last) as n)).n")
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("__at")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return out.withColumn("base_failed", failed)
+    # A filter on the verdict must not be pushed below the statistics: it would inline their nested expressions many times
+    # over. It stops at a projection with a column that isn't deterministic, and `judge` uses that column.
+    return out.withColumn("base_failed", failed).withColumn("__barrier", F.monotonically_increasing_id())
 
 
 def _lines(text: str) -> Column:
@@ -115,8 +117,8 @@ def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str
     found = found.select(F.col("key").alias("__key"), F.col("total").alias("__total"), F.col("removed").alias("removed_words"), F.col("lines").alias("__common"))
     out = stats.join(found, F.col(key).eqNullSafe(F.col("__key")), "left")
     left = (F.col("__total") - F.col("removed_words")) >= min_left * F.col("__total")
-    kept = ~F.col("base_failed") & F.coalesce(left, F.lit(True))
-    return out.withColumn("kept", kept).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).drop("__key", "__total")
+    kept = ~F.col("base_failed") & (F.col("__barrier") >= 0) & F.coalesce(left, F.lit(True))
+    return out.withColumn("kept", kept).withColumn("removed_words", F.coalesce("removed_words", F.lit(0)).cast("long")).drop("__key", "__total", "__barrier")
 
 
 def without_common_lines(text: Column, common: Column) -> Column:
