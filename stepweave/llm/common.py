@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of two numbers (32 MB at most) that are broadcast to find their texts or lines; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def checked_broadcast(df: DataFrame) -> DataFrame:
+    """df, materialised, and broadcast if it has at most BROADCAST_ROWS rows. For rows of two numbers."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle and checkpoint files of frames that nothing refers to any more.
+
+    The cleaner learns of them when the driver's garbage is collected, which a long loop of small jobs seldom causes.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder under the session's checkpoint folder, which the driver and all executors share."""
     ensure_checkpoints(spark)

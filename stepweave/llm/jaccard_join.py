@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import cut, table
+from .common import checked_broadcast, cut, table
 from .graph import link_items, shared_items
 
 SHINGLE = 5
@@ -77,38 +77,71 @@ def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
         yield batch.slice(first)
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sig, n, values): 128 bits that stand for a text's shingle set, its size, its MinHash values as binary."""
+def _long(digests: list[int]) -> pa.Array:
+    return pa.array(np.array(digests, np.uint64).view(np.int64))
+
+
+def _signature(h: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[int]]:
+    """64-bit hashes of the shingle sets of texts, and their sizes."""
     import xxhash
 
+    sets = [np.unique(h[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], [len(s) for s in sets]
+
+
+def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sig, n): 64 bits that stand for a text's shingle set (m sets collide with odds of m^2 / 2^65), and its size."""
+
     def run(batches):
         for whole in batches:
             for batch in _slices(whole, 1):
-                h, at = shingles.shingle_sets(batch.column(1), SHINGLE)
-                values = minhash(h, at)
-                sets = [np.unique(h[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                sigs = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                rows = [batch.column(0), pa.array(sigs, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())]
-                yield pa.RecordBatch.from_arrays(rows, [key, "sig", "n", "values"])
+                sigs, sizes = _signature(*shingles.shingle_sets(batch.column(1), SHINGLE))
+                yield pa.RecordBatch.from_arrays([batch.column(0), _long(sigs), pa.array(sizes, pa.int64())], [key, "sig", "n"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, sig binary, n long, values binary")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, sig long, n long")
 
 
-def band_keys(classes: DataFrame) -> DataFrame:
-    """(bucket, item) for each band of each class (sig, values)."""
+def _keys(values: np.ndarray, bands: np.ndarray) -> np.ndarray:
+    """64-bit keys (texts x bands) of the MinHash values at the places that each row of `bands` lists."""
+    h = np.broadcast_to(np.arange(1, len(bands) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(values), len(bands))).copy()
+    for r in range(bands.shape[1]):
+        h = shingles.mix(h ^ values[:, bands[:, r]].astype(np.uint64))
+    return h
+
+
+_BANDS = np.arange(_VALUES).reshape(BANDS, ROWS)
+#: Keys of twice as many values, for items that are left after the rounds of pivots: at 0.8 a pair misses all with odds of 2e-8.
+_LAST = np.concatenate([np.random.default_rng(k).permutation(BANDS).reshape(-1, 2) for k in range(6)])
+_LAST = np.concatenate([_BANDS[_LAST[:, 0]], _BANDS[_LAST[:, 1]]], axis=1)
+
+
+def band_keys(texts: DataFrame, text: str, bands: np.ndarray = _BANDS) -> DataFrame:
+    """(bucket, item) for each band of each text; texts without shingles have none. Copies give the same rows."""
 
     def run(batches):
-        for batch in batches:
-            v = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, BANDS, ROWS).astype(np.uint64)
-            h = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), v.shape[:2]).copy()
-            for r in range(ROWS):
-                h = shingles.mix(h ^ v[:, :, r])
-            n = len(v)
-            sig = batch.column(0).take(pa.array(np.repeat(np.arange(n), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(h.reshape(-1).view(np.int64)), sig], ["bucket", "item"])
+        for whole in batches:
+            for batch in _slices(whole, 0):
+                h, at = shingles.shingle_sets(batch.column(0), SHINGLE)
+                full = np.flatnonzero(np.diff(at))
+                sigs, _ = _signature(h, at)
+                keys = _keys(minhash(h, at)[full], bands)
+                items = np.repeat(np.array(sigs, np.uint64)[full].view(np.int64), len(bands))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(items)], ["bucket", "item"])
 
-    return classes.select("sig", "values").mapInArrow(run, "bucket long, item binary")
+    return texts.select(text).mapInArrow(run, "bucket long, item long")
+
+
+def minhashes(texts: DataFrame) -> DataFrame:
+    """(sig, values) of (sig, text): MinHash values as binary."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in _slices(whole, 1):
+                v = minhash(*shingles.shingle_sets(batch.column(1), SHINGLE))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["sig", "values"])
+
+    return texts.select("sig", "text").mapInArrow(run, "sig long, values binary")
 
 
 def pruned(pairs: DataFrame, values: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -129,7 +162,7 @@ def pruned(pairs: DataFrame, values: DataFrame, threshold: float = THRESHOLD) ->
 
     left = values.select(F.col("sig").alias("u"), F.col("values").alias("a"))
     right = values.select(F.col("sig").alias("v"), F.col("values").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,7 +183,7 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
     left = texts.select(F.col("sig").alias("u"), F.col("text").alias("a"))
     right = texts.select(F.col("sig").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -160,14 +193,19 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     directly or in steps. Texts without words (nulls too) are one class without links. Rows may share a key.
     """
     signed = cut(signatures(docs, key, text))
-    classes = cut(signed.where("n > 0").groupBy("sig").agg(F.min("values").alias("values"), F.min(key).alias("least")))
-    items = shared_items(band_keys(classes))
+    classes = cut(signed.where("n > 0").groupBy("sig").agg(F.min(key).alias("least")))
+    items = shared_items(band_keys(docs, text)).withColumn("mark", F.lit(None).cast("long"))
     chosen = docs.select(F.col(key).alias("__k"), F.col(text).alias("text"))
-    linked = items.select(F.col("item").alias("sig")).distinct().join(classes.select("sig", "least"), "sig")
+    linked = items.select(F.col("item").alias("sig")).distinct().join(classes, "sig")
     texts = _texts_of(signed, linked, chosen, key)
-    links, groups = link_items(items, lambda pairs: verified(pruned(pairs, classes, threshold), texts, threshold))
+    values = cut(minhashes(texts))
+
+    def last(mixed: DataFrame) -> DataFrame:
+        return band_keys(texts.join(mixed, F.col("sig") == F.col("item"), "left_semi"), "text", _LAST)
+
+    links, groups = link_items(items, lambda pairs: verified(pruned(pairs, values, threshold), texts, threshold), last=last)
     degree = links.select(F.explode(F.array("u", "v")).alias("d_sig")).groupBy("d_sig").agg(F.count(F.lit(1)).alias("n_links"))
-    known = classes.select("sig", "least").join(groups, F.col("sig") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sig"))
+    known = classes.join(groups, F.col("sig") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sig"))
     tops = known.groupBy("component").agg(F.min("least").alias("group_id")).withColumnRenamed("component", "top")
     known = known.join(tops, F.col("component") == F.col("top")).join(degree, F.col("sig") == F.col("d_sig"), "left")
     empty = signed.where("n = 0").groupBy("sig").agg(F.min(key).alias("least")).select("sig", "least", F.col("least").alias("group_id"), F.lit(None).cast("long").alias("n_links"))
@@ -176,21 +214,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     return members, links
 
 
+def docs_key_is_number(df: DataFrame, key: str) -> bool:
+    return df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+
+
 def _texts_of(signed: DataFrame, linked: DataFrame, chosen: DataFrame, key: str) -> DataFrame:
     """(sig, text) of one row of each linked class; a row of another text with the same key is passed over."""
-    import xxhash
 
     def run(batches):
         for whole in batches:
             for batch in _slices(whole, 1):
-                h, at = shingles.shingle_sets(batch.column(1), SHINGLE)
-                own = [xxhash.xxh3_128_digest(np.unique(h[a:b]).tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield batch.filter(pa.array([s == o for s, o in zip(batch.column(0).to_pylist(), own, strict=True)]))
+                own, _ = _signature(*shingles.shingle_sets(batch.column(1), SHINGLE))
+                same = np.array(own, np.uint64).view(np.int64) == batch.column(0).to_numpy()
+                yield batch.filter(pa.array(same))
 
     least = linked.select(F.col("sig").alias("l_sig"), "least")
     named = signed.select(key, "sig").join(least, (F.col("sig") == F.col("l_sig")) & F.col(key).eqNullSafe(F.col("least"))).select("sig", key).distinct()
+    if docs_key_is_number(signed, key):
+        named = checked_broadcast(named)
     got = chosen.join(named, F.col("__k").eqNullSafe(F.col(key))).select("sig", "text")
-    return cut(got.mapInArrow(run, "sig binary, text string").dropDuplicates(["sig"]))
+    # Only rows that share a key and a text repeat here; the signature decides, whichever of them stays.
+    return cut(got.mapInArrow(run, "sig long, text string").dropDuplicates(["sig"]))
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
