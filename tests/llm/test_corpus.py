@@ -229,6 +229,34 @@ def test_lines_equal_brute_force(spark):
     assert links and got == {at: first[group[x]] for at, x in occ.items()}
 
 
+@pytest.mark.parametrize("few", [True, False], ids=["1-4 words", "5-30 words"])
+def test_query_lines_equal_brute_force_on_edit_similarity(spark, tmp_path, few):
+    rng = random.Random(7)
+    texts = []
+    for k in range(60):
+        w = words(rng.randint(1, 4) if few else rng.randint(5, 30), 1000 + k)
+        texts.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            if rng.random() < 0.5:
+                v[rng.randrange(len(v))] = "other"
+            line = list(" ".join(v))
+            for _ in range(rng.randint(0, max(1, len(line) // 20))):
+                line[rng.randrange(len(line))] = rng.choice("abcdefgh")
+            texts.append("".join(line))
+    docs_of(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["first_doc_id"] for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
+    norm = [" ".join(t.split()) for t in texts]
+    links = [(a, b) for b in range(len(norm)) for a in range(b) if edit_distance(norm[a], norm[b]) <= int(0.2 * max(len(norm[a]), len(norm[b])) + 1e-9)]
+    group = roots(len(norm), links)
+    assert len(links) > 60
+    if few:  # segments miss no pair
+        assert got == dict(enumerate(group))
+    else:  # MinHash may miss some at a similarity of about 0.8
+        assert all(group[got[k]] == group[k] for k in got)
+        assert sum(got[a] == got[b] for a, b in links) >= 0.98 * len(links)
+
+
 # op 5
 
 
