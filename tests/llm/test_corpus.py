@@ -155,6 +155,35 @@ def test_planted_passages_are_found(spark):
             assert r["start"] <= 202 and r["end"] >= 258 and r["end"] - r["start"] < 70
 
 
+def hashes(w):
+    import xxhash
+
+    return np.array([xxhash.xxh64_intdigest(x) for x in w], np.uint64)
+
+
+@pytest.mark.parametrize("first,gap,second", [(60, 30, 10), *[(52, n, 52) for n in (5, 15, 25, 28, 30)], (52, 30, 8), (10, 30, 60)])
+def test_passages_near_other_shared_words_are_found(first, gap, second):
+    p, q = words(first, 1, 10**6), words(second, 2, 10**6)
+    a, b = (words(80, s, 10**6) + p + words(gap, s + 1, 10**6) + q + words(80, s + 2, 10**6) for s in (10, 20))
+    got = substring_dedup.passages(hashes(a), hashes(b))
+    places = [(80, 80 + first)] * (first >= 50) + [(80 + first + gap, 80 + first + gap + second)] * (second >= 50)
+    for lo, hi in places:
+        assert any(s <= lo and hi <= e and t <= lo and hi <= f and share >= 0.8 for s, e, t, f, share in got)
+
+
+def test_passages_with_an_agreeing_core_and_many_short_phrases():
+    rng = random.Random(5)
+    for k in range(30):
+        core = [words(26, 100 + k, 10**6), words(26, 200 + k, 10**6)]
+        tail = [words(8, 300 + 10 * k + j, 10**6) for j in range(4)]
+        texts = []
+        for s in (1, 2):
+            other = lambda n, s=s: [f"o{s}x{rng.randrange(10**9)}" for _ in range(n)]
+            texts.append(other(60) + core[0] + other(12) + core[1] + [w for t in tail for w in other(11) + t] + other(60))
+        got = substring_dedup.passages(hashes(texts[0]), hashes(texts[1]))
+        assert any(s <= 60 and e >= 124 and share >= 0.8 for s, e, _, _, share in got)
+
+
 def test_chains_follow_both_texts():
     line = [(0, 0), (5, 5), (10, 10), (12, 90), (15, 15)]
     assert substring_dedup.chains(line)[0] == [(0, 0), (5, 5), (10, 10), (15, 15)]
