@@ -171,6 +171,23 @@ def test_passages_near_other_shared_words_are_found(first, gap, second):
         assert any(s <= lo and hi <= e and t <= lo and hi <= f and share >= 0.8 for s, e, t, f, share in got)
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_all_places_of_a_repeated_passage_are_found(turned):
+    passage, decoys = words(60, 3, 10**6), 12
+    once = words(100, 40, 10**6) + passage + words(100, 41, 10**6)
+    often = [w for k in range(decoys) for w in passage[:20] + words(40, 50 + k, 10**6) + passage[20:40] + words(40, 70 + k, 10**6)]
+    starts = []
+    for k in range(20):
+        starts.append(len(often))
+        often += passage + words(45, 90 + k, 10**6)
+    a, b = (often, once) if turned else (once, often)
+    got = substring_dedup.passages(hashes(a), hashes(b))
+    own = [(x[:2] if turned else x[2:4]) for x in got]
+    assert all(any(lo <= s and s + 60 <= hi for lo, hi in own) for s in starts)
+    same = np.array([7] * 3000, np.uint64)
+    assert substring_dedup.passages(same, same)
+
+
 def test_passages_with_an_agreeing_core_and_many_short_phrases():
     rng = random.Random(5)
     for k in range(30):
