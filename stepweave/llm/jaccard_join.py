@@ -5,8 +5,9 @@ the threshold of 0.8 a pair misses all 32 bands of 4 values with odds of 5e-8. A
 compared 16 at a time; as soon as the posterior probability that its similarity reaches the threshold falls below a
 tolerance, the pair is dropped. What is left is verified on the sets themselves.
 
-Classes are grouped by connected component. In each band bucket a pivot is compared with the rest, not all with
-all; after a few rounds of pivots, only classes of different components that share a bucket are compared in
+Links are all similar pairs of classes, of which each is compared once; a large bucket is dealt out in pairs of
+blocks. Classes are grouped by connected component. Where only the groups are wanted, as in the pipeline, a pivot of each
+band bucket is compared with the rest, not all with all; after a few rounds of pivots, only classes of different components that share a bucket are compared in
 full. So no two similar texts end in different groups for lack of a comparison, and a group of near copies costs
 rows in proportion to its size.
 """
@@ -23,13 +24,14 @@ from pyspark.sql import functions as F
 
 from . import shingles
 from .common import checked_broadcast, cut, table
-from .graph import link_items, shared_items
+from .graph import components, link_items, shared_items
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-4
+BLOCK = 256
 _VALUES = BANDS * ROWS
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -186,9 +188,27 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def all_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
+    """The pairs (u, v), u > v, of items (bucket, item) that share a bucket, once each.
+
+    The items of a bucket are dealt into blocks of about `block`, and each two blocks meet by themselves.
+    """
+    sizes = items.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    at = items.select("bucket", "item").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("item", F.lit("block")), F.col("blocks")).cast("int"))
+    at = at.select("bucket", "item", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
+    at = cut(at.select("bucket", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
+    a = at.where("own = low").select("bucket", "low", "high", F.col("item").alias("a"))
+    b = at.where("own = high").select("bucket", "low", "high", F.col("item").alias("b"))
+    met = a.join(b, ["bucket", "low", "high"]).where("low < high or a > b")
+    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, all_links: bool = True) -> tuple[DataFrame, DataFrame]:
     """(members, links): (key, sig, class_id, group_id, n_links) of each row, and the verified links (u, v) of signatures.
 
+    n_links is the number of other classes that are similar to the row's. Without all_links, links (and n_links) are only
+    those that the groups needed, whose number isn't quadratic in the size of a group.
+
     class_id is the least key of the rows with the same shingle set, group_id the least of all rows linked with it
     directly or in steps. Texts without words (nulls too) are one class without links. Rows may share a key.
     """
@@ -203,7 +223,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
     def last(mixed: DataFrame) -> DataFrame:
         return band_keys(texts.join(mixed, F.col("sig") == F.col("item"), "left_semi"), "text", _LAST)
 
-    links, groups = link_items(items, lambda pairs: verified(pruned(pairs, values, threshold), texts, threshold), last=last)
+    if all_links:
+        close = cut(pruned(cut(all_pairs(items)), values, threshold))
+        links = cut(verified(close, texts, threshold))
+        groups = cut(components(links))
+    else:
+        links, groups = link_items(items, lambda pairs: verified(pruned(pairs, values, threshold), texts, threshold), last=last)
     degree = links.select(F.explode(F.array("u", "v")).alias("d_sig")).groupBy("d_sig").agg(F.count(F.lit(1)).alias("n_links"))
     known = classes.join(groups, F.col("sig") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sig"))
     tops = known.groupBy("component").agg(F.min("least").alias("group_id")).withColumnRenamed("component", "top")
@@ -245,7 +270,7 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's near-duplicate stage: the row with the least doc_id of each group stays, once if it is repeated."""
-    members, _ = join(docs.select("doc_id", "text"))
+    members, _ = join(docs.select("doc_id", "text"), all_links=False)
     stays = members.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("__stays")).agg((F.count(F.lit(1)) > 1).alias("__again"))
     left = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays"))).drop("__stays")
     once, again = left.where("not __again"), left.where("__again").dropDuplicates(["doc_id"])

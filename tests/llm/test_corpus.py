@@ -332,6 +332,27 @@ def test_groups_equal_brute_force(spark):
         assert m < n
 
 
+def test_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join.all_pairs, "__defaults__", (16,))
+    rng = random.Random(16)
+    rows = []
+    for k in range(90):
+        w = words(300, 60 + k % 2, 3000)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(w)))
+    rows += [(200, rows[0][1]), (201, rows[1][1].upper()), (202, ""), (203, "a b")]
+    members, links = jaccard_join.join(docs_of(spark, rows))
+    got = {r["doc_id"]: r["n_links"] for r in members.collect()}
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) for w in (t.lower().split() for _, t in rows)]
+    close = {(a, b) for a in set(sets) for b in set(sets) if a != b and a & b and len(a & b) >= 0.8 * len(a | b)}
+    expected = Counter(a for a, _ in close)
+    assert got == {k: expected[s] for (k, _), s in zip(rows, sets, strict=True)}
+    assert links.count() == links.distinct().count() == len(close) // 2 > 1000
+    few, _ = jaccard_join.join(docs_of(spark, rows), all_links=False)
+    assert {(r["doc_id"], r["group_id"]) for r in few.collect()} == {(r["doc_id"], r["group_id"]) for r in members.collect()}
+
+
 def test_shingles_equal_plain_code():
     import pyarrow as pa
 
