@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule. Native: DataFrame functions only.
 
-SLOTS points of the van der Corput sequence fall on the line of cumulative targets; each belongs to the source
+2^m points, SLOTS at least and so many that the least target has BLOCKS blocks, of the van der Corput sequence fall on the line of cumulative targets; each belongs to the source
 whose stretch it hits, and the slots of a source are ranked in order. A source's documents lie shuffled on a line of
 words, run through at most twice; its slot of rank r takes the block of words [r B, (r + 1) B) of that line, where B
 is the same for all sources. So a source takes its line's first words up to its number of slots times B, within the
@@ -22,6 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LAPS = 2
 SLOTS = 1 << 16
+BLOCKS = 16
 CELLS = 1 << 12
 
 
@@ -71,6 +72,24 @@ def schedule(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     return hit.select("slot", "source", "at", (F.row_number().over(W.partitionBy("at").orderBy("slot")) - 1).alias("rank"))
 
 
+def shares(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """goals with slots (a power of two, `slots` at least), the block of words of a slot, and n_slots of each source.
+
+    The least positive target has BLOCKS blocks or more. The first 2^m points of the sequence are the multiples of 2^-m, so
+    those in a source's stretch are counted without listing them.
+    """
+    every, line = W.partitionBy(), W.orderBy("at")
+    total, least = F.sum("target").over(every), F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    out = goals.withColumn("__total", total)
+    out = out.withColumn("slots", F.greatest(F.lit(float(slots)), F.pow(F.lit(2.0), F.ceil(F.log2(BLOCKS * F.col("__total") / least)))))
+    out = out.withColumn("hi", F.sum("target").over(line) / F.nullif(F.col("__total"), F.lit(0.0)))
+    out = out.withColumn("lo", F.coalesce(F.lag("hi").over(line), F.lit(0.0)))
+    out = out.withColumn("hi", F.when(F.lead("at").over(line).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
+    n = F.ceil(F.col("hi") * F.col("slots")) - F.ceil(F.col("lo") * F.col("slots"))
+    out = out.withColumn("n_slots", F.when(F.col("target") > 0, n).otherwise(F.lit(0))).withColumn("block", F.col("__total") / F.col("slots"))
+    return out.drop("__total", "hi", "lo")
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, slots: int = SLOTS, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
     """key, size, source_size, target, taken, and __lap0, __lap1 (words taken of each lap), with the columns `keep`.
 
@@ -84,10 +103,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     cells = rows.groupBy("source", "__cell").agg(F.sum("size").alias("cell_size"))
     cells = cells.withColumn("cell_start", F.sum("cell_size").over(W.partitionBy("source").orderBy("__cell")) - F.col("cell_size"))
     goals = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share)
-    block = F.sum("target").over(W.partitionBy()) / F.lit(slots)
-    counted = schedule(goals, slots).groupBy("at").agg((F.max("rank") + 1).alias("n_slots")).withColumnRenamed("at", "s_at")
-    goals = goals.withColumn("block", block)
-    goals = goals.join(counted, F.col("at") == F.col("s_at"), "left")
+    goals = shares(goals, slots)
     goals = goals.withColumn("words", F.least(F.floor(F.coalesce("n_slots", F.lit(0)) * F.col("block") + 0.5).cast("long"), LAPS * F.col("source_size")))
     goals = goals.select(F.col("source").alias("g_source"), "source_size", "target", "words")
     known = cells.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("source").alias("c_source"), F.col("__cell").alias("c_cell"), "cell_start", "source_size", "target", "words")

@@ -463,6 +463,23 @@ def test_mix_is_near_its_targets(spark):
     assert again == {r["doc_id"]: r["taken"] for r in got}
 
 
+def test_small_sources_get_their_targets_beside_large_ones(spark):
+    sizes = [("a", 40_000_000), ("b", 300), ("c", 7), ("d", 90_000), ("e", 40), ("f", 1), (None, 2)]
+    goals = mixing.targets(spark.createDataFrame(sizes, "source string, source_size long"))
+    for r in mixing.shares(goals).collect():
+        assert r["n_slots"] > 0 and abs(r["n_slots"] * r["block"] - r["target"]) <= r["target"] / mixing.BLOCKS + 1e-6
+    rows = [(k, "w " * 100_000, "en", "a") for k in range(20)] + [(100, "one two", "en", "b"), (101, "x y z", "en", "c")]
+    got = {r["doc_id"]: (r["taken"], r["target"]) for r in mixing.mix(docs_of(spark, rows)).collect()}
+    assert all(abs(got[k][0] - got[k][1]) <= 1 for k in (100, 101)) and got[100][0] > 0
+    # the numbers of slots are those of the listed schedule
+    listed = {r["at"]: r["n"] for r in mixing.schedule(goals, 1 << 12).groupBy("at").agg(F.count(F.lit(1)).alias("n")).collect()}
+    hi = 0.0
+    total = sum(r["target"] for r in goals.collect())
+    for r in sorted(goals.collect(), key=lambda r: r["at"]):
+        lo, hi = hi, hi + r["target"] / total
+        assert abs(listed.get(r["at"], 0) - (hi - lo) * (1 << 12)) < 1 + 1e-6
+
+
 # op 10
 
 
