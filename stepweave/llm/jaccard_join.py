@@ -5,11 +5,16 @@ the threshold of 0.8 a pair misses all 32 bands of 4 values with odds of 5e-8. A
 compared 16 at a time; as soon as the posterior probability that its similarity reaches the threshold falls below a
 tolerance, the pair is dropped. What is left is verified on the sets themselves.
 
-Links are all similar pairs of classes, of which each is compared once; a large bucket is dealt out in pairs of
-blocks. Classes are grouped by connected component. Where only the groups are wanted, as in the pipeline, a pivot of each
-band bucket is compared with the rest, not all with all; after a few rounds of pivots, only classes of different components that share a bucket are compared in
-full. So no two similar texts end in different groups for lack of a comparison, and a group of near copies costs
-rows in proportion to its size.
+Classes that share a band are connected by the least class of the band's bucket; the components of these candidates
+hold every similar pair. A component is dealt out in blocks, and each two blocks meet in a task of their own, where the
+classes are compared all with all in arrays: what leaves the task is a count of links and a root for each class. So links are counted
+whole, while rows grow with the number of classes times that of the blocks, not with the square of a group. Classes are grouped by
+connected component of the links.
+
+Nulls, empty texts and texts of blanks are one class without links; texts of fewer words than a shingle have one shingle.
+Repeated rows and rows that share a key are members of their own, and ties go to the least key. An empty table gives no rows.
+Columns other than key and text aren't looked at, so their names may clash. Long texts are one row as any other; blocks are
+bounded by bytes, too.
 """
 
 from __future__ import annotations
@@ -23,15 +28,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import checked_broadcast, cut, table
-from .graph import components, link_items, shared_items
+from .common import checked_broadcast, cut, shared_folder, table
+from .graph import components, shared_items
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 32, 4
 STEP = 16
 TOLERANCE = 1e-4
-BLOCK = 256
+BLOCK = 512
+#: Bytes of text in a block.
+BLOCK_BYTES = 8 << 20
+#: Columns of the incidence matrix that are multiplied at a time.
+COLUMNS = 4096
 _VALUES = BANDS * ROWS
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -91,19 +100,6 @@ def _signature(h: np.ndarray, offsets: np.ndarray) -> tuple[list[int], list[int]
     return [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], [len(s) for s in sets]
 
 
-def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, sig, n): 64 bits that stand for a text's shingle set (m sets collide with odds of m^2 / 2^65), and its size."""
-
-    def run(batches):
-        for whole in batches:
-            for batch in _slices(whole, 1):
-                sigs, sizes = _signature(*shingles.shingle_sets(batch.column(1), SHINGLE))
-                yield pa.RecordBatch.from_arrays([batch.column(0), _long(sigs), pa.array(sizes, pa.int64())], [key, "sig", "n"])
-
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, sig long, n long")
-
-
 def _keys(values: np.ndarray, bands: np.ndarray) -> np.ndarray:
     """64-bit keys (texts x bands) of the MinHash values at the places that each row of `bands` lists."""
     h = np.broadcast_to(np.arange(1, len(bands) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15), (len(values), len(bands))).copy()
@@ -113,130 +109,154 @@ def _keys(values: np.ndarray, bands: np.ndarray) -> np.ndarray:
 
 
 _BANDS = np.arange(_VALUES).reshape(BANDS, ROWS)
-#: Keys of twice as many values, for items that are left after the rounds of pivots: at 0.8 a pair misses all with odds of 2e-8.
-_LAST = np.concatenate([np.random.default_rng(k).permutation(BANDS).reshape(-1, 2) for k in range(6)])
-_LAST = np.concatenate([_BANDS[_LAST[:, 0]], _BANDS[_LAST[:, 1]]], axis=1)
-
 
-def band_keys(texts: DataFrame, text: str, bands: np.ndarray = _BANDS) -> DataFrame:
-    """(bucket, item) for each band of each text; texts without shingles have none. Copies give the same rows."""
 
-    def run(batches):
-        for whole in batches:
-            for batch in _slices(whole, 0):
-                h, at = shingles.shingle_sets(batch.column(0), SHINGLE)
-                full = np.flatnonzero(np.diff(at))
-                sigs, _ = _signature(h, at)
-                keys = _keys(minhash(h, at)[full], bands)
-                items = np.repeat(np.array(sigs, np.uint64)[full].view(np.int64), len(bands))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(items)], ["bucket", "item"])
+def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, sig, n, values, bands) of each row, written once.
 
-    return texts.select(text).mapInArrow(run, "bucket long, item long")
-
-
-def minhashes(texts: DataFrame) -> DataFrame:
-    """(sig, values) of (sig, text): MinHash values as binary."""
+    sig: 64 bits that stand for a text's shingle set (m sets collide with odds of m^2 / 2^65); n: its size; values: the MinHash values as
+    binary; bands: a key for each band. A text without words has neither values nor bands.
+    """
 
     def run(batches):
         for whole in batches:
             for batch in _slices(whole, 1):
-                v = minhash(*shingles.shingle_sets(batch.column(1), SHINGLE))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary())], ["sig", "values"])
+                h, at = shingles.shingle_sets(batch.column(1), SHINGLE)
+                sigs, sizes = _signature(h, at)
+                v = minhash(h, at)
+                keys = _keys(v, _BANDS).view(np.int64)
+                values = pa.array([x.tobytes() if n else None for x, n in zip(v, sizes, strict=True)], pa.binary())
+                bands = pa.array([x if n else None for x, n in zip(keys, sizes, strict=True)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), _long(sigs), pa.array(sizes, pa.int64()), values, bands], [key, "sig", "n", "values", "bands"])
 
-    return texts.select("sig", "text").mapInArrow(run, "sig long, values binary")
-
-
-def pruned(pairs: DataFrame, values: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (u, v) that survive the comparison of their MinHash values."""
-    least = least_matches(threshold)
-
-    def run(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, _VALUES) for k in (2, 3))
-            alive = np.arange(len(a))
-            matches = np.zeros(len(a), np.int64)
-            for k, m in enumerate(least):
-                part = slice(k * STEP, (k + 1) * STEP)
-                matches[alive] += (a[alive, part] == b[alive, part]).sum(1)
-                alive = alive[matches[alive] >= m]
-            keep = pa.array(alive)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["u", "v"])
-
-    left = values.select(F.col("sig").alias("u"), F.col("values").alias("a"))
-    right = values.select(F.col("sig").alias("v"), F.col("values").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (u, v) of which the shingle sets have a Jaccard similarity of at least the threshold."""
-
-    def run(batches):
-        for whole in batches:
-            for batch in _slices(whole, 2):
-                (h, x), (g, y) = (shingles.shingle_sets(batch.column(k), SHINGLE) for k in (2, 3))
-                keep = []
-                for k in range(batch.num_rows):
-                    s, t = np.unique(h[x[k] : x[k + 1]]), np.unique(g[y[k] : y[k + 1]])
-                    both = len(np.intersect1d(s, t, assume_unique=True))
-                    if both and both >= threshold * (len(s) + len(t) - both) - 1e-9:
-                        keep.append(k)
-                keep = pa.array(keep, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["u", "v"])
-
-    left = texts.select(F.col("sig").alias("u"), F.col("text").alias("a"))
-    right = texts.select(F.col("sig").alias("v"), F.col("text").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    kind = docs.schema[key].dataType.simpleString()
+    path = f"{shared_folder(docs.sparkSession)}/features"
+    docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, sig long, n long, values binary, bands array<long>").write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def all_pairs(items: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The pairs (u, v), u > v, of items (bucket, item) that share a bucket, once each.
+    """items (component, item, text, ...) with (own, low, high): each two blocks of a component share a (low, high).
 
-    The items of a bucket are dealt into blocks of about `block`, and each two blocks meet by themselves.
+    A component has a block for each `block` items and each BLOCK_BYTES of text.
+    """
+    sizes = items.groupBy(F.col("component").alias("of")).agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum(F.octet_length("text")) / BLOCK_BYTES)).cast("int").alias("blocks"))
+    at = items.join(sizes, F.col("component") == F.col("of")).drop("of").withColumn("own", F.pmod(F.xxhash64("item", F.lit("block")), F.col("blocks")).cast("int"))
+    at = at.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return at.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
+
+
+def survivors(v: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs (i, j), i of a and j of b, that are left when the MinHash values v are compared STEP by STEP; i < j if a is b."""
+    least, out = least_matches(threshold), []
+    for s in range(0, len(a), 64):
+        own = a[s : s + 64]
+        matches = (v[own][:, None, :STEP] == v[b][None, :, :STEP]).sum(2, dtype=np.int64)
+        x, y = np.nonzero(matches >= least[0])
+        i, j, n = own[x], b[y], matches[x, y]
+        if a is b:
+            keep = i < j
+            i, j, n = i[keep], j[keep], n[keep]
+        for k in range(1, len(least)):
+            part = slice(k * STEP, (k + 1) * STEP)
+            n = n + (v[i, part] == v[j, part]).sum(1)
+            keep = n >= least[k]
+            i, j, n = i[keep], j[keep], n[keep]
+        out.append((i, j))
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def similar(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, threshold: float) -> np.ndarray:
+    """Which of the pairs (i, j) of sets have a Jaccard similarity of at least the threshold, by products of incidence matrices."""
+    rows = np.unique(np.concatenate([i, j]))
+    sizes = np.array([len(sets[r]) for r in rows])
+    _, code, times = np.unique(np.concatenate([sets[r] for r in rows]), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # a shingle of one text alone is in no intersection
+    own = np.repeat(np.arange(len(rows)), sizes)[times[code] > 1]
+    code = place[code[times[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    own, code = own[order], code[order]
+    x, y = np.searchsorted(rows, i), np.searchsorted(rows, j)
+    left, right = np.unique(x), np.unique(y)
+    both = np.zeros((len(left), len(right)), np.float64)
+    for first in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
+        lo, hi = np.searchsorted(code, [first, first + COLUMNS])
+        m = np.zeros((len(rows), COLUMNS), np.float32)
+        m[own[lo:hi], code[lo:hi] - first] = 1
+        both += m[left] @ m[right].T
+    n = both[np.searchsorted(left, x), np.searchsorted(right, y)]
+    return (n > 0) & (n >= threshold * (sizes[x] + sizes[y] - n) - 1e-9)
+
+
+def compared(blocks: DataFrame, threshold: float, listed: bool) -> DataFrame:
+    """(u, v, n) of all_pairs(): for each item with links in two blocks, the least item that they connect it with, and their number.
+
+    With `listed`, (u, v, 1) of each link instead, u > v.
     """
-    sizes = items.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    at = items.select("bucket", "item").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("item", F.lit("block")), F.col("blocks")).cast("int"))
-    at = at.select("bucket", "item", "own", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other"))
-    at = cut(at.select("bucket", "item", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")))
-    a = at.where("own = low").select("bucket", "low", "high", F.col("item").alias("a"))
-    b = at.where("own = high").select("bucket", "low", "high", F.col("item").alias("b"))
-    met = a.join(b, ["bucket", "low", "high"]).where("low < high or a > b")
-    return met.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("item")
+        own, items = table["own"].to_numpy(), table["item"].to_numpy()
+        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+        v = np.frombuffer(b"".join(table["values"].to_pylist()), np.uint32).reshape(-1, _VALUES)
+        a = np.flatnonzero(own == low)
+        i, j = survivors(v, a, a if low == high else np.flatnonzero(own == high), threshold)
+        links = (i, j)
+        if len(i):
+            h, at = shingles.shingle_sets(pa.concat_arrays(table["text"].chunks), SHINGLE)
+            used = set(i.tolist()) | set(j.tolist())
+            keep = similar([np.unique(h[at[k] : at[k + 1]]) if k in used else h[:0] for k in range(len(items))], i, j, threshold)
+            links = i[keep], j[keep]
+        if listed:
+            u, w = items[np.maximum(*links)], items[np.minimum(*links)]
+            return pa.table({"u": u, "v": w, "n": np.ones(len(u), np.int64)})
+        n = np.bincount(np.concatenate(links), minlength=len(items))
+        root = np.arange(len(items))
+        while len(links[0]):
+            least = np.minimum(root[links[0]], root[links[1]])
+            new = root.copy()
+            np.minimum.at(new, links[0], least)
+            np.minimum.at(new, links[1], least)
+            new = new[new]
+            if (new == root).all():
+                break
+            root = new
+        at = np.flatnonzero(n)
+        return pa.table({"u": items[at], "v": items[root[at]], "n": n[at]})
+
+    return blocks.select("component", "low", "high", "own", "item", "values", "text").groupBy("component", "low", "high").applyInArrow(run, "u long, v long, n long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, all_links: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(members, links): (key, sig, class_id, group_id, n_links) of each row, and the verified links (u, v) of signatures.
+    """(members, links): (key, sig, class_id, group_id, n_links) of each row, and links (u, v) of signatures, u > v.
 
-    n_links is the number of other classes that are similar to the row's. Without all_links, links (and n_links) are only
-    those that the groups needed, whose number isn't quadratic in the size of a group.
+    n_links is the number of other classes that are similar to the row's. links are all similar pairs; without all_links only
+    enough of them to connect the groups, by which no row is made for each pair.
 
     class_id is the least key of the rows with the same shingle set, group_id the least of all rows linked with it
     directly or in steps. Texts without words (nulls too) are one class without links. Rows may share a key.
     """
-    signed = cut(signatures(docs, key, text))
+    known = features(docs, key, text)
+    signed = known.select(key, "sig", "n")
     classes = cut(signed.where("n > 0").groupBy("sig").agg(F.min(key).alias("least")))
-    items = shared_items(band_keys(docs, text)).withColumn("mark", F.lit(None).cast("long"))
+    items = shared_items(known.where("n > 0").select(F.explode("bands").alias("bucket"), F.col("sig").alias("item")))
+    near = cut(components(items.where("item <> lo").select(F.col("item").alias("u"), F.col("lo").alias("v")).distinct()))
     chosen = docs.select(F.col(key).alias("__k"), F.col(text).alias("text"))
-    linked = items.select(F.col("item").alias("sig")).distinct().join(classes, "sig")
-    texts = _texts_of(signed, linked, chosen, key)
-    values = cut(minhashes(texts))
-
-    def last(mixed: DataFrame) -> DataFrame:
-        return band_keys(texts.join(mixed, F.col("sig") == F.col("item"), "left_semi"), "text", _LAST)
-
-    if all_links:
-        close = cut(pruned(cut(all_pairs(items)), values, threshold))
-        links = cut(verified(close, texts, threshold))
-        groups = cut(components(links))
-    else:
-        links, groups = link_items(items, lambda pairs: verified(pruned(pairs, values, threshold), texts, threshold), last=last)
-    degree = links.select(F.explode(F.array("u", "v")).alias("d_sig")).groupBy("d_sig").agg(F.count(F.lit(1)).alias("n_links"))
-    known = classes.join(groups, F.col("sig") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sig"))
-    tops = known.groupBy("component").agg(F.min("least").alias("group_id")).withColumnRenamed("component", "top")
-    known = known.join(tops, F.col("component") == F.col("top")).join(degree, F.col("sig") == F.col("d_sig"), "left")
+    linked = near.select(F.col("node").alias("sig")).join(classes, "sig")
+    values = known.select("sig", "values").join(near, F.col("sig") == F.col("node")).groupBy("sig", "component").agg(F.first("values").alias("values"))
+    texts = _texts_of(signed, linked, chosen, key).withColumnRenamed("sig", "item")
+    met = all_pairs(cut(values.join(texts, F.col("sig") == F.col("item")).select("component", "item", "values", "text")))
+    links = cut(compared(met, threshold, all_links))
+    groups = cut(components(links.select("u", "v")))
+    ends = F.array("u", "v") if all_links else F.array("u")
+    degree = links.select(F.explode(ends).alias("d_sig"), "n").groupBy("d_sig").agg(F.sum("n").alias("n_links"))
+    named = classes.join(groups, F.col("sig") == F.col("node"), "left").withColumn("component", F.coalesce("component", "sig"))
+    tops = named.groupBy("component").agg(F.min("least").alias("group_id")).withColumnRenamed("component", "top")
+    named = named.join(tops, F.col("component") == F.col("top")).join(degree, F.col("sig") == F.col("d_sig"), "left")
     empty = signed.where("n = 0").groupBy("sig").agg(F.min(key).alias("least")).select("sig", "least", F.col("least").alias("group_id"), F.lit(None).cast("long").alias("n_links"))
-    known = known.select("sig", "least", "group_id", "n_links").unionByName(empty).withColumnRenamed("sig", "k_sig")
-    members = signed.select(key, "sig").join(known, F.col("sig") == F.col("k_sig")).select(key, "sig", F.col("least").alias("class_id"), "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return members, links
+    named = named.select("sig", "least", "group_id", "n_links").unionByName(empty).withColumnRenamed("sig", "k_sig")
+    members = signed.select(key, "sig").join(named, F.col("sig") == F.col("k_sig")).select(key, "sig", F.col("least").alias("class_id"), "group_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return members, links.where("u <> v").select("u", "v")
 
 
 def docs_key_is_number(df: DataFrame, key: str) -> bool:
@@ -264,7 +284,7 @@ def _texts_of(signed: DataFrame, linked: DataFrame, chosen: DataFrame, key: str)
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    members, _ = join(docs)
+    members, _ = join(docs, all_links=False)
     return members.select("doc_id", "class_id", "group_id", "n_links")
 
 
