@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -154,20 +156,33 @@ def quoted_project(message: Column) -> Column:
     return F.when(F.lower(q).endswith(".csproj"), q)
 
 
+def unmarked(text: str) -> str:
+    """A text without diacritics: each character less the marks that its canonical decomposition has."""
+    return "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+
+
+@lru_cache(maxsize=1)
+def _marked() -> tuple[str, str]:
+    """Letters that carry marks and the letters below them, then the marks alone, for translate()."""
+    letters = [(chr(c), unmarked(chr(c))) for c in range(0xC0, 0x2000) if unicodedata.category(chr(c))[0] == "L"]
+    letters = [(c, x) for c, x in letters if x != c and len(x) == 1]
+    return "".join(c for c, _ in letters) + "".join(map(chr, range(0x300, 0x370))), "".join(x for _, x in letters)
+
+
 def search_phrases(query: str) -> list[str]:
     """A query's words as phrases of adjacent tokens; words without a letter or digit are dropped."""
     out = []
     for word in (query or "").split():
         word = word.replace('"', " ").strip()
-        tokens = re.findall(r"[^\W_]+", word.lower())
+        tokens = re.findall(r"[^\W_]+", unmarked(word.lower()))
         if tokens:
             out.append(" ".join(tokens))
     return out
 
 
 def folded(text: Column) -> Column:
-    """A text as blank-separated lower-case tokens of letters and digits with a blank at both ends."""
-    t = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\p{Co}]+", " "))
+    """A text as blank-separated lower-case tokens of letters and digits, less diacritics, with a blank at both ends."""
+    t = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), *_marked()), r"[^\p{L}\p{N}\p{Co}]+", " "))
     return F.concat(F.lit(" "), t, F.lit(" "))
 
 

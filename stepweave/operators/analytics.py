@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..schema import COLLABORATORS
 from ..testmap import TestMap
+from . import structural
 
 
 def entity_counts(m: TestMap) -> DataFrame:
@@ -50,7 +51,7 @@ def endpoint_split(endpoints: DataFrame, calls: DataFrame) -> DataFrame:
 
 def deduplicated_endpoints(calls: DataFrame) -> DataFrame:
     """(id, verb, route) of the distinct (verb, route) of calls, numbered by route and verb."""
-    return calls.select("verb", "route").distinct().withColumn("id", F.row_number().over(W.orderBy("route", "verb")).cast("long")).select("id", "verb", "route")
+    return structural.numbered(calls.select("verb", "route").distinct(), ["route", "verb"]).select("id", "verb", "route")
 
 
 def call_edges(calls: DataFrame, endpoints: DataFrame) -> DataFrame:
@@ -203,7 +204,21 @@ def logical_dump(df: DataFrame, *order: str) -> DataFrame:
 
 
 def input_hash(files: DataFrame) -> DataFrame:
-    """SHA-256 over the files (path, content) in order of path, each as path and content with a zero after both."""
-    each = F.array_sort(F.collect_list(F.struct("path", "content")))
-    text = F.array_join(F.transform(each, lambda x: F.concat(x["path"], F.lit("\0"), x["content"], F.lit("\0"))), "")
-    return files.agg(F.sha2(text.cast("binary"), 256).alias("input_hash"))
+    """SHA-256 over the files (path, content) in order of path, each as path and content with a zero after both.
+
+    A hash over an order is one stream by nature: the rows are sorted, with spill, and pass through one state; none are held.
+    """
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        state = hashlib.sha256()
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1), strict=True):
+                if path.is_valid and content.is_valid:
+                    state.update(f"{path.as_py()}\0{content.as_py()}\0".encode())
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], ["input_hash"])
+
+    return files.select("path", "content").repartition(1).sortWithinPartitions("path", "content").mapInArrow(run, "input_hash string")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expressions import DIALECT, pattern_of
+from .storage import cut
 
 #: Lengths of the literal prefixes on which patterns are joined.
 PREFIXES = (32, 16, 8, 4, 2, 1)
@@ -56,7 +57,9 @@ def _prefix(pattern: Column) -> Column:
 def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(text, pattern) of all pairs of distinct texts and distinct patterns where the pattern is found in the text."""
     texts = texts.select("text").where(F.col("text").isNotNull()).distinct()
-    p = patterns.select("pattern").distinct().withColumn("literal", _literal(F.col("pattern"))).withColumn("prefix", _prefix(F.col("pattern")))
+    # The patterns, a row for each, are made once: else what makes them is compiled into every comparison with a text.
+    p = cut(patterns.select("pattern").distinct())
+    p = cut(p.select("pattern", _literal(F.col("pattern")).alias("literal"), _prefix(F.col("pattern")).alias("prefix")))
     plain = texts.join(p.where("literal is not null"), F.col("text") == F.col("literal")).select("text", "pattern")
     level = F.coalesce(*[F.when(F.length("prefix") >= n, F.lit(n)) for n in PREFIXES], F.lit(0))
     rest = p.where("literal is null").withColumn("level", level).withColumn("head", F.expr("left(prefix, level)"))

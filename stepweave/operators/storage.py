@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, materialised in the session's checkpoint folder; a session without one gets a folder of its own."""
+    """df, materialised in the session's checkpoint folder. A local session without one gets a folder of its own; on a cluster,
+    where executors could not see such a folder, that is an error."""
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepweave-"))
     return df.checkpoint(eager=True)

@@ -9,6 +9,7 @@ import datetime
 import json
 import os
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -215,8 +216,14 @@ def _diagnostics(spark: SparkSession, features: DataFrame, projects: DataFrame,
 
 
 def stale_files(spark: SparkSession, root: str, generated_utc: str, limit: int = 10) -> DataFrame:
-    """The newest authored sources and features changed after a map was made; generated files and obj, bin are left out."""
+    """The newest authored sources and features changed after a map was made.
+
+    Generated files, obj, bin and folders that have a solution of their own are left out.
+    """
     found = files(spark, root, "*.cs").unionByName(files(spark, root, "*.feature")).where(~is_generated(F.col("path")))
     # Endings of generated sources.
-    written = ~F.lower("path").rlike(r"\.(feature\.cs|designer\.cs|g\.cs|g\.i\.cs|assemblyinfo\.cs)$")
+    made = (".feature.cs", ".g.cs", ".designer.cs", ".generated.cs", ".assemblyattributes.cs")
+    written = ~reduce(lambda a, b: a | b, [F.lower("path").endswith(x) for x in made])
+    nested = files(spark, root, "*.sln").where(F.contains("path", F.lit("/"))).select(F.regexp_replace("path", "[^/]+$", "").alias("below")).distinct()
+    found = found.join(F.broadcast(nested), F.startswith("path", "below"), "left_anti")
     return found.where(written & (F.col("modified") > F.to_timestamp(F.lit(generated_utc)))).orderBy(F.desc("modified"), "path").limit(limit).select("path", "modified")

@@ -18,12 +18,12 @@ def small_map(spark):
     """A page object and its base, used by one step; another step uses nothing."""
     place = {"file_path": "f", "line_start": 1, "line_end": 2, "project_id": 1}
     t = {n: empty(spark, n) for n in TABLES}
-    t["classes"] = frame(spark, "classes", [{"id": i, "name": n, "namespace": "", "kind": k, **place} for i, n, k in [(1, "Steps", "step_class"), (2, "LoginPage", "page_object"), (3, "BasePage", "page_object")]])
-    t["methods"] = frame(spark, "methods", [{"id": i, "class_id": c, "name": n, "signature": n, "visibility": "public", "kind": "other", **place} for i, c, n in [(1, 1, "SignIn"), (2, 1, "Other"), (5, 2, "Open")]])
-    t["step_definitions"] = frame(spark, "step_definitions", [{"id": i, "method_id": i, "class_id": 1, "keyword": "Given", "expression": e, "expression_kind": "regex", **place} for i, e in [(1, "user signs in"), (2, "user does other")]])
+    t["classes"] = frame(spark, "classes", [{"id": i, "name": n, "namespace": "", "kind": k, **place} for i, n, k in [(1, "Steps", "step_class"), (2, "TicketPage", "page_object"), (3, "BasePage", "page_object")]])
+    t["methods"] = frame(spark, "methods", [{"id": i, "class_id": c, "name": n, "signature": n, "visibility": "public", "kind": "other", **place} for i, c, n in [(1, 1, "Buy"), (2, 1, "Other"), (5, 2, "Open")]])
+    t["step_definitions"] = frame(spark, "step_definitions", [{"id": i, "method_id": i, "class_id": 1, "keyword": "Given", "expression": e, "expression_kind": "regex", **place} for i, e in [(1, "rider buys a ticket"), (2, "rider walks on")]])
     t["features"] = frame(spark, "features", [{"id": 1, "project_id": 1, "name": "Login", "file_path": "f"}])
-    t["scenarios"] = frame(spark, "scenarios", [{"id": i, "feature_id": 1, "name": n, "kind": "scenario", "example_row_count": 0, **place} for i, n in [(1, "Sign in scenario"), (2, "Other scenario")]])
-    t["scenario_steps"] = frame(spark, "scenario_steps", [{"id": i, "scenario_id": i, "keyword": "Given", "text": x, "ordinal": 0, "has_docstring": False, "has_table": False, **place} for i, x in [(1, "user signs in"), (2, "user does other")]])
+    t["scenarios"] = frame(spark, "scenarios", [{"id": i, "feature_id": 1, "name": n, "kind": "scenario", "example_row_count": 0, **place} for i, n in [(1, "Buying"), (2, "Walking")]])
+    t["scenario_steps"] = frame(spark, "scenario_steps", [{"id": i, "scenario_id": i, "keyword": "Given", "text": x, "ordinal": 0, "has_docstring": False, "has_table": False, **place} for i, x in [(1, "rider buys a ticket"), (2, "rider walks on")]])
     t["endpoints"] = frame(spark, "endpoints", [{"id": 10, "verb": "GET", "route": "/a"}, {"id": 11, "verb": "GET", "route": "/b"}])
     e = [("scenario_step", 1, "step_definition", 1, "binds_to"), ("scenario_step", 2, "step_definition", 2, "binds_to"), ("method", 1, "class", 2, "uses_type"), ("class", 2, "class", 3, "inherits"), ("method", 1, "endpoint", 10, "calls_endpoint"), ("method", 5, "endpoint", 11, "calls_endpoint")]
     t["edges"] = spark.createDataFrame([(*x, "exact") for x in e], TABLES["edges"])
@@ -33,11 +33,11 @@ def small_map(spark):
 def test_impact_targets(spark):
     m = small_map(spark)
     reached = lambda *a: {r["scenario_id"] for r in G.impact(m, *a).scenarios.collect()}
-    assert reached("class", "loginpage") == {1}
+    assert reached("class", "ticketpage") == {1}
     assert reached("class", "BasePage") == {1}
     assert reached("class", "Nope") == set()
     assert reached("method", "Other") == {2}
-    assert reached("step", "SIGNS in") == {1}
+    assert reached("step", "BUYS a") == {1}
     assert reached("endpoint", "/a") == {1} and reached("endpoint", "/b") == {1}
     assert G.impact(m, "class", "Nope").summary.first()["found"] is False
     ranked = {r["endpoint_id"]: (r["call_sites"], r["scenarios"]) for r in G.endpoint_ranking(m).collect()}
@@ -55,22 +55,22 @@ def test_closures_agree_on_cycles(spark, monkeypatch):
 def test_scalar_functions(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     lit = F.lit
-    assert [one(X.inferred_verb(lit(n))) for n in ("GetUserRequest", "CreateOrder", "Getter", "Patch", "Thing")] == ["GET", "POST", "ANY", "PATCH", "ANY"]
-    assert one(X.route_like(lit("/soapenv:Envelope/x"))) is False and one(X.route_like(lit("a/b"))) is True and one(X.route_like(lit("a/b"), strict=True)) is False
+    assert [one(X.inferred_verb(lit(n))) for n in ("GetBerthRequest", "CreateBerth", "Getter", "Patch", "Thing")] == ["GET", "POST", "ANY", "PATCH", "ANY"]
+    assert one(X.route_like(lit("/p:Letter/x"))) is False and one(X.route_like(lit("a/b"))) is True and one(X.route_like(lit("a/b"), strict=True)) is False
     assert [one(X.expression_kind(lit(e), lit("regex"))) for e in ("a {int}", "a.*", "plain")] == ["cucumber_expression", "regex", "regex"]
-    p = one(X.placeholders(lit("the (Auto|Allianz|AllianzVoe) (.*) (?:x)"), lit("regex")))
-    assert [(r["kind"], r["type"], r["pattern"]) for r in p] == [("enum", "Auto|Allianz|AllianzVoe", None), ("free", None, "(.*)"), ("free", None, "(x)")]
+    p = one(X.placeholders(lit("the (Rail|Road|RoadToll) (.*) (?:x)"), lit("regex")))
+    assert [(r["kind"], r["type"], r["pattern"]) for r in p] == [("enum", "Rail|Road|RoadToll", None), ("free", None, "(.*)"), ("free", None, "(x)")]
     assert [r["type"] for r in one(X.placeholders(lit("{int} of {}"), lit("cucumber_expression")))] == ["int", "any"]
     hit = lambda n, inc, exc: one(X.glob_filter(lit(n), lit("src/" + n), inc, exc))
     assert hit("Web.Tests", ["*.tests"], []) and hit("Web.Tests", ["src/*"], []) and not hit("Web.Tests", ["src"], []) and not hit("Web.Tests", [], ["web*"])
-    assert X.search_phrases('GDV2013-NT015 --- "" Élan') == ["gdv2013 nt015", "élan"]
+    assert X.search_phrases('RX77-Q4 --- "" Élan') == ["rx77 q4", "elan"]
     assert (X.clamp_limit(None, 50), X.clamp_limit(0, 50), X.clamp_limit(999, 50)) == (50, 1, 200)
 
 
 def test_search_needs_a_phrase_in_one_column(spark):
-    df = spark.createDataFrame([(1, "GDV2013-NT015 ok", ""), (2, "gdv2013", "nt015"), (3, "ok", "GDV2013 NT015")], "id int, a string, b string")
+    df = spark.createDataFrame([(1, "RX77-Q4 ok", ""), (2, "rx77", "q4"), (3, "ok", "RX77 Q4")], "id int, a string, b string")
     found = lambda q: {r["id"] for r in S.search(df, ["a", "b"], q).collect()}
-    assert found("GDV2013-NT015") == {1, 3} and found("gdv2013 nt015") == {1, 2, 3} and found('--- ""') == set() and found("ok gdv2013") == {1, 3}
+    assert found("RX77-Q4") == {1, 3} and found("rx77 q4") == {1, 2, 3} and found('--- ""') == set() and found("ok rx77") == {1, 3}
 
 
 def facts(spark, *rows):
@@ -84,16 +84,16 @@ def test_classification_reaches_a_fixpoint(spark):
     rows = [
         {"name": "Steps", "step_method_count": 1, "ui_referencing_members": 1},
         {"name": "BasePage", "ui_referencing_members": 1},
-        {"name": "LoginPage", "base_type_name": "BasePage"},
-        {"name": "AdminPage", "base_type_name": "LoginPage"},
+        {"name": "TicketPage", "base_type_name": "BasePage"},
+        {"name": "RefundPage", "base_type_name": "TicketPage"},
         {"name": "BaseRequest", "holds_or_constructs_api_marker": True},
-        {"name": "OrderService", "constructed_type_names": ["BaseRequest"]},
-        {"name": "PricingUtilities", "constructed_type_names": ["BaseRequest"]},
+        {"name": "BerthService", "constructed_type_names": ["BaseRequest"]},
+        {"name": "FareMath", "constructed_type_names": ["BaseRequest"]},
         {"name": "UiHelper", "is_static": True, "ui_referencing_members": 1},
         {"name": "T", "test_method_count": 1}, {"name": "H", "hook_method_count": 1},
     ]
     got = {r["name"]: r["kind"] for r in C.classify(facts(spark, *rows)).collect()}
-    assert got == {"Steps": "step_class", "BasePage": "page_object", "LoginPage": "page_object", "AdminPage": "page_object", "BaseRequest": "api_client", "OrderService": "api_client", "PricingUtilities": "other", "UiHelper": "other", "T": "test_class", "H": "hook_class"}
+    assert got == {"Steps": "step_class", "BasePage": "page_object", "TicketPage": "page_object", "RefundPage": "page_object", "BaseRequest": "api_client", "BerthService": "api_client", "FareMath": "other", "UiHelper": "other", "T": "test_class", "H": "hook_class"}
 
 
 def test_diagnostics(spark):
