@@ -4,31 +4,27 @@ from stepweave.functions.expressions import anchored, cucumber_pattern, pattern_
 from stepweave.operators import binding as B
 
 R, C = "regex", "cucumber_expression"
+#: What each kind of placeholder takes and leaves: (expression, kind, [(text, captures or None)]).
+TAKES = [
+    ("train {int} leaves", C, [("train 17 leaves", ["17"]), ("train -4 leaves", ["-4"]), ("train ten leaves", None)]),
+    ("the fare is {float} euro(s)", C, [("the fare is 2.75 euro", ["2.75"]), ("the fare is 12.5 euros", ["12.5"])]),
+    ("platform {word} opens/closes", C, [("platform north opens", ["north"]), ("platform north closes", ["north"]), ("platform north floods", None), ("platform far north opens", None)]),
+    ("the sign reads {string}", C, [('the sign reads "Mind the gap"', ['"Mind the gap"']), ("the sign reads 'Exit'", ["'Exit'"])]),
+    ("announce {}", C, [("announce a delay of two hours", ["a delay of two hours"])]),
+    (r"dial 1\/2 \{sic} \(now)", C, [("dial 1/2 {sic} (now)", []), ("dial 1 {sic} (now)", None)]),
+    (r"coach (\d+), seat ([A-F])", R, [("coach 9, seat C", ["9", "C"]), ("coach nine, seat C", None)]),
+    ("^the doors (?:shut|lock)$", R, [("the doors lock", []), ("the doors lock up", None)]),
+    ("whistle", R, [("whistle", []), ("whistle twice", None), ("a whistle", None)]),
+    ("grey|gray", R, [("grey", [])]),
+    ("toot(oot)*", R, [("toot", []), ("toototoot", None)]),
+]
 # (text, [(kind, expression, name)], confidence, names, captures)
-CASES = [
-    ("a user named Alice", [(R, "a user named (.*)", "named")], "exact", ["named"], ["Alice"]),
-    ("do the thing", [(R, "do the thing", "step")], "exact", ["step"], []),
-    ("log in now", [(R, "log in", "li")], "unbound", [], None),
-    ("log in", [(R, "^log in$", "li")], "exact", ["li"], []),
-    ("user Bob aged 30", [(R, r"user (.*) aged (\d+)", "ua")], "exact", ["ua"], ["Bob", "30"]),
-    ("a cart with 3 items", [(C, "a cart with {int} item(s)", "cart")], "exact", ["cart"], ["3"]),
-    ("a cart with 1 item", [(C, "a cart with {int} item(s)", "cart")], "exact", ["cart"], ["1"]),
-    ('the order "ORD-1" is placed', [(C, "the order {string} is placed", "ord")], "exact", ["ord"], ['"ORD-1"']),
-    ("color is red", [(C, "color is {word}", "word")], "exact", ["word"], ["red"]),
-    ("price is 3.50", [(C, "price is {float}", "flt")], "exact", ["flt"], ["3.50"]),
-    ("say hello", [(C, "say {}", "anon")], "exact", ["anon"], ["hello"]),
-    ("I click ok", [(C, "I click ok/cancel", "alt")], "exact", ["alt"], []),
-    ("I click cancel", [(C, "I click ok/cancel", "alt")], "exact", ["alt"], []),
-    ("I click maybe", [(C, "I click ok/cancel", "alt")], "unbound", [], None),
-    ("totally different", [(C, "a cart with {int} items", "cart")], "unbound", [], None),
-    ("the system is ready", [(R, "the system is ready", "exact"), (R, "the system is (.*)", "pattern")], "ambiguous", ["exact", "pattern"], None),
-    ("reset", [(R, "reset", "given"), (R, "reset", "when")], "ambiguous", ["given", "when"], None),
-    ("anything", [], "unbound", [], None),
-    ("x", [(R, "([unclosed", "bad")], "unbound", [], None),
-    ("log in now", [(R, "log in|log out", "either")], "exact", ["either"], []),
-    ("a/b {c} (d)", [(C, r"a\/b \{c} \(d)", "escaped")], "exact", ["escaped"], []),
-    ("aaa", [(R, "a*", "star")], "exact", ["star"], []),
-    ("colour", [(R, "colou?r", "optional")], "exact", ["optional"], []),
+CASES = [(text, [(kind, e, "one")], "unbound" if got is None else "exact", [] if got is None else ["one"], got if got else None) for e, kind, texts in TAKES for text, got in texts]
+CASES += [
+    ("the guard waves", [(R, "the (guard|driver) waves", "who"), (C, "the guard {word}", "does")], "ambiguous", ["who", "does"], None),
+    ("all aboard", [(R, "all aboard", "first"), (R, "all aboard", "again"), (C, "all ashore", "ship")], "ambiguous", ["first", "again"], None),
+    ("all aboard", [(R, "all (aboard", "broken"), (R, "all aboard", "whole")], "exact", ["whole"], []),
+    ("nothing fits", [], "unbound", [], None),
 ]
 
 
@@ -57,9 +53,9 @@ def test_case(bound, k):
 
 
 def test_patterns():
-    assert anchored("a") == "^a$" and anchored("^a$") == "^a$" and anchored(r"cost \$") == r"^cost \$"
-    assert cucumber_pattern("I click ok/cancel") == r"^I click (?:ok|cancel)$"
-    assert pattern_of("{unclosed", C) == r"^\{unclosed$"
+    assert anchored("b+") == "^b+$" and anchored("^b+$") == "^b+$" and anchored(r"fare \$") == r"^fare \$"
+    assert cucumber_pattern("doors open/shut fast") == r"^doors (?:open|shut) fast$"
+    assert pattern_of("{half", C) == r"^\{half$"
 
 
 def test_prefix_join_equals_nested_loop(spark):

@@ -143,23 +143,29 @@ def test_sqlite_import_of_an_older_map(spark, tmp_path):
     assert m.projects.first()["name"] == "P" and m.endpoints.first()["path"] is None and m.features.count() == 0
 
 
-ROUTES = [
-    ('_http.GetAsync("/api/orders");', [("GET", "/api/orders")]),
-    ('client.PostAsJsonAsync("api/orders", body);', [("POST", "api/orders")]),
-    ('_http.SendAsync(new HttpRequestMessage(HttpMethod.Patch, "/api/x"));', [("PATCH", "/api/x")]),
-    ('var r = new RestRequest("/api/x", Method.Post);', [("POST", "/api/x")]),
-    ('var r = new RestRequest("/api/x");', [("GET", "/api/x")]),
-    ('SendRequest(HttpMethod.Delete, $"/api/x/{id}");', [("DELETE", "/api/x/{id}")]),
-    ('request.Resource = "/api/m";', [("ANY", "/api/m")]),
-    ('Api.Get("/partners/list");', [("GET", "/partners/list")]),
-    ("_http.GetAsync(Known);", [("GET", "/api/known")]),
-    ('dict.Get("some key"); cache.Get("orders"); wrapper.Get("a/b"); log.Delete(records); xml.Get("//a:b/c"); doc.Get("/s:E/text()");', []),
-]
+def routes():
+    """Calls made from a verb, a shape and a noun each, and lookalikes that are none."""
+    nouns = iter("tariffs lockers berths bridges ferries depots gauges".split())
+    for verb in ("Get", "Put", "Delete"):
+        noun = next(nouns)
+        yield f'gateway.{verb}Async("/v2/{noun}"' + (", load" if verb == "Put" else "") + ");", [(verb.upper(), f"/v2/{noun}")]
+        yield f'Dispatch(HttpMethod.{verb}, $"/v2/{noun}/{{code}}/log");', [(verb.upper(), f"/v2/{noun}/{{code}}/log")]
+        yield f'var call = new RestRequest("/v2/{noun}/open", Method.{verb});', [(verb.upper(), f"/v2/{noun}/open")]
+    noun = next(nouns)
+    yield f'hub.PostAsJsonAsync("v2/{noun}", load);', [("POST", f"v2/{noun}")]
+    yield f'call.Resource = "/v2/{noun}";', [("ANY", f"/v2/{noun}")]
+    yield f'new RestRequest("/v2/{noun}").ToString();', [("GET", f"/v2/{noun}")]
+    yield "gateway.DeleteAsync(Fixed);", [("DELETE", "/v2/fixed")]
+    for other in ('map.Get("two words");', 'shelf.Get("books");', "list.Delete(rows);", 'tree.Get("//p:q/r");', 'tree.Get("/p:Q/node()");'):
+        yield other, []
+
+
+ROUTES = list(routes())
 
 
 @pytest.mark.parametrize("body,want", ROUTES)
 def test_endpoint_calls(body, want):
-    types, _ = csharp.scan(f'class C {{ const string Known = "/api/known"; void M() {{ {body} }} }}')
+    types, _ = csharp.scan(f'class C {{ const string Fixed = "/v2/fixed"; void M() {{ {body} }} }}')
     assert types[0].methods[0].calls == want
 
 
