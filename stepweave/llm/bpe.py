@@ -9,12 +9,17 @@ such chain is the sufficient lookahead L of the list. Symbols that end L bytes b
 position are stable and go out, so the memory held is a window of L plus the longest symbol.
 
 Short pieces repeat, so their encodings are kept in a memo of bounded size.
+
+The transducers hold a bounded window; a row of a table, though, has all ids and the whole text of its document, so a task's memory
+grows with its longest document. Null and empty texts have no ids, and no ids are the empty text. Repeated rows are coded alike;
+an empty table gives no rows; the new columns take the place of columns of their names, other columns come along.
 """
 
 from __future__ import annotations
 
 import codecs
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 #: Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256 on.
 PRINTABLE = [(0x21, 0x7E), (0xA1, 0xAC), (0xAE, 0xFF)]
@@ -132,7 +137,7 @@ class Merges:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Symbols of one piece that comes in chunks, each as soon as it is stable."""
-        held, base, last = b"", 0, [-1]  # bytes from base on; last[k]: the last symbol of the first k of them
+        held, base, last, edge = b"", 0, [-1], -1  # bytes from base on; last[k]: the last symbol of the first k of them
         ids, bytes_of, fits, room = self.ids, self.bytes_of, self.neighbours, self.longest + self.lookahead
         for chunk in chunks:
             held += chunk
@@ -140,7 +145,7 @@ class Merges:
                 for n in [*self.lengths.get(held[k - 3 : k] if k > 2 else b"", ()), 2, 1]:
                     if n <= k and (t := ids.get(held[k - n : k])) is not None:
                         before = last[k - n]
-                        if (k == n and (base == 0 or fits(self._edge, t))) or (k > n and before >= 0 and fits(before, t)):
+                        if (k == n and (base == 0 or fits(edge, t))) or (k > n and before >= 0 and fits(before, t)):
                             last.append(t)
                             break
                 else:
@@ -150,7 +155,7 @@ class Merges:
                 if stable:
                     yield from stable
                     done = sum(len(bytes_of[t]) for t in stable)
-                    held, last, base, self._edge = held[done:], [-1, *last[done + 1 :]], base + done, stable[-1]
+                    held, last, base, edge = held[done:], [-1, *last[done + 1 :]], base + done, stable[-1]
         yield from self._path(last, bytes_of, len(held))
 
     def whole(self, data: bytes) -> list[int]:
@@ -176,17 +181,32 @@ class Merges:
         return out[::-1]
 
 
+def _supported(spec: dict) -> None:
+    """Raises ValueError for a vocabulary file whose rules the transducers don't have."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = [f"model.{k}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += ["normalizer"] * bool(spec.get("normalizer")) + ["model.type"] * (model.get("type", "BPE") != "BPE")
+    odd += ["pre_tokenizer"] * (before.get("type") != "ByteLevel" or before.get("add_prefix_space", False) or not before.get("use_regex", True))
+    odd += ["decoder"] * ((spec.get("decoder") or {}).get("type") != "ByteLevel")
+    odd += [f"added_tokens.{k}" for k in ("lstrip", "rstrip", "single_word", "normalized") if any(t.get(k) for t in spec["added_tokens"])]
+    if odd:
+        raise ValueError(f"unsupported in a vocabulary file: {', '.join(odd)}")
+
+
 class Vocabulary:
     """A byte-level vocabulary file: pieces, symbols, added tokens, encoder and decoder."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _supported(spec)
         letter = byte_letters()
         raw = lambda s: bytes(letter[c] for c in s)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = Merges({raw(s): i for s, i in spec["model"]["vocab"].items()}, [(raw(a), raw(b)) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # At one place the longest added token counts.
+        self.apart = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
         self.out = {**self.merges.bytes_of, **{i: s.encode() for s, i in self.added.items()}}
         self.coded = {i: i.to_bytes(4, "little") for i in self.out}
         self.kinds = character_kinds()
@@ -228,22 +248,12 @@ class Vocabulary:
 
     def encode(self, text: str | None) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of a text, in blocks."""
-        parts = [text or ""]
-        for token in self.added:
-            parts = [y for x in parts for y in self._apart(x, token)]
-        for part in parts:
-            if isinstance(part, int):
-                yield part.to_bytes(4, "little")
-            else:
-                yield from self._segment(part)
-
-    def _apart(self, part: str | int, token: str) -> list[str | int]:
-        if isinstance(part, int) or token not in part:
-            return [part]
-        out: list[str | int] = []
-        for k, x in enumerate(part.split(token)):
-            out += [self.added[token]] * (k > 0) + [x] * bool(x)
-        return out
+        text, at = text or "", 0
+        for m in self.apart.finditer(text):
+            yield from self._segment(text[at : m.start()])
+            yield self.added[m[0]].to_bytes(4, "little")
+            at = m.end()
+        yield from self._segment(text[at:])
 
     # decoding
 
@@ -325,6 +335,7 @@ def _mapped(df: DataFrame, column: str, new: list[tuple[str, pa.DataType, str]],
     """df with new columns that make(value of column) gives for each row, in Arrow batches of bounded size."""
     from pyspark.sql.types import StructType
 
+    df = without(df, [name for name, _, _ in new if name != column])
     schema = StructType(list(df.schema.fields))
     for name, _, kind in new:
         schema = schema.add(name, kind)

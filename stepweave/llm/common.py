@@ -23,9 +23,26 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
 
 
+def normal_line(line: Column) -> Column:
+    """Lower case, white space as single blanks, then none at the ends. The pattern, which is slow, runs only where there is something to do."""
+    line = F.lower(line)
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\n\v\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.trim(F.when(odd, F.regexp_replace(line, SPACE_CLASS + "+", " ")).otherwise(line))
+
+
+def without(df: DataFrame, made: list[str]) -> DataFrame:
+    """df less the columns that an operator is going to make: of clashing names, the operator's column stays."""
+    return df.drop(*[c for c in df.columns if c in made])
+
+
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Checkpoints go where the session says; only a session that says nothing gets a folder of its own."""
+    """Checkpoints go where the session says. A local session that says nothing gets a folder of its own; on a cluster, where
+    executors could not see such a folder, that is an error."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stepweave-"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from .common import cut, table, words_of
 
@@ -60,15 +61,18 @@ def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = BUCKET_B
     Keys are dealt into ranges of about bucket_bytes of text in one shuffle. The ranges come from at most CELLS equal
     stretches of the keys, each split further by its own extent if it holds more. Ranges grow beyond bucket_bytes where there
     would be more than about 3 * CELLS of them, so both small tables have a bound and may be broadcast. The first rows of a range also go to the end of the range before. Null keys come
-    last; rows of one key are ordered by their text's hash.
+    last; rows of one key are ordered by their text's hash. Keys that aren't numbers are placed by the first 7 bytes of their
+    text. Rows of one key, or of keys with the same 7 bytes, are in one range, however many they are.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    lo, hi = rows.agg(F.min("__key"), F.max("__key")).first()
+    place = F.col(key)
+    if not isinstance(docs.schema[key].dataType, NumericType):
+        place = F.conv(F.rpad(F.hex(F.substring(F.col(key).cast("string").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    rows = docs.select(F.col(key).alias("__key"), place.alias("__place"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    lo, hi = rows.agg(F.min("__place"), F.max("__place")).first()
     width = max(1, ((hi or 0) - (lo or 0)) // CELLS + 1)
-    cell = F.when(F.col("__key").isNull(), F.lit(CELLS + 1)).otherwise(F.floor((F.col("__key") - F.lit(lo or 0)) / F.lit(width)).cast("int"))
+    cell = F.when(F.col("__place").isNull(), F.lit(CELLS + 1)).otherwise(F.floor((F.col("__place") - F.lit(lo or 0)) / F.lit(width)).cast("int"))
     rows = rows.withColumn("__cell", cell)
-    cells = rows.groupBy("__cell").agg(F.sum(F.octet_length("__text") + 64).alias("bytes"), F.min("__key").alias("from"), F.max("__key").alias("to"))
+    cells = rows.groupBy("__cell").agg(F.sum(F.octet_length("__text") + 64).alias("bytes"), F.min("__place").alias("from"), F.max("__place").alias("to"))
     # At most about 3 * CELLS ranges come of this, so that their first keys may be broadcast too.
     aim = F.greatest(F.lit(float(bucket_bytes)), F.sum("bytes").over(W.partitionBy()) / CELLS)
     cells = cells.withColumn("aim", aim)
@@ -81,7 +85,7 @@ def with_next(docs: DataFrame, key: str, text: str, bucket_bytes: int = BUCKET_B
     cells = cells.withColumn("step", F.when(F.col("parts") > 1, F.greatest(F.lit(1), F.floor((F.col("to") - F.col("from")) / F.col("parts")) + 1)).otherwise(F.lit(None)).cast("long"))
     cells = cut(cells.select(F.col("__cell").alias("c"), "group", F.col("from").alias("c_from"), "step"))
     placed = rows.join(F.broadcast(cells), F.col("__cell") == F.col("c"))
-    sub = F.coalesce(F.floor((F.col("__key") - F.col("c_from")) / F.col("step")).cast("long"), F.lit(0))
+    sub = F.coalesce(F.floor((F.col("__place") - F.col("c_from")) / F.col("step")).cast("long"), F.lit(0))
     placed = placed.select("__key", "__text", F.struct(F.col("group").alias("g"), sub.alias("s")).alias("__range"))
     # The first key of each range, and the range before it (before the first: the last).
     firsts = placed.groupBy("__range").agg(F.min("__key").alias("k"))
@@ -104,7 +108,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and its edited text, and how alike they and the next document's are.
 
-    Edited: the last floor(n / 4) code points replaced by as many of the next document's first, or all it has.
+    Edited: the last floor(n / 4) code points replaced by as many of the next document's first, or all it has. Null texts count as
+    empty; an empty text has an empty sketch, which is like another only if the texts are equal. Equal texts have equal fingerprints. A
+    lone document is its own next one; repeated rows follow each other. Long texts are hashed whole. Other columns aren't looked at. An
+    empty table gives no rows.
     """
     dealt = with_next(docs, key, text)
     order = W.partitionBy("__range").orderBy("__ghost", F.col("__key").asc_nulls_last(), F.xxhash64("__text"))

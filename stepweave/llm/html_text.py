@@ -6,9 +6,15 @@ lacks becomes optional, neighbours of one shape become a repeated group, and tex
 knows how many words, link words and pages it stands for and whether its text is the same on all pages, so
 the wrapper tells the article's slots from the template's.
 
+What a node is follows from its tag, from the names in its attributes and from its share of the host's words. A name that
+speaks of a menu, a sidebar or the like drops a node unless the node also has a name of an article's or holds most of the words.
+
 Each task folds its own pages into wrappers, one for each host; their sum is independent of how many
 pages a host has. Wrappers of a host meet in two steps, first by host and salt, so a host with a third of all
-pages is no single task, and pages meet their wrapper by host and salt too.
+pages is no single task. Pages aren't shuffled while all wrappers together are small (counted); beyond that they join by host.
+
+A null or empty page has an empty text; null and unreadable urls are one host. Repeated pages and urls are pages of their own, a long
+page is one row. An empty table gives no rows. The text takes the place of a column of its name; other columns come along.
 """
 
 from __future__ import annotations
@@ -22,10 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table, without
 
 SALTS = 16
 HOSTS_HELD = 2000  # wrappers that a task holds before it hands them on
+SMALL_BYTES = 32 << 20  # of wrappers that are sent to every task
+DEPTH = 200  # levels of a page's tree; the text of deeper elements belongs to the last of them
 WIDE = 40  # children beyond which an alternating list becomes one repeated group of optional parts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,9 +52,14 @@ DROP_WORDS = frozenset(
     " login search social share sharing related recommended recommendations comment comments discussion disqus reply replies respond responses widget toolbar pagination pager".split()
 )
 HEADER_WORDS = frozenset(["header", "head"])
+#: First parts of names that say how something is laid out, not what it is.
+LAYOUT_WORDS = frozenset("has with without no not is hide hides show shows".split())
+#: Shares of the host's unlinked words from which a node with two kinds of names, or with one of a menu's or the like, is kept.
+SHARE_OF_BOTH, SHARE_OF_DROPPED = 0.3, 0.6
 MAIN_WORDS = frozenset("article articlebody content post entry story main body".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+#: A quote that isn't closed within 4096 characters is none, so a page costs time in proportion to its length.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,4096}\"|'[^']{0,4096}')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[A-Za-z][a-z]*")
 
@@ -95,7 +108,8 @@ def _label(tag: str, attrs: str) -> str:
 def parse(page: str | None) -> Node:
     """The tree of a page: block elements with their own text; inline tags only mark links."""
     root = Node("#page")
-    stack, links, at, text = [root], 0, 0, page or ""
+    # Elements below DEPTH are on the stack with their tag, but say what they have to the last node above, or to none.
+    stack, tags, links, at, text = [root], ["#page"], 0, 0, page or ""
 
     def say(raw: str) -> None:
         if not raw:
@@ -107,12 +121,13 @@ def parse(page: str | None) -> Node:
         top.linked += n * (links > 0)
 
     def pop_to(k: int) -> None:
-        del stack[k:]
+        if k > DEPTH:
+            stack[k - 1].texts.append(" ")
+        del stack[k:], tags[k:]
 
-    hidden = 0
-    for m in iter(lambda: _TOKEN.search(text, at), None):
-        if not hidden:
-            say(text[at : m.start()])
+    last = text.rfind(">")
+    for m in iter(lambda: _TOKEN.search(text, at) if at <= last else None, None):
+        say(text[at : m.start()])
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
@@ -124,7 +139,7 @@ def parse(page: str | None) -> Node:
             if tag in INLINE:
                 continue
             for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag() == tag:
+                if tags[k] == tag:
                     pop_to(k)
                     break
             else:
@@ -141,11 +156,11 @@ def parse(page: str | None) -> Node:
             if tag == "hr":
                 stack[-1].texts.append(" ")
             continue
-        if tag in CLOSES_P and stack[-1].tag() == "p":
+        if tag in CLOSES_P and tags[-1] == "p":
             pop_to(len(stack) - 1)
         if tag in SAME_CLOSES:
             for k in range(len(stack) - 1, 0, -1):
-                own = stack[k].tag()
+                own = tags[k]
                 if own in LIST_ENDS.get(tag, ()):
                     break
                 if own in SAME_CLOSES[tag]:
@@ -154,21 +169,24 @@ def parse(page: str | None) -> Node:
         if tag == "body":
             links = 0
             pop_to(1)
-        elif len(stack) > 1 and stack[-1].tag() == "head" and tag not in ("title", "meta", "style", "script", "link", "base", "noscript", "template"):
+        elif len(stack) > 1 and tags[-1] == "head" and tag not in ("title", "meta", "style", "script", "link", "base", "noscript", "template"):
             pop_to(len(stack) - 1)
         node = Node(_label(tag, attrs))
-        if len(stack) < 200:
+        if len(stack) < DEPTH:
             stack[-1].kids.append(node)
             stack[-1].texts.append(node)
-            if not attrs.endswith("/") or tag not in ("path", "circle", "rect"):
-                stack.append(node)
+        elif not dropped(node.label, True):
+            stack[-1].texts.append(" ")
+            node = stack[-1]
+        if not attrs.endswith("/") or tag not in ("path", "circle", "rect"):
+            stack.append(node)
+            tags.append(tag)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(text, at)
             if tag not in ("script", "style"):
                 say(text[at : end.start() if end else len(text)])
             at = end.end() if end else len(text)
-            if stack[-1] is node:
-                stack.pop()
+            pop_to(len(stack) - 1)
     say(text[at:])
     return root
 
@@ -274,21 +292,34 @@ def hash_text(text: str) -> int:
     return xxhash.xxh32_intdigest(" ".join(text.split()))
 
 
-def dropped(label: str, inside: bool) -> bool:
-    """Whether a label names a menu, header, footer, sidebar, notice, advert, form or reader comments."""
+def verdict(label: str, inside: bool) -> str:
+    """What a label says: `x` a menu, header, footer, sidebar, notice, advert, form or reader comments by its tag or role; `d` the same
+    by its names; `b` a name of that kind and one of an article's; or nothing."""
     tag, *names = label.split("|")
     if tag in DROP_TAGS or (tag == "header" and not inside):
-        return True
+        return "x"
+    body, bad, good = tag in ("article", "main", "body", "html"), False, False
     for x in names:
         name, _, value = x.partition("=")
-        if name == "role" and value.lower() in DROP_ROLES:
-            return True
-        words = {w.lower() for w in _PARTS.findall(value)}
-        if words & DROP_WORDS and not (tag in ("article", "main", "body", "html") and not words & {"comment", "comments", "ad", "ads", "related", "reply", "sponsored"}):
-            return True
-        if words & HEADER_WORDS and not inside and tag not in ("article", "main", "body", "html"):
-            return True
-    return False
+        if name == "role":
+            if value.lower() in DROP_ROLES:
+                return "x"
+            continue
+        for token in value.split():
+            words = [w.lower() for w in _PARTS.findall(token)]
+            if not words or words[0] in LAYOUT_WORDS:
+                continue
+            hit = DROP_WORDS & {*words} if not body else {*words} & {"comment", "comments", "ad", "ads", "related", "reply", "sponsored"}
+            if hit or (not inside and not body and HEADER_WORDS & {*words}):
+                bad = True
+            elif MAIN_WORDS & {*words}:
+                good = True
+    return ("b" if good else "d") if bad else ""
+
+
+def dropped(label: str, inside: bool) -> bool:
+    """Whether a label names a menu, header, footer, sidebar, notice, advert, form or reader comments."""
+    return verdict(label, inside) in ("x", "d")
 
 
 def _is_main(label: str) -> int:
@@ -303,9 +334,19 @@ def _is_main(label: str) -> int:
 def decide(wrapper: Node) -> Node:
     """Flags the wrapper's nodes: `m` the article, `x` what is never text, `t` text of the template."""
     found: list[tuple[int, int, Node]] = []
+    unlinked: dict[int, int] = {}
+
+    def count(n: Node) -> int:
+        sure = n.label != "#page" and verdict(n.label, False) == "x"
+        unlinked[id(n)] = 0 if sure else max(0, n.words - n.linked) + sum(map(count, n.kids))
+        return unlinked[id(n)]
+
+    every = count(wrapper)
 
     def mark(n: Node, inside: bool) -> int:
-        if n.label != "#page" and dropped(n.label, inside):
+        said, share = verdict(n.label, inside) if n.label != "#page" else "", unlinked.get(id(n), 0) / max(1, every)
+        held = {"b": SHARE_OF_BOTH, "d": SHARE_OF_DROPPED}.get(said, 2.0)
+        if said and (share < held or n.repeated or "comment" in n.label.lower()):
             n.flag = "x"
             return 0
         level = _is_main(n.label)
@@ -446,27 +487,33 @@ def extract_text(pages: DataFrame, url: str = "url", page: str = "html", text: s
     """pages with the main text of each; a null page has an empty text, a null url belongs to the host ''."""
     from pyspark.sql.types import StructType
 
-    made = wrappers(pages, url, page)
-    many = made.select(F.col("host").alias("__h"), "wrapper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__s"))
-    keyed = pages.withColumns({"__host": host_of(F.col(url)), "__salt": F.pmod(F.xxhash64(page, url), F.lit(SALTS)).cast("int")})
-    joined = keyed.join(many, (F.col("__host") == F.col("__h")) & (F.col("__salt") == F.col("__s")), "left").drop("__host", "__salt", "__h", "__s")
-    at = pages.columns.index(page)
+    pages = without(pages, [text] if text not in (url, page) else [])
+    made = cut(wrappers(pages, url, page))
+    small = made.agg(F.coalesce(F.sum(F.octet_length("wrapper")), F.lit(0))).first()[0] <= SMALL_BYTES
+    rows = pages.withColumn("__host", host_of(F.col(url)))
+    if small:
+        sent = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in made.collect()})
+    else:  # a host's pages are split by Spark's handling of skewed joins
+        sent = None
+        rows = rows.join(made.select(F.col("host").alias("__h"), "wrapper"), F.col("__host") == F.col("__h"), "left").drop("__h")
+    at, n = pages.columns.index(page), len(pages.columns)
     schema = StructType([*pages.schema.fields]).add(text, "string")
 
     def run(batches):
-        known: dict[str, Node] = {}
+        known: dict[str, Node | None] = {}
         for batch in batches:
             out = []
-            for x, w in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                key = w.as_py()
-                if key is not None and key not in known:
+            for k, (x, host) in enumerate(zip(batch.column(at), batch.column(n), strict=True)):
+                host = host.as_py()
+                if host not in known:
                     if len(known) > 200:
                         known.clear()
-                    known[key] = Node.unpack(json.loads(key))
-                out.append(extract(parse(x.as_py()), known.get(key)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], schema.names)
+                    w = sent.value.get(host) if sent else batch.column(n + 1)[k].as_py()
+                    known[host] = None if w is None else Node.unpack(json.loads(w))
+                out.append(extract(parse(x.as_py()), known[host]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(out, pa.string())], schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

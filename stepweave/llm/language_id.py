@@ -5,8 +5,9 @@ languages with the bit against those without) predicts it from the text alone; d
 losses of the bits against each codeword, weighted by how well each bit did on training rows, and takes the
 codeword with the least. A text whose two nearest codewords are close is flagged ambiguous.
 
-Training counts n-grams over all labelled rows, map-side first: what reaches the driver is at most
-languages x BUCKETS sums. Only the scale and weight of the bits come from a sample, of about CALIBRATION rows.
+Training counts n-grams over all labelled rows, map-side first: what reaches the driver is one array of at most
+BUCKETS sums for each language. Only the scale and weight of the bits come from a sample, of about CALIBRATION rows and four times as many at most; these
+rows are also counted, so scales and weights, not predictions, lean to the hopeful side.
 """
 
 from __future__ import annotations
@@ -19,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, without
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
-MAX_LANGUAGES = 512
 CALIBRATION = 2000
+HELD = 512  # languages whose sums a task holds before it hands them on
 AMBIGUOUS = 0.6
 BLOCK = 1 << 18  # bytes that are scored at once
 
@@ -105,6 +106,13 @@ def in_fold(doc_id: Column, remainder: int = 2) -> Column:
 def count_grams(rows: DataFrame) -> DataFrame:
     """(lang, bucket, n) of rows (lang, text); bucket -1 holds the number of rows."""
 
+    def give(sums, seen):
+        for lang, v in sums.items():
+            at = np.flatnonzero(v)
+            at, n = np.append(at, -1), np.append(v[at], seen[lang])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+        sums.clear()
+
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
@@ -112,16 +120,13 @@ def count_grams(rows: DataFrame) -> DataFrame:
             for lang, text in zip(batch.column(0), batch.column(1), strict=True):
                 lang = lang.as_py()
                 if lang not in sums:
-                    if len(sums) >= MAX_LANGUAGES:
-                        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                    if len(sums) >= HELD:
+                        yield from give(sums, seen)
                     sums[lang], seen[lang] = np.zeros(BUCKETS, np.int64), 0
                 seen[lang] += 1
                 for data, old in blocks(text.as_py()):
                     sums[lang] += np.bincount(grams(data, old), minlength=BUCKETS)
-        for lang, v in sums.items():
-            at = np.flatnonzero(v)
-            at, n = np.append(at, -1), np.append(v[at], seen[lang])
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(n, pa.int64())], ["lang", "bucket", "n"])
+        yield from give(sums, seen)
 
     counted = rows.select("lang", "text").mapInArrow(run, "lang string, bucket int, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
@@ -129,14 +134,14 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
 def fit(rows: DataFrame, key: str = "doc_id") -> Model | None:
     """A model from rows (key, lang, text) with a lang and a text; None if there are none."""
-    got = count_grams(rows).toPandas()
-    if got.empty:
+    got = count_grams(rows).groupBy("lang").agg(F.collect_list("bucket").alias("at"), F.collect_list("n").alias("n")).orderBy("lang").collect()
+    if not got:
         return None
-    languages = sorted(got["lang"].unique())
-    counts = np.zeros((len(languages), BUCKETS))
-    grams_of = got[got["bucket"] >= 0]
-    counts[[languages.index(x) for x in grams_of["lang"]], grams_of["bucket"]] = grams_of["n"]
-    total = int(got.loc[got["bucket"] < 0, "n"].sum())
+    languages = sorted(r["lang"] for r in got)
+    counts = np.zeros((len(languages), BUCKETS + 1), np.float64)
+    for r in got:
+        counts[languages.index(r["lang"]), r["at"]] = r["n"]  # bucket -1 is the last
+    total, counts = int(counts[:, -1].sum()), counts[:, :-1]
     p = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
     code = codewords(len(languages))
     odds = np.zeros((BUCKETS, code.shape[1]), np.float32)
@@ -145,7 +150,8 @@ def fit(rows: DataFrame, key: str = "doc_id") -> Model | None:
         if len(plus) and len(minus):
             odds[:, b] = np.log(plus.mean(0)) - np.log(minus.mean(0))
     model = Model(languages, code, odds, np.ones(code.shape[1]), np.ones(code.shape[1]) / code.shape[1])
-    sample = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(max(1, total // CALIBRATION))) == 0)
+    # Rows of one key and text are in the sample or not together, so it has a bound of its own besides.
+    sample = rows.where(F.pmod(F.xxhash64(F.col(key).cast("string"), "text"), F.lit(max(1, total // CALIBRATION))) == 0).limit(4 * CALIBRATION)
     _calibrate(model, sample)
     return model
 
@@ -176,9 +182,14 @@ def _calibrate(model: Model, sample: DataFrame) -> None:
 
 
 def predict(df: DataFrame, model: Model | None, column: str = "text") -> DataFrame:
-    """Adds lang_pred, score, ambiguous. A null text, or one without a letter, is `und` with score 0."""
+    """Adds lang_pred, score, ambiguous, in place of columns of these names.
+
+    A null or empty text, or one without a letter, is `und` with score 0. Long texts are scored whole, block by block. Repeated rows get the same; of
+    equally near codewords the first by code point is taken. An empty table gives no rows, and without a model all rows are `und`.
+    """
     from pyspark.sql.types import StructType
 
+    df = without(df, ["lang_pred", "score", "ambiguous"])
     readable = F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False)) & F.lit(model is not None)
     rows = df.withColumn("__text", F.when(readable, F.col(column)))
     schema = StructType(list(df.schema.fields)).add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")

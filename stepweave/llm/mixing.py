@@ -4,7 +4,9 @@
 whose stretch it hits, and the slots of a source are ranked in order. A source's documents lie shuffled on a line of
 words, run through at most twice; its slot of rank r takes the block of words [r B, (r + 1) B) of that line, where B
 is the same for all sources. So a source takes its line's first words up to its number of slots times B, within the
-few slots by which the sequence differs from its target.
+few slots by which the sequence differs from its target. Each document is told the slots at which its two laps begin; the mix
+is the documents in the order of these slots. The first 2^m points are all multiples of 2^-m, each at the slot with its
+digits mirrored, so the slot of a rank is found by counting multiples by their last digits, and slots are never listed.
 
 Rows carry no text unless the caller wants it. Places on the lines come from sums over 4096 hash ranges of
 each source and running sums inside one range, so no source, however large, is summed by one task.
@@ -86,15 +88,39 @@ def shares(goals: DataFrame, slots: int = SLOTS) -> DataFrame:
     out = out.withColumn("lo", F.coalesce(F.lag("hi").over(line), F.lit(0.0)))
     out = out.withColumn("hi", F.when(F.lead("at").over(line).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
     n = F.ceil(F.col("hi") * F.col("slots")) - F.ceil(F.col("lo") * F.col("slots"))
+    out = out.withColumn("__a", F.ceil(F.col("lo") * F.col("slots")).cast("long")).withColumn("__b", F.ceil(F.col("hi") * F.col("slots")).cast("long"))
     out = out.withColumn("n_slots", F.when(F.col("target") > 0, n).otherwise(F.lit(0))).withColumn("block", F.col("__total") / F.col("slots"))
-    return out.drop("__total", "hi", "lo")
+    return out.withColumnsRenamed({"__a": "first_point", "__b": "end_point"}).drop("__total", "hi", "lo")
+
+
+def slot_of(rank: Column, first: Column, end: Column, slots: Column) -> Column:
+    """The slot of a rank (from 0) of the source with the points first .. end - 1, in units of 1 / slots.
+
+    Slots are in order of a point's digits from the last on. At each digit the points that go on with 0 are counted: if
+    there are more than the rank, the digit is 0, else it is 1 and they are left behind.
+    """
+    state = F.struct(rank.cast("long").alias("rank"), F.lit(0).cast("long").alias("tail"), F.lit(1).cast("long").alias("unit"), slots.cast("long").alias("place"), F.lit(0).cast("long").alias("slot"))
+    upto = lambda x, s: F.floor((x - s["tail"] + 2 * s["unit"] - 1) / (2 * s["unit"])).cast("long")  # noqa: E731  multiples of 2 unit, plus tail, below x
+
+    def step(s: Column, _: Column) -> Column:
+        n = upto(end, s) - upto(first, s)
+        one = s["rank"] >= n
+        half = F.floor(s["place"] / 2).cast("long")
+        return F.struct(
+            F.when(one, s["rank"] - n).otherwise(s["rank"]).alias("rank"), F.when(one, s["tail"] + s["unit"]).otherwise(s["tail"]).alias("tail"),
+            (2 * s["unit"]).alias("unit"), half.alias("place"), F.when(one, s["slot"] + half).otherwise(s["slot"]).alias("slot"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.round(F.log2(slots)).cast("int"))), state, step, lambda s: s["slot"])
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", keep: list[str] | None = None, slots: int = SLOTS, weights=WEIGHTS, share: float = SHARE) -> DataFrame:
-    """key, size, source_size, target, taken, and __lap0, __lap1 (words taken of each lap), with the columns `keep`.
+    """key, size, source_size, target, taken, slot, slot2 and __lap0, __lap1 (words taken of each lap), with the columns `keep`.
 
-    Documents without words (null and empty texts) are taken 0 times. Rows that share a key are documents of
-    their own. An empty table gives no rows.
+    slot and slot2: where the words of each lap begin in the mix; null for a lap that takes none. Documents without words (null
+    and empty texts) are taken 0 times. Rows that share a key, repeated ones too, are documents of their own. Documents of one hash are in order of
+    their key and size. A null source is a source, the last. Long texts are one row. Other columns aren't looked at, so their
+    names may clash; those of `keep` come back as __keep_name. An empty table gives no rows.
     """
     keep = keep or []
     rows = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
@@ -105,8 +131,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     goals = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share)
     goals = shares(goals, slots)
     goals = goals.withColumn("words", F.least(F.floor(F.coalesce("n_slots", F.lit(0)) * F.col("block") + 0.5).cast("long"), LAPS * F.col("source_size")))
-    goals = goals.select(F.col("source").alias("g_source"), "source_size", "target", "words")
-    known = cells.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("source").alias("c_source"), F.col("__cell").alias("c_cell"), "cell_start", "source_size", "target", "words")
+    plan = ["n_slots", "block", "slots", "first_point", "end_point"]
+    goals = goals.select(F.col("source").alias("g_source"), "source_size", "target", "words", *plan)
+    known = cells.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("source").alias("c_source"), F.col("__cell").alias("c_cell"), "cell_start", "source_size", "target", "words", *plan)
     inside = W.partitionBy("source", "__cell").orderBy("__order", "__key", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("__end", F.sum("size").over(inside))
     placed = placed.join(known, (F.col("__cell") == F.col("c_cell")) & F.col("source").eqNullSafe(F.col("c_source")))
@@ -114,21 +141,26 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     lap = lambda upto: F.greatest(F.lit(0), F.least(F.col("size"), upto - start))
     first, second = F.least(F.col("words"), F.col("source_size")), F.greatest(F.lit(0), F.col("words") - F.col("source_size"))
     placed = placed.withColumn("__lap0", lap(first).cast("long")).withColumn("__lap1", lap(second).cast("long"))
-    return placed.select(F.col("__key").alias(key), "size", "source_size", "target", (F.col("__lap0") + F.col("__lap1")).alias("taken"), "__lap0", "__lap1", *[F.col(f"__keep_{c}") for c in keep])
+    rank = lambda at: F.greatest(F.lit(0), F.least(F.floor(at / F.col("block")).cast("long"), F.col("n_slots").cast("long") - 1))
+    slot = lambda at: slot_of(rank(at), F.col("first_point"), F.col("end_point"), F.col("slots"))
+    placed = placed.withColumn("slot", F.when(F.col("__lap0") > 0, slot(start))).withColumn("slot2", F.when(F.col("__lap1") > 0, slot(start + F.col("source_size"))))
+    return placed.select(F.col("__key").alias(key), "size", "source_size", "target", (F.col("__lap0") + F.col("__lap1")).alias("taken"), "slot", "slot2", "__lap0", "__lap1", *[F.col(f"__keep_{c}") for c in keep])
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "slot", "slot2")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's mixing stage: a row for each lap that takes words of a document, with the text that it takes.
 
-    Whole documents stay as they are; the one document of a source at which a lap's last block ends keeps its first words.
+    Whole documents stay as they are; the one document of a source at which a lap's last block ends keeps its first words. Rows are
+    written in the order of their slots. Documents without words aren't taken; an empty table gives no rows.
     """
     names = docs.columns
-    out = mix(docs, keep=names).withColumn("__part", F.explode(F.array("__lap0", "__lap1"))).where("__part > 0")
+    out = mix(docs, keep=names).withColumn("__lap", F.explode(F.array(F.struct(F.col("__lap0").alias("part"), F.col("slot").alias("at")), F.struct(F.col("__lap1").alias("part"), F.col("slot2").alias("at")))))
+    out = out.where("__lap.part > 0").withColumn("__part", F.col("__lap.part")).orderBy("__lap.at", "__keep_doc_id")
     text = F.col("__keep_text")
     cut = F.array_join(F.slice(words_of(text), 1, F.greatest(F.col("__part").cast("int"), F.lit(1))), " ")
     out = out.withColumn("__text", F.when(F.col("__part") < F.col("size"), cut).otherwise(text))
@@ -151,9 +183,12 @@ c as (select *, sum(target) over (order by pos) / sum(target) over () hi, sum(ta
 e as (select *, coalesce(lag(hi) over (order by pos), 0.0) lo, case when pos = mx then 1.0 else hi end top from c),
 p as (select i, list_sum(list_transform(range(32), lambda k: ((i >> k) & 1) / (2.0 ** (k + 1)))) x from range({SLOTS}) g(i)),
 n as (select pos, count(*) n from p join e on x >= lo and x < top and target > 0 group by 1),
-g as (select e.source, source_size, target, least(cast(floor(coalesce(n.n, 0) * block + 0.5) as bigint), {LAPS} * source_size) words from e left join n using (pos)),
-q as (select d.doc_id, size, g.source_size, g.target, words, sum(size) over (partition by d.source order by o, doc_id, size rows unbounded preceding) - size st
-   from d join g on d.source is not distinct from g.source)
-select doc_id, size, source_size, target,
-  cast(greatest(0, least(size, least(words, source_size) - st)) + greatest(0, least(size, greatest(0, words - source_size) - st)) as bigint) taken from q
+rk as (select pos, i, row_number() over (partition by pos order by i) - 1 r from p join e on x >= lo and x < top and target > 0),
+g as (select e.pos, coalesce(n.n, 0) n, block, e.source, source_size, target, least(cast(floor(coalesce(n.n, 0) * block + 0.5) as bigint), {LAPS} * source_size) words from e left join n using (pos)),
+q as (select d.doc_id, size, g.pos, n, block, g.source_size, g.target, words, sum(size) over (partition by d.source order by o, doc_id, size rows unbounded preceding) - size st
+   from d join g on d.source is not distinct from g.source),
+t2 as (select *, greatest(0, least(size, least(words, source_size) - st)) a, greatest(0, least(size, greatest(0, words - source_size) - st)) b from q)
+select doc_id, size, source_size, target, cast(a + b as bigint) taken, r1.i slot, r2.i slot2 from t2
+  left join rk r1 on a > 0 and r1.pos = t2.pos and r1.r = greatest(0, least(cast(floor(st / block) as bigint), n - 1))
+  left join rk r2 on b > 0 and r2.pos = t2.pos and r2.r = greatest(0, least(cast(floor((st + source_size) / block) as bigint), n - 1))
 """

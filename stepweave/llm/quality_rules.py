@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HAS_WORD, SPACE_CLASS, table, words_of
+from .common import HAS_WORD, normal_line, table, without, words_of
 
 #: A line is common in a host when more documents than both of these have it.
 MIN_DOCS = 10
@@ -21,13 +21,9 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def _normal(line: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(line)), SPACE_CLASS + "+", " ")
-
-
 def line_key(line: Column) -> Column:
     """Hash of a normalised line. A rare line is taken for a common one with odds of (common lines) / 2^64."""
-    return F.xxhash64(_normal(line))
+    return F.xxhash64(normal_line(line))
 
 
 def _repeat_words(h: Column) -> Column:
@@ -41,11 +37,11 @@ def _repeat_words(h: Column) -> Column:
 
 
 def base_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
+    """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, in place of columns of these names.
 
     A null text counts as an empty one: all counts 0, base_failed true.
     """
-    w = "__words"
+    docs, w = without(docs, ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]), "__words"
     out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn(w, words_of(F.col("__text")))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(HAS_WORD))
     out = out.withColumn("__lines", lines).select(
@@ -110,8 +106,12 @@ def common_in_documents(docs: DataFrame, key: str, host: str, text: str = "text"
 def judge(docs: DataFrame, key: str = "doc_id", host: str = "source", text: str = "text", min_left: float = MIN_LEFT, **limits) -> DataFrame:
     """docs with the base statistics, removed_words, __common (hashes of its common lines) and kept.
 
-    A document is kept when its base rules pass and at least min_left of its words are outside common lines.
+    A document is kept when its base rules pass and at least min_left of its words are outside common lines. These columns
+    take the place of the caller's of the same names. Rows that share a key, or have none, are judged by all their lines together;
+    repeated rows each count as a document. Null, empty and blank texts fail; a long text is a row like any other. Limits are
+    passed by more, not by as many. An empty table gives no rows.
     """
+    docs = without(docs, ["removed_words", "kept"])
     stats = base_statistics(docs, text)
     found = common_in_documents(docs, key, host, text, **limits)
     found = found.select(F.col("key").alias("__key"), F.col("total").alias("__total"), F.col("removed").alias("removed_words"), F.col("lines").alias("__common"))
@@ -152,8 +152,8 @@ wd as (select doc_id, i, count(*) over (partition by doc_id, k) c from wk),
 cov as (select distinct doc_id, i + o.o p from wd, (values (0), (1), (2)) o(o) where c > 1),
 rep as (select doc_id, count(*) n from cov group by 1),
 raw as (select doc_id, source, unnest(string_split(t, chr(10))) l from d),
-ln as (select doc_id, source, l, trim(l, ' ') x, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n from raw where regexp_matches(l, '[^\x20\x09-\x0D]')),
-nl as (select doc_id, source, l, n, regexp_replace(lower(x), '{_S}+', ' ', 'g') k from ln),
+ln as (select doc_id, source, l, regexp_replace(lower(l), '{_S}+', ' ', 'g') x, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) n from raw where regexp_matches(l, '[^\x20\x09-\x0D]')),
+nl as (select doc_id, source, l, n, regexp_replace(x, '^ | $', '', 'g') k from ln),
 dl as (select doc_id, count(*) - count(distinct l) n from nl group by 1),
 cnt as (select source, k, count(distinct doc_id) c from nl group by 1, 2),
 hs as (select source, count(*) s from d group by 1),

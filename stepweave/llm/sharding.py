@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 LIMIT = 8 << 20
+#: The registered query's limit: so small that the generated tables of every size split.
+QUERY_LIMIT = 64 << 10
 LEVEL = 12
 DIGITS = 60
 
@@ -58,36 +60,41 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     return found.select(F.col("p").alias("prefix"), "depth", "bytes")
 
 
+MADE = ["shard", "depth", "bytes", "shard_bytes"]
+
+
 def shard(df: DataFrame, key: str = "doc_id", payload: str = "text", limit: int = LIMIT) -> DataFrame:
-    """df with shard (prefix and page), depth, bytes, shard_bytes.
+    """df with shard (prefix and page), depth, bytes, shard_bytes, in place of columns of these names.
 
-    bytes: of the payload, null 0. Every shard holds at most `limit` bytes unless it is one row.
-    Rows with one key share a hash; an empty table has no shards.
+    bytes: of the payload, null and empty 0. Every shard holds at most `limit` bytes unless it is one row, however long.
+    Null keys, and rows with one key, share a hash; if they exceed the limit they are paged in order of their bytes, and which of equally long
+    rows is on which of two pages is open. An empty table has no shards.
     """
-    rows = df.withColumn("digits", hash_digits(F.col(key))).withColumn("bytes", F.coalesce(F.octet_length(payload), F.lit(0)).cast("long"))
-    buckets = directory(rows.select("digits", "bytes"), limit)
+    names = [c for c in df.columns if c not in MADE]
+    rows = df.withColumn("__digits", hash_digits(F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")).select(*names, "__digits", "__bytes")
+    buckets = directory(rows.select(F.col("__digits").alias("digits"), F.col("__bytes").alias("bytes")), limit)
     # A row's bucket is found by its first LEVEL digits or, below a split there, by a longer prefix: one equi join for each level in use.
     depths = [r[0] for r in buckets.select("depth").distinct().orderBy("depth").collect()]
-    prefixes = F.explode(F.array(*[F.substring("digits", 1, d) for d in depths])) if depths else F.lit(None).cast("string")
-    b = buckets.select(F.col("prefix"), "depth", F.col("bytes").alias("bucket_bytes"))
-    out = rows.withColumn("__p", prefixes).join(b, (F.col("__p") == F.col("prefix")) & (F.length("__p") == F.col("depth")))
-    return _paged(out, df.columns, limit)
+    prefixes = F.explode(F.array(*[F.substring("__digits", 1, d) for d in depths])) if depths else F.lit(None).cast("string")
+    b = buckets.select(F.col("prefix").alias("__prefix"), F.col("depth").alias("__depth"), F.col("bytes").alias("__bucket"))
+    out = rows.withColumn("__p", prefixes).join(b, (F.col("__p") == F.col("__prefix")) & (F.length("__p") == F.col("__depth")))
+    return _paged(out, names, limit)
 
 
 def _paged(out: DataFrame, names: list[str], limit: int) -> DataFrame:
-    """Buckets of one hash above the limit are filled page by page, in the order of the payload's size and hash."""
-    fits = out.where(F.col("bucket_bytes") <= limit).withColumn("page", F.lit(0).cast("long")).withColumn("shard_bytes", F.col("bucket_bytes"))
-    over = out.where(F.col("bucket_bytes") > limit)
-    before = F.sum("bytes").over(W.partitionBy("prefix").orderBy("bytes").rowsBetween(W.unboundedPreceding, 0)) - F.col("bytes")
+    """Buckets of one hash above the limit are filled page by page, in the order of the payload's size."""
+    fits = out.where(F.col("__bucket") <= limit).withColumn("__page", F.lit(0).cast("long")).withColumn("__shard", F.col("__bucket"))
+    over = out.where(F.col("__bucket") > limit)
+    before = F.sum("__bytes").over(W.partitionBy("__prefix").orderBy("__bytes").rowsBetween(W.unboundedPreceding, 0)) - F.col("__bytes")
     half = F.lit(max(1, limit // 2))
-    over = over.withColumn("__big", F.col("bytes") > half)
-    small = over.where("not __big").withColumn("page", F.floor(before / half).cast("long"))
-    big = over.where("__big").withColumn("page", -F.row_number().over(W.partitionBy("prefix").orderBy("bytes")).cast("long"))
+    over = over.withColumn("__big", F.col("__bytes") > half)
+    small = over.where("not __big").withColumn("__page", F.floor(before / half).cast("long"))
+    big = over.where("__big").withColumn("__page", -F.row_number().over(W.partitionBy("__prefix").orderBy("__bytes")).cast("long"))
     paged = small.unionByName(big).drop("__big")
-    paged = paged.withColumn("shard_bytes", F.sum("bytes").over(W.partitionBy("prefix", "page")))
+    paged = paged.withColumn("__shard", F.sum("__bytes").over(W.partitionBy("__prefix", "__page")))
     got = fits.unionByName(paged)
-    name = F.when(F.col("page") == 0, F.col("prefix")).otherwise(F.concat("prefix", F.lit("."), F.col("page").cast("string")))
-    return got.select(*names, name.alias("shard"), "depth", "bytes", "shard_bytes")
+    name = F.when(F.col("__page") == 0, F.col("__prefix")).otherwise(F.concat("__prefix", F.lit("."), F.col("__page").cast("string")))
+    return got.select(*names, name.alias("shard"), F.col("__depth").alias("depth"), F.col("__bytes").alias("bytes"), F.col("__shard").alias("shard_bytes"))
 
 
 def write_shards(df: DataFrame, path: str, key: str = "doc_id", payload: str = "text", limit: int = LIMIT) -> None:
@@ -98,13 +105,17 @@ def write_shards(df: DataFrame, path: str, key: str = "doc_id", payload: str = "
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return shard(docs).select("doc_id", "shard", "depth", "bytes", "shard_bytes")
+    return shard(docs, limit=QUERY_LIMIT).select("doc_id", "shard", "depth", "bytes", "shard_bytes")
 
 
 ORACLE = f"""
 with recursive d as (select doc_id, strlen(coalesce(text, '')) bytes, md5(coalesce(cast(doc_id as varchar), 'null')) h from documents),
 b as (select doc_id, bytes, array_to_string(list_transform(range(1, {DIGITS // 4 + 1}), lambda k: lpad(bin(cast('0x' || h[k] as integer)), 4, '0')), '') digits from d),
 lv as (select l depth, left(digits, l) p, sum(bytes) bytes from b, range(0, {DIGITS + 1}) r(l) group by 1, 2),
-leaf as (select * from lv where (bytes <= {LIMIT} or depth = {DIGITS}) and (depth = 0 or exists (select 1 from lv u where u.depth = lv.depth - 1 and u.p = left(lv.p, lv.depth - 1) and u.bytes > {LIMIT})))
-select doc_id, p shard, cast(depth as integer) depth, cast(b.bytes as bigint) bytes, cast(leaf.bytes as bigint) shard_bytes from b join leaf on left(b.digits, leaf.depth) = leaf.p
+leaf as (select * from lv where (bytes <= {QUERY_LIMIT} or depth = {DIGITS}) and (depth = 0 or exists (select 1 from lv u where u.depth = lv.depth - 1 and u.p = left(lv.p, lv.depth - 1) and u.bytes > {QUERY_LIMIT}))),
+rs as (select doc_id, p, depth, b.bytes, leaf.bytes whole, b.bytes > {QUERY_LIMIT // 2} big from b join leaf on left(b.digits, leaf.depth) = leaf.p),
+pg as (select *, case when whole <= {QUERY_LIMIT} then 0 when big then -row_number() over (partition by p, big order by bytes)
+  else (sum(bytes) over (partition by p, big order by bytes rows unbounded preceding) - bytes) // {QUERY_LIMIT // 2} end page from rs)
+select doc_id, case when page = 0 then p else p || '.' || cast(cast(page as bigint) as varchar) end shard, cast(depth as integer) depth, cast(bytes as bigint) bytes,
+  cast(sum(bytes) over (partition by p, page) as bigint) shard_bytes from pg
 """
