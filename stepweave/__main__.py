@@ -1,4 +1,4 @@
-"""Command line: index, stats, search, impact, validate, report, map, serve."""
+"""Command line: index, stats, search, impact, validate, dump, age, report, map, serve."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ def session():
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="stepweave")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, args in {"index": ["solution", "map"], "stats": ["map"], "search": ["map", "query"], "impact": ["map", "target", "value"], "validate": ["map"], "report": ["map", "html"], "map": ["map", "html"], "serve": ["map"]}.items():
+    for name, args in {"index": ["solution", "map"], "stats": ["map"], "search": ["map", "query"], "impact": ["map", "target", "value"], "validate": ["map"], "dump": ["map"], "age": ["map", "root"], "report": ["map", "html"], "map": ["map", "html"], "serve": ["map"]}.items():
         s = sub.add_parser(name)
         for a in args:
             s.add_argument(a, choices=["class", "method", "step", "endpoint"] if a == "target" else None)
@@ -54,6 +54,18 @@ def main(argv: list[str] | None = None) -> int:
         return FATAL
     if a.command == "serve":
         run(m)
+    elif a.command == "dump":
+        from .operators.analytics import map_dump
+
+        for row in map_dump(m).toLocalIterator():
+            print(row["line"])
+    elif a.command == "age":  # 0 fresh, 1 stale, 2 no map
+        from .sources.solution import stale_files
+
+        made = m.meta.where("key = 'generated_utc'").first()
+        newer = stale_files(spark, a.root, made["value"]).collect() if made else []
+        print(f"{'stale' if newer else 'fresh'}, made {made['value'] if made else 'at an unknown time'}", *[f"  {r['modified']:%Y-%m-%dT%H:%M:%S}  {r['path']}" for r in newer], sep="\n")
+        return WARNINGS if newer else SUCCESS
     elif a.command in ("report", "map"):
         from .report import overview, project_map
 

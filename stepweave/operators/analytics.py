@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..schema import COLLABORATORS
+from ..schema import COLLABORATORS, SCHEMA_VERSION
 from ..testmap import TestMap
 from . import structural
 
@@ -203,6 +203,37 @@ def logical_dump(df: DataFrame, *order: str) -> DataFrame:
     return out.orderBy("line") if not order else out
 
 
+#: The word before a table's lines in a map's dump, and the columns in them.
+DUMPED = {
+    "projects": ("project", "id name path target_framework kind"),
+    "classes": ("class", "id project_id name namespace base_type kind file_path line_start line_end"),
+    "methods": ("method", "id class_id project_id name signature visibility kind file_path line_start line_end"),
+    "step_definitions": ("stepdef", "id method_id class_id project_id keyword expression expression_kind parameters file_path line_start"),
+    "features": ("feature", "id project_id name tags file_path"),
+    "scenarios": ("scenario", "id feature_id name kind tags example_row_count line_start"),
+    "scenario_steps": ("step", "id scenario_id keyword text ordinal line_start"),
+    "endpoints": ("endpoint", "id verb route"),
+    "edges": ("edge", "from_kind from_id to_kind to_id edge_kind confidence"),
+    "diagnostics": ("diag", "severity code message location"),
+}
+
+
+def map_dump(m: TestMap) -> DataFrame:
+    """(part, at, line) of a whole map in canonical order: its version, its meta without the time, and each table's rows by id.
+
+    Maps of equal inputs have equal dumps. Rows without an id are in order of their line; nulls are empty.
+    """
+    spark, none = m.meta.sparkSession, F.lit(0).cast("long").alias("at")
+    out = spark.range(1).select(F.lit(0).alias("part"), none, F.lit(f"user_version={SCHEMA_VERSION}").alias("line"))
+    meta = m.meta.where("key <> 'generated_utc'")
+    out = out.unionByName(meta.select(F.lit(1).alias("part"), none, F.concat(F.lit("meta:"), "key", F.lit("="), F.coalesce("value", F.lit(""))).alias("line")))
+    for k, (table, (word, columns)) in enumerate(DUMPED.items(), 2):
+        cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns.split()]
+        at = F.col("id").alias("at") if columns.startswith("id ") else none
+        out = out.unionByName(m.tables()[table].select(F.lit(k).alias("part"), at, F.concat_ws("|", F.lit(word), *cells).alias("line")))
+    return out.orderBy("part", "at", "line")
+
+
 def input_hash(files: DataFrame) -> DataFrame:
     """SHA-256 over the files (path, content) in order of path, each as path and content with a zero after both.
 

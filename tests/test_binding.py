@@ -18,38 +18,27 @@ TAKES = [
     ("grey|gray", R, [("grey", [])]),
     ("toot(oot)*", R, [("toot", []), ("toototoot", None)]),
 ]
-# (text, [(kind, expression, name)], confidence, names, captures)
-CASES = [(text, [(kind, e, "one")], "unbound" if got is None else "exact", [] if got is None else ["one"], got if got else None) for e, kind, texts in TAKES for text, got in texts]
-CASES += [
-    ("the guard waves", [(R, "the (guard|driver) waves", "who"), (C, "the guard {word}", "does")], "ambiguous", ["who", "does"], None),
-    ("all aboard", [(R, "all aboard", "first"), (R, "all aboard", "again"), (C, "all ashore", "ship")], "ambiguous", ["first", "again"], None),
-    ("all aboard", [(R, "all (aboard", "broken"), (R, "all aboard", "whole")], "exact", ["whole"], []),
-    ("nothing fits", [], "unbound", [], None),
-]
-
-
-@pytest.fixture(scope="module")
-def bound(spark):
-    """All cases at once: each case's texts and patterns carry its number, so cases don't meet."""
-    out = []
-    for k, (text, defs, *_) in enumerate(CASES):
-        steps = spark.createDataFrame([(k, text)], "id long, text string")
-        rows = [(100 * k + j, e, kind) for j, (kind, e, _) in enumerate(defs)]
-        d = B.compiled(spark.createDataFrame(rows, "id long, expression string, expression_kind string"))
-        edges = B.binding_edges(steps, d).collect()
-        pairs = B.captures(B.matches(steps, d)).collect()
-        out.append((edges, pairs))
-    return out
+# [(kind, expression, name)], [(text, confidence, names, captures)]
+GROUPS = [([(kind, e, "one")], [(text, "unbound" if got is None else "exact", [] if got is None else ["one"], got if got else None) for text, got in texts]) for e, kind, texts in TAKES]
+GROUPS += [
+    ([(R, "the (guard|driver) waves", "who"), (C, "the guard {word}", "does"), (R, "all aboard", "first"), (R, "all aboard", "again"), (C, "all ashore", "ship"), (R, "bells (ring", "broken"), (R, "bells ring", "whole")],
+     [("the guard waves", "ambiguous", ["who", "does"], None), ("the driver waves", "exact", ["who"], ["driver"]), ("all aboard", "ambiguous", ["first", "again"], None), ("bells ring", "exact", ["whole"], [])]),
+    ([], [("nothing fits", "unbound", [], None)]),
+]
 
 
-@pytest.mark.parametrize("k", range(len(CASES)))
-def test_case(bound, k):
-    _, defs, confidence, names, captures = CASES[k]
-    edges, pairs = bound[k]
-    assert {e["confidence"] or "unbound" for e in edges} == {confidence}
-    assert sorted(defs[e["step_definition_id"] - 100 * k][2] for e in edges if e["step_definition_id"] is not None) == sorted(names)
-    if captures is not None:
-        assert [p["captures"] for p in pairs] == [captures]
+@pytest.mark.parametrize("k", range(len(GROUPS)))
+def test_group(spark, k):
+    defs, cases = GROUPS[k]
+    steps = spark.createDataFrame([(j, c[0]) for j, c in enumerate(cases)], "id long, text string")
+    d = B.compiled(spark.createDataFrame([(j, e, kind) for j, (kind, e, _) in enumerate(defs)], "id long, expression string, expression_kind string"))
+    edges, pairs = B.binding_edges(steps, d).collect(), B.captures(B.matches(steps, d)).collect()
+    for j, (text, confidence, names, captures) in enumerate(cases):
+        own = [e for e in edges if e["step_id"] == j]
+        assert {e["confidence"] or "unbound" for e in own} == {confidence}
+        assert sorted(defs[e["step_definition_id"]][2] for e in own if e["step_definition_id"] is not None) == sorted(names)
+        if captures is not None:
+            assert [p["captures"] for p in pairs if p["text"] == text] == [captures]
 
 
 def test_patterns():

@@ -81,6 +81,26 @@ def test_tables(shop):
     assert meta["generated_utc"] == "2024-01-01T00:00:00Z" and len(meta["input_hash"]) == 64
 
 
+def test_dump_is_canonical(shop):
+    from stepweave.operators.analytics import map_dump
+
+    m = shop[0]
+    lines = [r["line"] for r in map_dump(m).collect()]
+    assert lines[0] == "user_version=5" and not any(x.startswith("meta:generated_utc") for x in lines)
+    assert [x for x in lines if x.startswith("project|")] == sorted(x for x in lines if x.startswith("project|"))
+    assert len(lines) == 1 + m.meta.count() - 1 + sum(df.count() for n, df in m.tables().items() if n != "meta")
+
+
+def test_staleness(spark, shop, tmp_path):
+    from stepweave.sources.solution import stale_files
+
+    for name in ("a.cs", "b.feature.cs", "c.generated.cs", "d.AssemblyAttributes.cs", "obj/e.cs", "other/f.cs", "other/Other.sln", "g.g.i.cs"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("x")
+    assert {r["path"] for r in stale_files(spark, str(tmp_path), "2020-01-01T00:00:00Z").collect()} == {"a.cs", "g.g.i.cs"}
+    assert stale_files(spark, str(tmp_path), "2999-01-01T00:00:00Z").count() == 0
+
+
 def test_impact(shop):
     m = shop[0]
     names = lambda *a: {r["scenario"] for r in graph.impact(m, *a).scenarios.collect()}
