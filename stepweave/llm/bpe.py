@@ -18,6 +18,7 @@ an empty table gives no rows; the new columns take the place of columns of their
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import re
 import unicodedata
@@ -27,7 +28,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import table, without
 
@@ -39,10 +39,10 @@ WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 WINDOW = 1 << 20  # characters that are split into pieces at once
-MEMO = 250_000  # pieces in each of two generations
+MEMO = 100_000  # pieces in each of two generations
 LONG = 64  # characters beyond which a piece is streamed and not kept
-PAIRS = 500_000
-FLUSH = 16 << 20
+PAIRS = 250_000
+FLUSH = 4 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -193,21 +193,39 @@ def _supported(spec: dict) -> None:
         raise ValueError(f"unsupported in a vocabulary file: {', '.join(odd)}")
 
 
-class Vocabulary:
-    """A byte-level vocabulary file: pieces, symbols, added tokens, encoder and decoder."""
+class Decoder:
+    """What decoding needs of a vocabulary file: the bytes of each id."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         _supported(spec)
         letter = byte_letters()
+        self.out = {i: bytes(letter[c] for c in s) for s, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+    def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
+        """Text of blocks of ids; the state between blocks is an unfinished character of up to 3 bytes."""
+        state = codecs.getincrementaldecoder("utf-8")(errors="replace")
+        out = self.out
+        for block in blocks:
+            yield state.decode(b"".join([out.get(i, b"") for i in np.frombuffer(block, "<u4").tolist()]))
+        yield state.decode(b"", final=True)
+
+
+class Vocabulary(Decoder):
+    """A byte-level vocabulary file: pieces, symbols, added tokens, encoder and decoder."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        letter = byte_letters()
         raw = lambda s: bytes(letter[c] for c in s)
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.merges = Merges({raw(s): i for s, i in spec["model"]["vocab"].items()}, [(raw(a), raw(b)) for a, b in pairs])
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         # At one place the longest added token counts.
         self.apart = re.compile("|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) or r"(?!)")
-        self.out = {**self.merges.bytes_of, **{i: s.encode() for s, i in self.added.items()}}
         self.coded = {i: i.to_bytes(4, "little") for i in self.out}
         self.kinds = character_kinds()
         self.young: dict[str, bytes] = {}
@@ -255,16 +273,6 @@ class Vocabulary:
             at = m.end()
         yield from self._segment(text[at:])
 
-    # decoding
-
-    def decode(self, blocks: Iterable[bytes]) -> Iterator[str]:
-        """Text of blocks of ids; the state between blocks is an unfinished character of up to 3 bytes."""
-        state = codecs.getincrementaldecoder("utf-8")(errors="replace")
-        out = self.out
-        for block in blocks:
-            yield state.decode(b"".join([out.get(i, b"") for i in np.frombuffer(block, "<u4").tolist()]))
-        yield state.decode(b"", final=True)
-
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 
@@ -325,6 +333,11 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -380,21 +393,61 @@ def decode(df: DataFrame, column: str = "ids", path: str | None = None, text: st
     path = path or default_path()
 
     def make():
-        v = vocabulary(path)
+        v = decoder(path)
         block = 1 << 18
         return lambda data: ("".join(v.decode((data or b"")[k : k + block] for k in range(0, len(data or b""), block))),)
 
     return _mapped(df, column, [(text, pa.string(), "string")], make)
 
 
+def digests(df: DataFrame, column: str = "text", path: str | None = None) -> DataFrame:
+    """Adds n_tokens, ids_sha256 and decoded_sha256 of a text column; ids and decoded text pass by in blocks and aren't held."""
+    path = path or default_path()
+
+    def make():
+        v = vocabulary(path)
+
+        def row(text):
+            ids, out, n = hashlib.sha256(), hashlib.sha256(), 0
+
+            def blocks():
+                nonlocal n
+                for block in v.encode(text):
+                    ids.update(block)
+                    n += len(block) // 4
+                    yield block
+
+            for part in v.decode(blocks()):
+                out.update(part.encode())
+            return n, ids.hexdigest(), out.hexdigest()
+
+        return row
+
+    return _mapped(df, column, [("n_tokens", pa.int64(), "long"), ("ids_sha256", pa.string(), "string"), ("decoded_sha256", pa.string(), "string")], make)
+
+
+def round_trip(df: DataFrame, column: str = "text", path: str | None = None) -> DataFrame:
+    """Adds n_tokens, ids and round_trip, whether decoding them gives the text back; one task's worker does both ways."""
+    path = path or default_path()
+
+    def make():
+        v = vocabulary(path)
+
+        def row(text):
+            blocks = list(v.encode(text))
+            same = "".join(v.decode(blocks)) == (text or "")
+            return sum(map(len, blocks)) // 4, b"".join(blocks), same
+
+        return row
+
+    return _mapped(df, column, [("n_tokens", pa.int64(), "long"), ("ids", pa.binary(), "binary"), ("round_trip", pa.bool_(), "boolean")], make)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = encode(docs).select("doc_id", "ids", "n_tokens")
-    return decode(coded).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's last stage: the documents with their ids, their number, and whether decoding gives the text back."""
-    coded = encode(docs.select("doc_id", "source", "lang", "text"))
-    same = F.col("decoded").eqNullSafe(F.coalesce("text", F.lit("")))
-    return decode(coded).select("doc_id", "source", "lang", "text", "n_tokens", "ids", same.alias("round_trip"))
+    return round_trip(docs.select("doc_id", "source", "lang", "text"))
