@@ -449,5 +449,8 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: the documents with their ids, their number, and whether decoding gives the text back."""
+    """The pipeline's last stage: the documents with their ids, their number, and whether decoding gives the text back.
+
+    Null and empty texts have no ids and round_trip true; repeated rows are coded alike. An empty table gives no rows.
+    """
     return round_trip(docs.select("doc_id", "source", "lang", "text"))

@@ -289,7 +289,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's near-duplicate stage: the row with the least doc_id of each group stays, once if it is repeated."""
+    """The pipeline's near-duplicate stage: the row with the least doc_id of each group stays, once if it is repeated.
+
+    Null, empty and blank texts are one group; a null doc_id comes after all others. An empty table gives no rows.
+    """
     members, _ = join(docs.select("doc_id", "text"), all_links=False)
     stays = members.where(F.col("doc_id").eqNullSafe(F.col("group_id"))).groupBy(F.col("doc_id").alias("__stays")).agg((F.count(F.lit(1)) > 1).alias("__again"))
     left = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("__stays"))).drop("__stays")

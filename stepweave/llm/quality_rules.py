@@ -136,7 +136,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's first stage: rejected documents go, the others lose their common lines."""
+    """The pipeline's first stage: rejected documents go, the others lose their common lines.
+
+    Null, empty and blank texts are rejected; repeated rows are documents each. An empty table gives no rows.
+    """
     names = docs.columns
     out = judge(docs).where("kept").withColumn("text", without_common_lines(F.col("text"), F.col("__common")))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("long")).select(*names)
