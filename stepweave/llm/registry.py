@@ -15,6 +15,7 @@ _MODULES = {
     "op8_fingerprints": "fingerprints",
     "op9_mixing": "mixing",
     "op10_quality_rules": "quality_rules",
+    "op11_ranked_search": "ranked_search",
     "op12_bbit": "bbit",
     "op13_clustering": "clustering",
 }

@@ -40,19 +40,34 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(np.full(n, _BASE)), np.cumprod(np.full(n, _INVERSE))
 
 
-def tokens(texts: pa.Array, between: np.ndarray) -> Tokens:
-    """The tokens of all texts; a null text has none."""
+def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of all texts in lower case, offsets of each text)."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-    data = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]]
-    offsets = offsets - offsets[0]
+    return _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]], offsets - offsets[0]
+
+
+def _begins(gap: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    out = ~gap
+    out[1:] &= gap[:-1]
+    out[edges] |= ~gap[edges]
+    return out
+
+
+def counts(texts: pa.Array, between: np.ndarray) -> np.ndarray:
+    """Number of tokens of each text."""
+    data, offsets = _bytes(texts)
+    start = np.flatnonzero(_begins(between[data], offsets[(offsets > 0) & (offsets < len(data))]))
+    return np.diff(np.searchsorted(start, offsets))
+
+
+def tokens(texts: pa.Array, between: np.ndarray) -> Tokens:
+    """The tokens of all texts; a null text has none."""
+    data, offsets = _bytes(texts)
     gap = between[data]
     edges = offsets[(offsets > 0) & (offsets < len(data))]
-    begins, stops = ~gap, gap.copy()
-    begins[1:] &= gap[:-1]
-    begins[edges] |= ~gap[edges]
+    start, stops = np.flatnonzero(_begins(gap, edges)), gap.copy()
     stops[edges] = True
-    start = np.flatnonzero(begins)
     stop = np.append(np.flatnonzero(stops), len(data))
     end = stop[np.searchsorted(stop, start, "right")]
     h, i = np.zeros(len(start), np.uint64), 0
