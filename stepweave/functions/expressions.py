@@ -9,9 +9,6 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Unicode classes, and only \n as a line end, for patterns written for other engines.
-DIALECT = "(?dU)"
-
 # Parameter types of cucumber expressions and what they match.
 NUMBER = r"(-?\d*\.?\d+)"
 PARAMETER_PATTERNS = {"int": r"(-?\d+)", "float": NUMBER, "double": NUMBER, "bigdecimal": NUMBER, "word": r"([^\s]+)", "string": "(\"[^\"]*\"|'[^']*')"}

@@ -1,76 +1,147 @@
 """Binding scenario steps to step definitions by their patterns.
 
-A regex join is a nested loop if taken literally. Here distinct texts meet distinct patterns; patterns that are
-plain text join by equality, patterns that begin with plain text join on a prefix of one of a few lengths, and
-only those left over, whose number is checked, meet every text.
+A regex join is a nested loop if taken literally. Here patterns that are plain text join distinct texts by equality. For the others, the
+texts that every match must contain are read off the pattern; an automaton over all of them passes once over each distinct text and
+names the patterns that can fit it, and only those are tried. Patterns that require no text at all are tried on every text.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from ..functions import patterns as P
+from ..functions.expressions import pattern_of
+
+#: Patterns that are shipped to the tasks at a time; more are searched for in turns.
+PATTERNS = 50_000
 
-from ..functions.expressions import DIALECT, pattern_of
-from .storage import cut
 
-#: Lengths of the literal prefixes on which patterns are joined.
-PREFIXES = (32, 16, 8, 4, 2, 1)
-#: Patterns without a literal prefix that may be broadcast to all texts; beyond, they are spread over the cluster.
-LOOSE = 10_000
+def _with_pattern(definitions: DataFrame, expression: str, kind: str, good: bool) -> DataFrame:
+    """definitions with `pattern` and without what can't be read, or those that can't be read with `problem`."""
+    made = "pattern" if good else "problem"
+    definitions = definitions.drop(made)
+    e, k = definitions.columns.index(expression), definitions.columns.index(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            patterns = [pattern_of(x, y) for x, y in zip(batch.column(e).to_pylist(), batch.column(k).to_pylist(), strict=True)]
+            wrong = [P.problem(p) for p in patterns]
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(patterns if good else wrong, pa.string())], [*batch.schema.names, made])
+            yield out.filter(pa.array([(w is None) == good for w in wrong], pa.bool_()))
+
+    return definitions.mapInArrow(run, StructType([*definitions.schema.fields]).add(made, StringType()))
 
 
 def compiled(definitions: DataFrame, expression: str = "expression", kind: str = "expression_kind") -> DataFrame:
-    """definitions with `pattern`, without those whose pattern isn't a regex. Definitions are code: few."""
-    spark = definitions.sparkSession
-    pairs = definitions.select(expression, kind).distinct().collect()
-    compiler = spark._jvm.java.util.regex.Pattern
-    good = []
-    for e, k in pairs:
-        p = pattern_of(e, k)
-        try:
-            compiler.compile(DIALECT + p)
-        except Exception:
-            continue
-        good.append((e, k, p))
-    table = spark.createDataFrame(good, "__e string, __k string, pattern string")
-    match = F.col(expression).eqNullSafe(F.col("__e")) & (F.col(kind) == F.col("__k"))
-    return definitions.join(F.broadcast(table), match).drop("__e", "__k")
-
-
-def _literal(pattern: Column) -> Column:
-    """The text that an anchored pattern without metacharacters stands for; null for others."""
-    core = F.expr("substring(pattern, 2, length(pattern) - 2)")
-    plain = ~core.rlike(r"[\\^$.|?*+()\[\]{}]")
-    return F.when(pattern.startswith("^") & pattern.endswith("$") & plain, core)
-
-
-def _prefix(pattern: Column) -> Column:
-    """Text with which everything that an anchored pattern matches begins; alternatives on the top level have none."""
-    flat = F.regexp_replace(F.regexp_replace(pattern, r"\\.", ""), r"\([^()]*\)", "")
-    lead = r"^\^([^\\^$.|?*+()\[\]{}]*)([?*{])?"
-    head, optional = F.regexp_extract(pattern, lead, 1), F.regexp_extract(pattern, lead, 2) != ""
-    sure = F.when(optional, head.substr(F.lit(1), F.greatest(F.lit(0), F.length(head) - 1))).otherwise(head)
-    return F.when(flat.contains("|") | ~pattern.startswith("^"), "").otherwise(sure)
+    """definitions with `pattern`, without those whose pattern can't be read: they fit no step."""
+    return _with_pattern(definitions, expression, kind, True)
+
+
+def unreadable(definitions: DataFrame, expression: str = "expression", kind: str = "expression_kind") -> DataFrame:
+    """The definitions that compiled() leaves out, with the `problem` of each."""
+    return _with_pattern(definitions, expression, kind, False)
+
+
+class Finder:
+    """Which of many patterns fit a text. Made on the driver as a list, it gets ready in each worker when it is first asked."""
+
+    def __init__(self, patterns: list[str]):
+        self.patterns, self._ready = patterns, None
+
+    def __getstate__(self) -> dict:
+        return {"patterns": self.patterns, "_ready": None}
+
+    def _prepare(self) -> tuple:
+        import ahocorasick
+
+        read = [P.read(p) for p in self.patterns]
+        times = Counter(f for r in read for need in r.needs for f in need)
+        triggers: dict[str, list[int]] = {}
+        rest, always = [], []
+        for k, r in enumerate(read):
+            # Of a pattern's required texts, those that the fewest other patterns share.
+            key = min(r.needs, key=lambda need: (max(times[f] for f in need), -min(map(len, need))), default=None)
+            rest.append([need for need in r.needs if need != key])
+            for f in key or ():
+                triggers.setdefault(f, []).append(k)
+            if key is None:
+                always.append(k)
+        automaton = ahocorasick.Automaton()
+        for f, ks in triggers.items():
+            automaton.add_word(f, ks)
+        if triggers:
+            automaton.make_automaton()
+        return automaton if triggers else None, rest, always, [None] * len(read), read
+
+    def candidates(self, text: str) -> list[int]:
+        """Numbers of the patterns whose required texts are all in a text."""
+        self._ready = self._ready or self._prepare()
+        automaton, rest, always, _, _ = self._ready
+        low = P.fold(text)
+        found = {k for _, ks in automaton.iter(low) for k in ks} if automaton is not None else set()
+        return sorted([k for k in found if all(any(f in low for f in need) for need in rest[k])] + always)
+
+    def fitting(self, text: str) -> list[str]:
+        import regex
+
+        out = []
+        for k in self.candidates(text):
+            made = self._ready[3]
+            made[k] = made[k] or regex.compile(self._ready[4][k].text)
+            if made[k].search(text):
+                out.append(self.patterns[k])
+        return out
+
+
+def _fits(texts: DataFrame, patterns: list[str]) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(Finder(patterns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            found = [shared.value.fitting(t) for t in own]
+            rows = [t for t, f in zip(own, found, strict=True) for _ in f], [p for f in found for p in f]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in rows], ["text", "pattern"])
+
+    return texts.mapInArrow(run, "text string, pattern string")
+
+
+def _read(patterns: DataFrame) -> DataFrame:
+    """(pattern, literal) of the patterns that can be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [p for p in batch.column(0).to_pylist() if P.problem(p) is None]
+            yield pa.RecordBatch.from_arrays([pa.array(good, pa.string()), pa.array([P.read(p).literal for p in good], pa.string())], ["pattern", "literal"])
+
+    return patterns.mapInArrow(run, "pattern string, literal string")
 
 
 def matches(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(text, pattern) of all pairs of distinct texts and distinct patterns where the pattern is found in the text."""
+    """(text, pattern) of all pairs of distinct texts and distinct patterns where the pattern is found in the text.
+
+    Null texts and patterns fit nothing, and neither does a pattern that can't be read.
+    """
     texts = texts.select("text").where(F.col("text").isNotNull()).distinct()
-    # The patterns, a row for each, are made once: else what makes them is compiled into every comparison with a text.
-    p = cut(patterns.select("pattern").distinct())
-    p = cut(p.select("pattern", _literal(F.col("pattern")).alias("literal"), _prefix(F.col("pattern")).alias("prefix")))
-    plain = texts.join(p.where("literal is not null"), F.col("text") == F.col("literal")).select("text", "pattern")
-    level = F.coalesce(*[F.when(F.length("prefix") >= n, F.lit(n)) for n in PREFIXES], F.lit(0))
-    rest = p.where("literal is null").withColumn("level", level).withColumn("head", F.expr("left(prefix, level)"))
-    found = F.expr(f"text rlike concat('{DIALECT}', pattern)")
-    heads = texts.withColumn("at", F.explode(F.array(*[F.lit(n) for n in PREFIXES]))).where(F.length("text") >= F.col("at"))
-    heads = heads.select("text", "at", F.expr("left(text, at)").alias("start"))
-    led = heads.join(rest.where("level > 0"), (F.col("at") == F.col("level")) & (F.col("start") == F.col("head"))).where(found)
-    loose = rest.where("level = 0").select("pattern")
-    few = loose.limit(LOOSE + 1).count() <= LOOSE
-    met = texts.crossJoin(F.broadcast(loose) if few else loose).where(found)
-    return plain.unionByName(led.select("text", "pattern")).unionByName(met.select("text", "pattern"))
+    p = _read(patterns.select("pattern").where(F.col("pattern").isNotNull()).distinct())
+    # $ also fits before a line end that is the text's last character.
+    stem = F.when(F.endswith("text", F.lit("\n")), F.expr("left(text, length(text) - 1)")).otherwise(F.col("text"))
+    out = texts.join(p.where("literal is not null"), stem == F.col("literal")).select("text", "pattern")
+    rest = p.where("literal is null").select("pattern")
+    few = [r[0] for r in rest.limit(PATTERNS + 1).collect()]
+    turns = 1 if len(few) <= PATTERNS else -(-rest.count() // PATTERNS) + 1
+    for t in range(turns):
+        own = few if turns == 1 else [r[0] for r in rest.where(F.pmod(F.xxhash64("pattern"), F.lit(turns)) == t).collect()]
+        if own:
+            out = out.unionByName(_fits(texts, own))
+    return out
 
 
 def binding_edges(steps: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -123,23 +194,22 @@ def effective_keyword(steps: DataFrame, scenario: str = "scenario_id", ordinal:
 
 
 def captures(pairs: DataFrame, text: str = "text", pattern: str = "pattern") -> DataFrame:
-    """Adds `captures`: the groups of each match that took part, in order."""
-    import pyarrow as pa
-    from pyspark.sql.types import ArrayType, StringType, StructType
-
+    """Adds `captures`: the groups of each match that took part, unnamed ones first, then named ones, each in order."""
     schema = StructType([*pairs.schema.fields]).add("captures", ArrayType(StringType()))
     t, p = pairs.columns.index(text), pairs.columns.index(pattern)
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
         known: dict = {}
         for batch in batches:
             out = []
             for x, y in zip(batch.column(t).to_pylist(), batch.column(p).to_pylist(), strict=True):
-                r = known.get(y) or known.setdefault(y, regex.compile(y))
-                m = r.search(x) if x is not None else None
-                out.append([g for g in m.groups() if g is not None] if m else [])
+                if y not in known:
+                    r = P.read(y) if y is not None and P.problem(y) is None else None
+                    known[y] = r and (regex.compile(r.text), r.groups)
+                m = known[y][0].search(x) if known[y] and x is not None else None
+                out.append([m[g] for g in known[y][1] if m[g] is not None] if m else [])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], [*batch.schema.names, "captures"])
 
     return pairs.mapInArrow(run, schema)
