@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import folded, salient_tokens, search_phrases
 from ..testmap import TestMap
+from .postings import open_index
 
 
 def search(df: DataFrame, columns: list[str], query: str) -> DataFrame:
@@ -40,12 +41,27 @@ def scenario_index(m: TestMap) -> DataFrame:
     return out.select("id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("feature_name", "scenario_name", "step_text", "tags")])
 
 
+STEP_COLUMNS = ["expression", "method_name", "class_name"]
+SCENARIO_COLUMNS = ["feature_name", "scenario_name", "step_text", "tags"]
+#: What a map stores beside its tables, below FOLDER: the rows that are searched, and their columns.
+FOLDER = "search"
+INDEXES = {"steps": (step_index, STEP_COLUMNS), "scenarios": (scenario_index, SCENARIO_COLUMNS)}
+
+
+def _search(m: TestMap, name: str, query: str) -> DataFrame:
+    make, columns = INDEXES[name]
+    if name not in m.indexes:
+        return search(make(m), columns, query).orderBy("id")
+    return open_index(m.meta.sparkSession, m.indexes[name]).search(make(m), "id", query).orderBy("id")
+
+
 def search_steps(m: TestMap, query: str) -> DataFrame:
-    return search(step_index(m), ["expression", "method_name", "class_name"], query).orderBy("id")
+    """Step definitions that have all phrases of a query, by the map's stored index if it has one."""
+    return _search(m, "steps", query)
 
 
 def search_scenarios(m: TestMap, query: str) -> DataFrame:
-    return search(scenario_index(m), ["feature_name", "scenario_name", "step_text", "tags"], query).orderBy("id")
+    return _search(m, "scenarios", query)
 
 
 def suggestions(texts: DataFrame, index: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:

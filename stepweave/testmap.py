@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .schema import TABLES
+
 
 @dataclass
 class TestMap:
@@ -23,9 +25,11 @@ class TestMap:
     endpoints: DataFrame
     edges: DataFrame
     diagnostics: DataFrame
+    #: Folders of stored search indexes by name; a map without them is searched by scan.
+    indexes: dict[str, str] = field(default_factory=dict)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {f.name: getattr(self, f.name) for f in fields(self)}
+        return {t: getattr(self, t) for t in TABLES}
 
     def edge(self, *kinds: str) -> DataFrame:
         return self.edges.where(F.col("edge_kind").isin(*kinds))
