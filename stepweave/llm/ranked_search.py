@@ -37,7 +37,7 @@ from .tokens import BETWEEN_TERMS, counts, tokens
 
 TOP = 10
 BLOCK = 128
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 16 << 20
 SEGMENT_DOCS = 1 << 16
 #: Documents of the first run of stretches; each further run has four times as many.
 FIRST = 1024
