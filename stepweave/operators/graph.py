@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..testmap import TestMap
-from .storage import cut
+from . import reach
 
 #: Edges up to which a graph is broadcast and each seed is followed inside one task.
 SMALL_GRAPH = 500_000
@@ -19,13 +19,13 @@ def closure(seeds: DataFrame, adjacency: DataFrame) -> DataFrame:
     """(seed, node): every node that a seed's nodes reach along adjacency (src, dst), the start included.
 
     seeds: (seed, node). The graph of a code base is small, so it is counted and broadcast, and seeds are spread over
-    the tasks. Beyond SMALL_GRAPH edges a semi-naive loop joins the newly reached nodes with the edges until none is new.
+    the tasks. Beyond SMALL_GRAPH edges it is condensed, and bits of seeds travel through its components.
     """
     seeds = seeds.select("seed", "node").distinct()
     edges = adjacency.select("src", "dst").where("src <> dst").distinct()
     found = edges.limit(SMALL_GRAPH + 1).collect()
     if len(found) > SMALL_GRAPH:
-        return _semi_naive(seeds, edges)
+        return reach.closure(seeds, edges)
     out: dict = {}
     for s, d in found:
         out.setdefault(s, []).append(d)
@@ -45,17 +45,6 @@ def closure(seeds: DataFrame, adjacency: DataFrame) -> DataFrame:
     return seeds.groupBy("seed").applyInArrow(run, seeds.schema)
 
 
-def _semi_naive(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    edges = cut(edges)
-    reached = fresh = cut(seeds)
-    while True:
-        step = fresh.join(edges, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        fresh = cut(step.join(reached, ["seed", "node"], "left_anti"))
-        if fresh.isEmpty():
-            return reached
-        reached = cut(reached.unionByName(fresh))
-
-
 def inherit_adjacency(m: TestMap) -> DataFrame:
     """Base class to derived class."""
     return m.edge("inherits").select(F.col("to_id").alias("src"), F.col("from_id").alias("dst"))
