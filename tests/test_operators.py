@@ -14,34 +14,69 @@ def frame(spark, table, rows):
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], TABLES[table])
 
 
-def small_map(spark):
-    """A page object and its base, used by one step; another step uses nothing."""
-    place = {"file_path": "f", "line_start": 1, "line_end": 2, "project_id": 1}
+# An observatory: drivers with a common base that needs a clock which needs the base, a tower that uses both drivers, two classes of steps.
+CLASSES = {21: ("NightSteps", "step_class"), 22: ("DaySteps", "step_class"), 31: ("Axis", "page_object"), 32: ("Mount", "page_object"), 33: ("Dome", "page_object"), 34: ("Clock", "api_client"), 35: ("Tower", "helper")}
+METHODS = {41: (21, "Point"), 42: (21, "Shut"), 43: (22, "Tick"), 44: (22, "Climb"), 45: (31, "Turn"), 46: (34, "Read"), 47: (35, "Lift")}
+EXPRESSIONS = {51: (41, "the dome is (open|shut)"), 52: (42, "the dome is shut"), 53: (43, "it strikes {int}"), 54: (44, "we climb")}
+USES = [(41, 32), (42, 33), (44, 35), (45, 34), (46, 31), (47, 32), (47, 33)]
+INHERITS = [(32, 31), (33, 31)]
+CALLS = [(43, 71), (46, 72)]
+STEPS = {61: (1, "the dome is shut"), 62: (2, "it strikes 9"), 63: (3, "we climb"), 64: (3, "we sleep")}
+BINDS = [(61, 51), (61, 52), (62, 53), (63, 54)]
+SCENARIOS = {1: 81, 2: 81, 3: 82}
+
+
+def observatory(spark):
+    place = {"file_path": "o.cs", "line_start": 1, "line_end": 2, "project_id": 9}
     t = {n: empty(spark, n) for n in TABLES}
-    t["classes"] = frame(spark, "classes", [{"id": i, "name": n, "namespace": "", "kind": k, **place} for i, n, k in [(1, "Steps", "step_class"), (2, "TicketPage", "page_object"), (3, "BasePage", "page_object")]])
-    t["methods"] = frame(spark, "methods", [{"id": i, "class_id": c, "name": n, "signature": n, "visibility": "public", "kind": "other", **place} for i, c, n in [(1, 1, "Buy"), (2, 1, "Other"), (5, 2, "Open")]])
-    t["step_definitions"] = frame(spark, "step_definitions", [{"id": i, "method_id": i, "class_id": 1, "keyword": "Given", "expression": e, "expression_kind": "regex", **place} for i, e in [(1, "rider buys a ticket"), (2, "rider walks on")]])
-    t["features"] = frame(spark, "features", [{"id": 1, "project_id": 1, "name": "Login", "file_path": "f"}])
-    t["scenarios"] = frame(spark, "scenarios", [{"id": i, "feature_id": 1, "name": n, "kind": "scenario", "example_row_count": 0, **place} for i, n in [(1, "Buying"), (2, "Walking")]])
-    t["scenario_steps"] = frame(spark, "scenario_steps", [{"id": i, "scenario_id": i, "keyword": "Given", "text": x, "ordinal": 0, "has_docstring": False, "has_table": False, **place} for i, x in [(1, "rider buys a ticket"), (2, "rider walks on")]])
-    t["endpoints"] = frame(spark, "endpoints", [{"id": 10, "verb": "GET", "route": "/a"}, {"id": 11, "verb": "GET", "route": "/b"}])
-    e = [("scenario_step", 1, "step_definition", 1, "binds_to"), ("scenario_step", 2, "step_definition", 2, "binds_to"), ("method", 1, "class", 2, "uses_type"), ("class", 2, "class", 3, "inherits"), ("method", 1, "endpoint", 10, "calls_endpoint"), ("method", 5, "endpoint", 11, "calls_endpoint")]
-    t["edges"] = spark.createDataFrame([(*x, "exact") for x in e], TABLES["edges"])
+    t["classes"] = frame(spark, "classes", [{"id": i, "name": n, "namespace": "", "kind": k, **place} for i, (n, k) in CLASSES.items()])
+    t["methods"] = frame(spark, "methods", [{"id": i, "class_id": c, "name": n, "signature": n, "visibility": "public", "kind": "other", **place} for i, (c, n) in METHODS.items()])
+    t["step_definitions"] = frame(spark, "step_definitions", [{"id": i, "method_id": m, "class_id": METHODS[m][0], "keyword": "When", "expression": e, "expression_kind": "regex", **place} for i, (m, e) in EXPRESSIONS.items()])
+    t["features"] = frame(spark, "features", [{"id": i, "project_id": 9, "name": n, "file_path": "o.feature"} for i, n in ((81, "Night"), (82, "Day"))])
+    t["scenarios"] = frame(spark, "scenarios", [{"id": i, "feature_id": f, "name": f"Watch {i}", "kind": "scenario", "example_row_count": 0, **place} for i, f in SCENARIOS.items()])
+    t["scenario_steps"] = frame(spark, "scenario_steps", [{"id": i, "scenario_id": c, "keyword": "When", "text": x, "ordinal": i, "has_docstring": False, "has_table": False, **place} for i, (c, x) in STEPS.items()])
+    t["endpoints"] = frame(spark, "endpoints", [{"id": 71, "verb": "POST", "route": "/bell"}, {"id": 72, "verb": "GET", "route": "/time"}])
+    e = [("scenario_step", a, "step_definition", b, "binds_to", "ambiguous" if a == 61 else "exact") for a, b in BINDS] + [("scenario_step", 64, "step_definition", None, "unbound", "")]
+    e += [("method", a, "class", b, "uses_type", "exact") for a, b in USES] + [("class", a, "class", b, "inherits", "exact") for a, b in INHERITS] + [("method", a, "endpoint", b, "calls_endpoint", "") for a, b in CALLS]
+    t["edges"] = spark.createDataFrame(e, TABLES["edges"])
     return TestMap(**t)
 
 
-def test_impact_targets(spark):
-    m = small_map(spark)
-    reached = lambda *a: {r["scenario_id"] for r in G.impact(m, *a).scenarios.collect()}
-    assert reached("class", "ticketpage") == {1}
-    assert reached("class", "BasePage") == {1}
-    assert reached("class", "Nope") == set()
-    assert reached("method", "Other") == {2}
-    assert reached("step", "BUYS a") == {1}
-    assert reached("endpoint", "/a") == {1} and reached("endpoint", "/b") == {1}
-    assert G.impact(m, "class", "Nope").summary.first()["found"] is False
+def followed(start, ways):
+    seen = set(start)
+    while more := {b for a, b in ways if a in seen} - seen:
+        seen |= more
+    return seen
+
+
+def affected(classes=(), family=True, methods=(), definitions=(), endpoints=()):
+    """Definitions by the rules of impact, from the lists above."""
+    derived = [(b, a) for a, b in INHERITS]
+    ways = derived + [(c, METHODS[m][0]) for m, c in USES]
+    out = set(definitions) | {d for d, (m, _) in EXPRESSIONS.items() if m in methods}
+    own = followed(classes, derived) if family else set()
+    reach = followed(own | {METHODS[m][0] for m, e in CALLS if e in endpoints}, ways)
+    out |= {d for d, (m, _) in EXPRESSIONS.items() if METHODS[m][0] in own or (m, True) in {(u, c in reach) for u, c in USES}}
+    return out | {d for d, (m, _) in EXPRESSIONS.items() if any((m, e) in CALLS for e in endpoints)}
+
+
+TARGETS = [("class", n.swapcase(), affected(classes=[i])) for i, (n, _) in CLASSES.items()]
+TARGETS += [("method", n.upper(), affected(methods=[i])) for i, (_, n) in METHODS.items()]
+TARGETS += [("step", "DOME is", affected(definitions=[51, 52])), ("step", "strike", affected(definitions=[53])), ("step", "sleep", set())]
+TARGETS += [("endpoint", "/BELL", affected(endpoints=[71])), ("endpoint", "/", affected(endpoints=[71, 72])), ("endpoint", "/time", affected(endpoints=[72])), ("class", "Moon", set())]
+
+
+def test_impact_of_every_target(spark):
+    m = observatory(spark)
+    assert {len(d) for _, _, d in TARGETS} >= {0, 1, 2, 3}
+    for target, value, defs in TARGETS:
+        assert {r["step_definition_id"] for r in G.affected_definitions(m, target, value).collect()} == defs, (target, value)
+    hit = G.impact(m, "class", "clock")
+    assert {(r["scenario_id"], r["feature"], r["via"]) for r in hit.scenarios.collect()} == {(1, "Night", "the dome is shut"), (3, "Day", "we climb")}
+    assert hit.summary.first().asDict() == {"definitions": 3, "scenarios": 2, "features": 2, "found": True}
+    assert G.impact(m, "class", "Moon").summary.first()["found"] is False
     ranked = {r["endpoint_id"]: (r["call_sites"], r["scenarios"]) for r in G.endpoint_ranking(m).collect()}
-    assert ranked == {10: (1, 1), 11: (1, 1)}
+    assert ranked == {71: (1, 1), 72: (1, 2)}
 
 
 def test_closures_agree_on_cycles(spark, monkeypatch):
@@ -58,19 +93,31 @@ def test_scalar_functions(spark):
     assert [one(X.inferred_verb(lit(n))) for n in ("GetBerthRequest", "CreateBerth", "Getter", "Patch", "Thing")] == ["GET", "POST", "ANY", "PATCH", "ANY"]
     assert one(X.route_like(lit("/p:Letter/x"))) is False and one(X.route_like(lit("a/b"))) is True and one(X.route_like(lit("a/b"), strict=True)) is False
     assert [one(X.expression_kind(lit(e), lit("regex"))) for e in ("a {int}", "a.*", "plain")] == ["cucumber_expression", "regex", "regex"]
-    p = one(X.placeholders(lit("the (Rail|Road|RoadToll) (.*) (?:x)"), lit("regex")))
-    assert [(r["kind"], r["type"], r["pattern"]) for r in p] == [("enum", "Rail|Road|RoadToll", None), ("free", None, "(.*)"), ("free", None, "(x)")]
-    assert [r["type"] for r in one(X.placeholders(lit("{int} of {}"), lit("cucumber_expression")))] == ["int", "any"]
+    for parts in (["up|down"], ["\\\\d+", "a b|c.d|e-f"], ["x|(y)"], ["[a-z]", "?:on", "left|right|"], []):
+        p = one(X.placeholders(lit("turn " + " to ".join(f"({x})" for x in parts)), lit("regex")))
+        flat = [x.removeprefix("?:") for x in parts if "(" not in x] + ["y" for x in parts if "(" in x]
+        listed = [set(x) <= set("abcdefghijklmnopqrstuvwxyz .-|") and "|" in x and all(x.split("|")) for x in flat]
+        assert [(r["kind"], r["type"], r["pattern"]) for r in p] == [("enum", x, None) if e else ("free", None, f"({x})") for x, e in zip(flat, listed, strict=True)]
+    for kinds in (["float"], ["", "word", "colour"], []):
+        assert [r["type"] for r in one(X.placeholders(lit(" by ".join(f"{{{k}}}" for k in kinds) + " (s)"), lit("cucumber_expression")))] == [k or "any" for k in kinds]
     hit = lambda n, inc, exc: one(X.glob_filter(lit(n), lit("src/" + n), inc, exc))
     assert hit("Web.Tests", ["*.tests"], []) and hit("Web.Tests", ["src/*"], []) and not hit("Web.Tests", ["src"], []) and not hit("Web.Tests", [], ["web*"])
-    assert X.search_phrases('RX77-Q4 --- "" Élan') == ["rx77 q4", "elan"]
+    for words in (["Öl", "m-3"], ["--", "a.b_c"], ['"x', '"'], []):
+        want = [" ".join("".join(c if c.isalnum() else " " for c in w.replace("Ö", "o").lower()).split()) for w in words]
+        assert X.search_phrases("  ".join(words)) == [w for w in want if w]
     assert (X.clamp_limit(None, 50), X.clamp_limit(0, 50), X.clamp_limit(999, 50)) == (50, 1, 200)
 
 
 def test_search_needs_a_phrase_in_one_column(spark):
-    df = spark.createDataFrame([(1, "RX77-Q4 ok", ""), (2, "rx77", "q4"), (3, "ok", "RX77 Q4")], "id int, a string, b string")
-    found = lambda q: {r["id"] for r in S.search(df, ["a", "b"], q).collect()}
-    assert found("RX77-Q4") == {1, 3} and found("rx77 q4") == {1, 2, 3} and found('--- ""') == set() and found("ok rx77") == {1, 3}
+    cells = ["", "tide", "low tide", "tide-low", "Low, TIDE low", "below tide"]
+    rows = [(10 * i + k, x, y) for i, x in enumerate(cells) for k, y in enumerate(cells)]
+    df = spark.createDataFrame(rows, "id int, a string, b string")
+    parts = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    held = lambda t, phrase: any(parts(t)[k : k + len(phrase)] == phrase for k in range(len(parts(t))))
+    for query in ("tide", "LOW-tide", "tide/low low", "tide low", "low-tide-low", "?"):
+        phrases = [parts(w) for w in query.split() if parts(w)]
+        want = {i for i, x, y in rows if phrases and all(held(x, p) or held(y, p) for p in phrases)}
+        assert {r["id"] for r in S.search(df, ["a", "b"], query).collect()} == want, query
 
 
 def facts(spark, *rows):

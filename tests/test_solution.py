@@ -163,30 +163,43 @@ def test_sqlite_import_of_an_older_map(spark, tmp_path):
     assert m.projects.first()["name"] == "P" and m.endpoints.first()["path"] is None and m.features.count() == 0
 
 
-def routes():
-    """Calls made from a verb, a shape and a noun each, and lookalikes that are none."""
-    nouns = iter("tariffs lockers berths bridges ferries depots gauges".split())
-    for verb in ("Get", "Put", "Delete"):
-        noun = next(nouns)
-        yield f'gateway.{verb}Async("/v2/{noun}"' + (", load" if verb == "Put" else "") + ");", [(verb.upper(), f"/v2/{noun}")]
-        yield f'Dispatch(HttpMethod.{verb}, $"/v2/{noun}/{{code}}/log");', [(verb.upper(), f"/v2/{noun}/{{code}}/log")]
-        yield f'var call = new RestRequest("/v2/{noun}/open", Method.{verb});', [(verb.upper(), f"/v2/{noun}/open")]
-    noun = next(nouns)
-    yield f'hub.PostAsJsonAsync("v2/{noun}", load);', [("POST", f"v2/{noun}")]
-    yield f'call.Resource = "/v2/{noun}";', [("ANY", f"/v2/{noun}")]
-    yield f'new RestRequest("/v2/{noun}").ToString();', [("GET", f"/v2/{noun}")]
-    yield "gateway.DeleteAsync(Fixed);", [("DELETE", "/v2/fixed")]
-    for other in ('map.Get("two words");', 'shelf.Get("books");', "list.Delete(rows);", 'tree.Get("//p:q/r");', 'tree.Get("/p:Q/node()");'):
-        yield other, []
-
-
-ROUTES = list(routes())
-
-
-@pytest.mark.parametrize("body,want", ROUTES)
-def test_endpoint_calls(body, want):
-    types, _ = csharp.scan(f'class C {{ const string Fixed = "/v2/fixed"; void M() {{ {body} }} }}')
-    assert types[0].methods[0].calls == want
+# A grid of what is called, how the text is written, and where it stands; what is found follows from the rules of the scan.
+CLIENT = [("GetAsync", "GET", False), ("PostAsJsonAsync", "POST", False), ("PutAsync", "PUT", False), ("DeleteAsync", "DELETE", False), ("Get", "GET", True), ("PatchMany", "PATCH", True), ("Getaway", None, True), ("Forget", None, True), ("Print", None, True)]
+TEXTS = ["/quay/7", "quay/list", "quay", "two words/x", "//quay", "/quay()", "/a:Quay/b", "https://h/quay", "quay/{id}", ""]
+WRITTEN = {"plain": '"{}"', "verbatim": '@"{}"', "named": "Named"}
+
+
+def looks_like_a_route(text, strict):
+    after_scheme = text.replace("://", "")
+    name_step = any(a and a[0].isalpha() and a.replace("_", "").isalnum() and b[:1].isalpha() for a, _, b in (part.partition(":") for part in after_scheme.split("/")[1:]))
+    ok = bool(text) and not any(c.isspace() for c in text) and "/" in text and text[:2] != "//" and "()" not in text and not name_step
+    return ok and (not strict or text[0] == "/" or "://" in text or "/{" in text)
+
+
+def grid():
+    for name, verb, strict in CLIENT:
+        for text in TEXTS:
+            for form in WRITTEN.values():
+                found = [(verb, text)] if verb and looks_like_a_route(text, strict) else []
+                yield f"dock.{name}({form.format(text)}, load);", text, found
+                yield f"dock.{name}(load, {form.format(text)});", text, []  # the first argument is the route
+        yield f"dock.{name}();", "", []
+    for text in TEXTS:
+        for member in ("Put", "Head"):  # a verb among the arguments: the route may be any of them
+            found = [(member.upper(), text)] if looks_like_a_route(text, False) else []
+            yield f'dock.Send(HttpMethod.{member}, "{text}");', text, found
+            yield f'dock.Send("{text}", load, HttpMethod.{member});', text, found
+            yield f'new RestRequest("{text}", Method.{member});', text, found
+        yield f'new RestRequest("{text}");', text, [("GET", text)] if looks_like_a_route(text, False) else []
+        yield f'call.Resource = "{text}";', text, [("ANY", text)] if looks_like_a_route(text, False) else []
+
+
+def test_endpoint_calls():
+    for body, text, want in grid():
+        types, _ = csharp.scan(f'class C {{ const string Named = "{text}"; void M() {{ {body} }} }}')
+        assert types[0].methods[0].calls == want, (body, text)
+    interpolated, _ = csharp.scan('class C { void M(int n) { dock.GetAsync($"/quay/{n}/log"); } }')
+    assert interpolated[0].methods[0].calls == [("GET", "/quay/{n}/log")]
 
 
 def test_gherkin_dialects_and_failures():

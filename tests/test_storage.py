@@ -70,7 +70,7 @@ def test_a_stored_map_is_searched_by_its_index(spark, tmp_path):
     store.save(m, str(tmp_path / "map"))
     back = store.load(spark, str(tmp_path / "map"))
     assert set(back.indexes) == {"steps", "scenarios"} and not m.indexes
-    for find, query in ((S.search_steps, "DoorSteps the-door"), (S.search_scenarios, "yard Case-2")):
+    for find, query in ((S.search_steps, "DoorSteps the-door"), (S.search_scenarios, "Doors Case-2")):
         assert [r["id"] for r in find(back, query).collect()] == [r["id"] for r in find(m, query).collect()] != []
     assert [r["id"] for r in S.search_steps(back, "the-door opens").collect()] == [3]
 
