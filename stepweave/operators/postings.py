@@ -30,10 +30,14 @@ def tokens(column: Column) -> Column:
 
 
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, id, column, positions) of df's columns; the column by its place in the list, positions from 0 in order."""
+    """(term, id, row, column, positions) of df's columns; the column by its place in the list, positions from 0 in order.
+
+    row is a hash of a row's texts: of rows that share an id, it tells those apart whose texts differ.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("column"), tokens(F.col(c)).alias("own")) for k, c in enumerate(columns)]))
-    rows = df.select(F.col(key).alias("id"), each.alias("e")).select("id", "e.column", F.posexplode("e.own").alias("at", "term"))
-    return rows.groupBy("term", "id", "column").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    rows = df.select(F.col(key).alias("id"), F.hash(*[F.col(c).cast("string") for c in columns]).alias("row"), each.alias("e"))
+    rows = rows.select("id", "row", "e.column", F.posexplode("e.own").alias("at", "term"))
+    return rows.groupBy("term", "id", "row", "column").agg(F.array_sort(F.collect_set("at")).alias("positions"))
 
 
 @dataclass
@@ -68,7 +72,7 @@ class SearchIndex:
             own = self._rows({term})
             if term != rarest:
                 own = own.where(F.col("block").isin(named)) if len(named) <= NAMED_BLOCKS else own.join(blocks, "block", "left_semi")
-            return own.select(F.explode("postings").alias("p")).select("p.id", "p.column", "p.positions")
+            return own.select(F.explode("postings").alias("p")).select("p.id", "p.row", "p.column", "p.positions")
 
         out = None
         for phrase in sorted(phrases, key=lambda p: min(known[t] for t in p)):
@@ -87,13 +91,13 @@ def _phrase(phrase: list[str], known: dict[str, int], of) -> DataFrame:
     order = sorted(range(len(phrase)), key=lambda k: (known[phrase[k]], k))
 
     def starts(k: int) -> DataFrame:
-        return of(phrase[k]).select("id", "column", F.transform("positions", lambda x: x - k).alias("starts"))
+        return of(phrase[k]).select("id", "row", "column", F.transform("positions", lambda x: x - k).alias("starts"))
 
     out = starts(order[0])
     for k in order[1:]:
-        other = starts(k).select(F.col("id").alias("o_id"), F.col("column").alias("o_column"), F.col("starts").alias("o_starts"))
-        met = out.join(other, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("column") == F.col("o_column")))
-        out = met.select("id", "column", F.array_intersect("starts", "o_starts").alias("starts")).where(F.size("starts") > 0)
+        other = starts(k).toDF("o_id", "o_row", "o_column", "o_starts")
+        met = out.join(other, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("row") == F.col("o_row")) & (F.col("column") == F.col("o_column")))
+        out = met.select("id", "row", "column", F.array_intersect("starts", "o_starts").alias("starts")).where(F.size("starts") > 0)
     return out.select("id").distinct()
 
 
@@ -102,12 +106,13 @@ def _bucket(term: str, buckets: int) -> int:
 
 
 def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> SearchIndex:
-    """Indexes columns of df at path. Rows whose keys are equal count as one row that has all their texts; null texts have no terms."""
+    """Indexes columns of df at path. A phrase stands in one text of one row; of rows that share a key, each phrase
+    of a query may be found in another one. Null texts have no terms."""
     n = df.count()
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     blocks = max(1, -(-n // BLOCK_ROWS))
     rows = postings(df, key, columns).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("id", "column", "positions"))).alias("postings")
+    held = F.array_sort(F.collect_list(F.struct("id", "row", "column", "positions"))).alias("postings")
     grouped = rows.groupBy("term", "block").agg(held, F.count(F.lit(1)).alias("n"))
     grouped = grouped.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
     # Partitions by term of very unequal size are split and joined by Spark as it writes.

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.analytics import call_edges, deduplicated_endpoints
 from ..operators.binding import binding_edges
-from ..schema import empty
+from ..schema import TABLES, aligned, empty
 from ..testmap import TestMap
 
 PRELUDE = """
@@ -187,3 +187,14 @@ def derived_map(spark: SparkSession, sf_dir: str) -> TestMap:
         edges=f.edge,
         diagnostics=empty(spark, "diagnostics"),
     )
+
+
+def whole_map(spark: SparkSession, sf_dir: str) -> TestMap:
+    """The derived map with all columns of the schema; those that it has no facts for are empty texts, zeros, false or null."""
+    m = derived_map(spark, sf_dir)
+    blank = {"string": "", "long": 0, "integer": 0, "boolean": False}
+    tables = {}
+    for name, df in m.tables().items():
+        new = {f.name: F.lit(None if f.nullable else blank[f.dataType.typeName()]) for f in TABLES[name] if f.name not in df.columns}
+        tables[name] = aligned(df.withColumns(new), name)
+    return TestMap(**tables)

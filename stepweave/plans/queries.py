@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +14,11 @@ from ..operators import analytics as A
 from ..operators import binding as B
 from ..operators import classify as C
 from ..operators import graph as G
+from ..operators import compare, postings, reach, structural
 from ..operators import search as S
-from ..operators import structural
-from .derived import PRELUDE, Facts, derived_map
+from ..operators.storage import Scratch, cut, ensure_folder
+from ..sources import csharp, gherkin
+from .derived import PRELUDE, Facts, derived_map, whole_map
 
 _FOUND: dict[str, tuple[Callable, str | None]] = {}
 
@@ -526,3 +529,140 @@ def logical_dump(spark, sf):
 @_query("""select cast(row_number() over (order by name, ptype, id desc) as bigint) id, name from m_method""")
 def id_assignment(spark, sf):
     return structural.numbered(Facts(spark, sf).method, [F.col("name"), F.col("ptype"), F.col("id").desc()]).select("id", "name")
+
+
+# stored search
+
+def _stored(spark, df, key, columns):
+    """An index of df in a folder of its own below the checkpoint folder."""
+    return postings.write_index(df, key, columns, f"{ensure_folder(spark).rstrip('/')}/stepweave-index-{uuid.uuid4().hex}")
+
+
+@_query(f"select doc_id from documents where contains({FOLD.format('text')}, ' licensed ') and contains({FOLD.format('text')}, ' 4 0 ')", prelude=False)
+def stored_search_documents(spark, sf):
+    return _stored(spark, Facts(spark, sf).read("documents"), "doc_id", ["text"]).ids("Licensed 4.0").withColumnRenamed("id", "doc_id")
+
+
+@_query(f"""select distinct conv_id from conversations where contains({FOLD.format('text')}, ' the of ') or contains({FOLD.format('role')}, ' the of ')""", prelude=False)
+def stored_search_phrase(spark, sf):
+    return _stored(spark, Facts(spark, sf).read("conversations"), "conv_id", ["text", "role"]).ids('"the:of"').withColumnRenamed("id", "conv_id")
+
+
+@_query(f"""select s.id from m_scenario s join (select scenario_id, string_agg(text, ' ' order by ordinal) x from m_step group by 1) t on t.scenario_id = s.id left join m_feature f on f.id = s.feature_id
+  where (contains({FOLD.format('t.x')}, ' click ') or contains({FOLD.format('f.name')}, ' click ') or contains({FOLD.format('s.name')}, ' click ') or contains({FOLD.format('s.tags')}, ' click '))
+  and (contains({FOLD.format('t.x')}, ' feature 12 ') or contains({FOLD.format('f.name')}, ' feature 12 ') or contains({FOLD.format('s.name')}, ' feature 12 ') or contains({FOLD.format('s.tags')}, ' feature 12 '))""")
+def stored_search_scenarios(spark, sf):
+    m = derived_map(spark, sf)
+    return _stored(spark, S.scenario_index(m), "id", S.SCENARIO_COLUMNS).ids("click feature-12")
+
+
+@_query(f"""select term, id, 0 as column, string_agg(cast(k as varchar), ',' order by k) positions from
+  (select id, unnest(t) term, generate_subscripts(t, 1) - 1 k from (select id, list_filter(string_split(trim({FOLD.format('text')}), ' '), lambda x: x <> '') t from m_step)) group by 1, 2""")
+def search_postings(spark, sf):
+    return postings.postings(Facts(spark, sf).step, "id", ["text"]).select("term", "id", "column", F.array_join("positions", ",").alias("positions"))
+
+
+# cycles, and reach by components
+
+@_query(""", m_way(src, dst) as (select src, dst from m_adj union select w.src, a.dst from m_way w join m_adj a on a.src = w.dst)
+select a.src class_id, least(a.src, min(a.dst)) cycle, cast(count(distinct a.dst) + 1 as bigint) classes from m_way a join m_way b on b.src = a.dst and b.dst = a.src where a.src <> a.dst group by 1""")
+def class_cycles(spark, sf):
+    """Classes that need each other in a circle, by the least of them."""
+    with Scratch(spark) as scratch:
+        own = reach.components(scratch.cut, G.class_adjacency(derived_map(spark, sf)))
+        members = own.unionByName(own.select(F.col("component").alias("node"), "component")).distinct()
+        sizes = members.groupBy(F.col("component").alias("c")).agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("classes"))
+        return cut(members.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("class_id"), "cycle", "classes"))
+
+
+@_query("""select r.e endpoint_id, r.c class_id from (with recursive w(e, c) as (select distinct k.endpoint_id, m.class_id from m_calls k join m_method m on m.id = k.method_id
+  union select w.e, a.dst from w join m_adj a on a.src = w.c) select e, c from w) r""")
+def condensed_reach(spark, sf):
+    """What endpoint_reach() finds, by the way of graphs that are too large to broadcast."""
+    m = derived_map(spark, sf)
+    return reach.closure(G.endpoint_seeds(m), G.class_adjacency(m)).select(F.col("seed").alias("endpoint_id"), F.col("node").alias("class_id"))
+
+
+# dumps and comparisons
+
+DUMP = """, m_lines as (
+  select 'version' tab, 'user_version=5' line
+  union all select 'projects', concat_ws('|', 'project', id, name, concat('src/', name), '', '') from m_project
+  union all select 'classes', concat_ws('|', 'class', id, project_id, name, '', '', kind, '', 0, 0) from m_class
+  union all select 'methods', concat_ws('|', 'method', id, class_id, project_id, name, '', '', '', '', 0, 0) from m_method
+  union all select 'step_definitions', concat_ws('|', 'stepdef', id, method_id, class_id, project_id, keyword, pattern, 'regex', '', '', 0) from m_stepdef
+  union all select 'features', concat_ws('|', 'feature', id, project_id, name, '', '') from m_feature
+  union all select 'scenarios', concat_ws('|', 'scenario', id, feature_id, name, 'scenario', coalesce(tags, ''), 0, 1) from m_scenario
+  union all select 'scenario_steps', concat_ws('|', 'step', id, scenario_id, keyword, text, ordinal, 0) from m_step
+  union all select 'endpoints', concat_ws('|', 'endpoint', id, verb, route) from m_endpoint
+  union all select 'edges', concat_ws('|', 'edge', from_kind, from_id, to_kind, coalesce(cast(to_id as varchar), ''), edge_kind, coalesce(confidence, '')) from m_edge)
+"""
+
+
+@_query(DUMP + "select line from m_lines")
+def map_dump(spark, sf):
+    return A.map_dump(whole_map(spark, sf)).select("line")
+
+
+@_query(DUMP + """select tab "table", count(*) n, concat_ws('-', sum(a), sum(b), sum(c), sum(d)) digest from (select tab, cast(concat('0x', substr(h, 1, 15)) as bigint) a, cast(concat('0x', substr(h, 16, 15)) as bigint) b,
+  cast(concat('0x', substr(h, 31, 15)) as bigint) c, cast(concat('0x', substr(h, 46, 15)) as bigint) d from (select tab, sha256(line) h from m_lines)) group by 1""")
+def map_digests(spark, sf):
+    return compare.digests(whole_map(spark, sf))
+
+
+@_query("""select 'classes' "table", s.side, id "at", concat_ws('|', 'class', id, project_id, concat(name, case when s.side = '+' then 'X' else '' end), '', '', kind, '', 0, 0) line
+  from m_class, (values ('-'), ('+')) s(side) where id % 23 = 5
+  union all select 'scenario_steps', '-', id, concat_ws('|', 'step', id, scenario_id, keyword, text, ordinal, 0) from m_step where id % 211 = 7
+  union all select 'features', '+', 100000 + id, concat_ws('|', 'feature', 100000 + id, project_id, name, '', '') from m_feature where id % 7 = 3""")
+def map_differences(spark, sf):
+    """A map against itself with classes renamed, steps left out and features added."""
+    left, right = whole_map(spark, sf), whole_map(spark, sf)
+    right.classes = right.classes.withColumn("name", F.when(F.col("id") % 23 == 5, F.concat("name", F.lit("X"))).otherwise(F.col("name")))
+    right.scenario_steps = right.scenario_steps.where("id % 211 <> 7")
+    right.features = right.features.unionByName(right.features.where("id % 7 = 3").withColumn("id", F.col("id") + 100_000))
+    return compare.differences(left, right)
+
+
+# files: features and classes written out as their authors would, and read back
+
+@_query("""select id scenario_id, name, feature_name, tags, n steps, texts from (select s.id, s.name, f.name feature_name, coalesce(replace(s.tags, ' ', ','), '') tags,
+  (select count(*) from m_step t where t.scenario_id = s.id) n, (select string_agg(concat(case when keyword = 'Then:' then 'Then' else keyword end, ' ', text), '; ' order by ordinal) from m_step t where t.scenario_id = s.id) texts
+  from m_scenario s join m_feature f on f.id = s.feature_id)""")
+def gherkin_files(spark, sf):
+    """A feature file for each feature of the map, parsed in the tasks: its scenarios with tags and steps."""
+    f = Facts(spark, sf)
+    keyword = F.when(F.col("keyword") == "Then:", "Then").otherwise(F.col("keyword"))
+    step = F.struct("ordinal", F.concat(F.lit("    "), keyword, F.lit(" "), "text").alias("line"))
+    steps = f.step.groupBy(F.col("scenario_id").alias("c_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["line"]), "\n").alias("body"))
+    written = f.scenario.join(steps, F.col("id") == F.col("c_id")).select("feature_id", "id", F.concat(F.coalesce(F.concat(F.lit("  "), "tags", F.lit("\n")), F.lit("")), F.lit("  Scenario: "), "name", F.lit("\n"), "body").alias("block"))
+    whole = written.groupBy("feature_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "block"))), lambda x: x["block"]), "\n\n").alias("body"))
+    texts = whole.join(f.feature, F.col("feature_id") == F.col("id")).select(F.concat(F.lit("Feature: "), "name", F.lit("\n\n"), "body", F.lit("\n")).alias("content"))
+    read = texts.select(F.udf(gherkin.parse_feature, gherkin.FEATURE, useArrow=True)("content").alias("f")).select(F.col("f.name").alias("feature_name"), F.explode("f.scenarios").alias("s"))
+    own = F.array_join(F.transform("s.steps", lambda x: F.concat(x["keyword"], F.lit(" "), x["text"])), "; ")
+    number = F.regexp_extract("s.name", r"(\d+)$", 1).cast("long")
+    return read.select(number.alias("scenario_id"), F.col("s.name").alias("name"), "feature_name", F.array_join("s.tags", ",").alias("tags"), F.size("s.steps").cast("long").alias("steps"), own.alias("texts"))
+
+
+@_query("""select c.id class_id, c.name, coalesce(b.name, '') base, cast((select count(*) from m_method m where m.class_id = c.id) as bigint) methods,
+  coalesce((select string_agg(concat(d.keyword, ' ', d.pattern), '; ' order by d.id) from m_stepdef d where d.class_id = c.id), '') definitions
+  from (select id, replace(name, '#', '_') as name, base_id from m_class) c left join (select id, replace(name, '#', '_') as name from m_class) b on b.id = c.base_id""")
+def csharp_files(spark, sf):
+    """A source file for each class of the map, scanned in the tasks: its base, methods and step definitions."""
+    f = Facts(spark, sf)
+    named = F.replace("name", F.lit("#"), F.lit("_"))
+    classes = f.klass.select("id", named.alias("name"), "base_id")
+    bases = classes.select(F.col("id").alias("b_id"), F.col("name").alias("base"))
+    defs = f.stepdef.select(F.col("id").alias("d_id"), "keyword", "pattern")
+    attribute = F.when(F.col("pattern").isNotNull(), F.concat(F.lit("  ["), "keyword", F.lit('(@"'), "pattern", F.lit('")]\n'))).otherwise(F.lit(""))
+    methods = f.method.join(defs, F.col("id") == F.col("d_id"), "left").select("class_id", "id", F.concat(attribute, F.lit("  public void M"), F.col("id").cast("string"), F.lit("() { }\n")).alias("code"))
+    body = methods.groupBy("class_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "code"))), lambda x: x["code"]), "").alias("body"))
+    files = classes.join(bases, F.col("base_id") == F.col("b_id"), "left").join(body, F.col("id") == F.col("class_id"), "left")
+    head = F.concat(F.lit("using Reqnroll;\n\npublic class "), "name", F.coalesce(F.concat(F.lit(" : "), "base"), F.lit("")), F.lit("\n{\n"))
+    content = files.select("id", F.concat(head, F.coalesce("body", F.lit("")), F.lit("}\n")).alias("content"))
+    return content.select(F.col("id").alias("class_id"), F.udf(_class_facts, "name string, base string, methods long, definitions string", useArrow=True)("content").alias("c")).select("class_id", "c.*")
+
+
+def _class_facts(content):
+    (t,), _ = csharp.scan(content)
+    found = [f"{keyword} {text}" for m in t.methods for keyword, text in m.steps]
+    return t.name, t.base_name or "", len(t.methods), "; ".join(found)

@@ -47,6 +47,8 @@ def test_index_finds_what_the_scan_finds(spark, tmp_path, monkeypatch):
         for query in queries:
             want = sorted(map(str, (r["id"] for r in S.search(df, ["x", "y"], query).collect())))
             assert sorted(str(r["id"]) for r in index.ids(query).collect()) == want, query
+    twice = spark.createDataFrame([(1, "the"), (1, "door the"), (1, "door the"), (2, "the door")], "id long, x string")
+    assert [r["id"] for r in P.write_index(twice, "id", ["x"], str(tmp_path / "twice")).ids("the-door").collect()] == [2]
     assert index.search(df, "id", "the-door").count() == S.search(df, ["x", "y"], "the-door").count() > 0
 
 
