@@ -6,23 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.options import ClassifierOptions
 from ..schema import COLLABORATORS
 from .storage import cut
 
-# Name endings of page objects and API clients.
-UI_SUFFIXES = ("Page", "PageObject", "Screen", "Component")
-API_SUFFIXES = ("Client", "Api", "Service", "Endpoint")
 PASSES = 10
 
 
-def _ends(name: Column, endings: tuple[str, ...]) -> Column:
-    return name.rlike(f"({'|'.join(endings)})$")
-
-
-def class_kind(base_kind: Column, constructs_api: Column) -> Column:
+def class_kind(base_kind: Column, constructs_api: Column, options: ClassifierOptions) -> Column:
     """The kind of a row of class facts; base_kind and constructs_api come from classes already known."""
     c = F.col
-    ui, api = _ends(c("name"), UI_SUFFIXES), _ends(c("name"), API_SUFFIXES)
+    ui, api = c("name").rlike(options.ending("ui_suffixes")), c("name").rlike(options.ending("api_suffixes"))
     members = ~c("is_static")
     return (
         F.when(c("step_method_count") >= 1, "step_class")
@@ -56,13 +50,13 @@ def visibility(modifiers: Column, default_private: Column) -> Column:
     )
 
 
-def classify(facts: DataFrame) -> DataFrame:
+def classify(facts: DataFrame, options: ClassifierOptions = ClassifierOptions()) -> DataFrame:  # noqa: B008
     """facts (id, name, base_type_name, constructed_type_names, ...) with `kind`.
 
     A first pass knows no other class. Later ones look only at what is still `other`, with the kinds of page objects and
     API clients by name (the first of a name), until nothing changes or PASSES are done.
     """
-    done = cut(facts.withColumn("kind", class_kind(F.lit(None).cast("string"), F.lit(False))))
+    done = cut(facts.withColumn("kind", class_kind(F.lit(None).cast("string"), F.lit(False), options)))
     for _ in range(PASSES):
         first = F.row_number().over(W.partitionBy("name").orderBy("id"))
         named = done.withColumn("n", first).where("n = 1").where(F.col("kind").isin(*COLLABORATORS)).select(F.col("name").alias("known"), F.col("kind").alias("known_kind"))
@@ -71,7 +65,7 @@ def classify(facts: DataFrame) -> DataFrame:
         made = open_.select(F.col("id").alias("made_id"), F.explode("constructed_type_names").alias("t")).join(named.where("known_kind = 'api_client'"), F.col("t") == F.col("known"))
         made = made.select("made_id").distinct()
         next_ = based.join(made, F.col("id") == F.col("made_id"), "left")
-        next_ = next_.withColumn("kind", class_kind(F.col("base_kind"), F.col("made_id").isNotNull())).drop("base_kind", "made_id")
+        next_ = next_.withColumn("kind", class_kind(F.col("base_kind"), F.col("made_id").isNotNull(), options)).drop("base_kind", "made_id")
         changed = cut(next_)
         if changed.where("kind <> 'other'").isEmpty():
             break

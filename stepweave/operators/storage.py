@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def located(path: str, spark: SparkSession) -> str:
+    """A path as Spark's file systems take it: a relative one is below this process's folder where the default file system is local."""
+    local = spark._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///").startswith("file:")
+    return path if "://" in path or path.startswith("file:") or not local else os.path.abspath(path)
+
+
 def ensure_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder. A local session without one gets a folder of its own; on a cluster, where executors could not
     see such a folder, that is an error."""

@@ -6,9 +6,11 @@ import json
 import math
 from html import escape
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .operators import analytics, binding, graph
+from .operators.storage import Scratch, located
 from .testmap import TestMap
 
 _STYLE = "body{font:14px sans-serif;margin:2em}table{border-collapse:collapse;margin:1em 0}td,th{border:1px solid #ccc;padding:2px 8px;text-align:left}.unbound{color:#b00}.ambiguous{color:#a60}"
@@ -23,24 +25,41 @@ def _table(title: str, rows: list[dict]) -> str:
     return f"<h2>{escape(title)}</h2><table><tr>{head}</tr>{body}</table>"
 
 
-def overview(m: TestMap) -> str:
-    """Coverage, counts, endpoints, collaborators, tags, diagnostics, and all scenarios with their steps' bindings."""
+def _escaped(text: Column) -> Column:
+    """What html.escape gives, as a column."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "&<>\"'":
+        out = F.replace(out, F.lit(c), F.lit(escape(c)))
+    return out
+
+
+#: The end of a scenario's fragment, which parts out the lines of the files that tasks write.
+_END = "</ul></div>"
+
+
+def _fragments(m: TestMap, view: DataFrame) -> DataFrame:
+    """(fragment) of every scenario in order, less _END."""
+    steps = view.join(m.scenario_steps, F.col("step_id") == F.col("id")).select("scenario_id", "ordinal", "keyword", "text", "status", "targets")
+    names = m.scenarios.select(F.col("id").alias("s_id"), F.col("name").alias("scenario"), "feature_id").join(m.features.select(F.col("id").alias("f_id"), F.col("name").alias("feature")), F.col("feature_id") == F.col("f_id"), "left")
+    listed = F.array_sort(F.collect_list(F.struct("ordinal", "keyword", "text", "status", "targets"))).alias("steps")
+    tree = steps.join(names, F.col("scenario_id") == F.col("s_id")).groupBy("feature", "scenario_id", "scenario").agg(listed)
+    item = lambda s: F.concat(F.lit('<li class="'), s["status"], F.lit('" title="'), _escaped(s["targets"]), F.lit('">'), _escaped(s["keyword"]), F.lit(" "), _escaped(s["text"]), F.lit("</li>"))
+    feature = F.when(F.col("feature") != "", F.col("feature")).otherwise("?")
+    name = _escaped(F.col("scenario"))
+    whole = F.concat(F.lit('<div data-t="'), name, F.lit('"><b>'), _escaped(feature), F.lit("</b>: "), name, F.lit("<ul>"), F.array_join(F.transform("steps", item), ""))
+    return tree.orderBy("feature", "scenario_id").select(whole.alias("fragment"))
+
+
+def _overview(m: TestMap) -> tuple[str, DataFrame, str]:
+    """(what stands before the scenarios, their fragments, what stands after)."""
     rows = lambda df: [r.asDict() for r in df.collect()]
     edges = m.edge("binds_to", "unbound").select(F.col("from_id").alias("step_id"), F.col("to_id").alias("step_definition_id"), "edge_kind", "confidence")
     view = binding.binding_view(m.scenario_steps, edges, m.step_definitions)
     states = {r["status"]: r["n"] for r in view.groupBy("status").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(states.values())
     percent = round(100 * (total - states.get("unbound", 0)) / total) if total else 0
-    steps = view.join(m.scenario_steps, F.col("step_id") == F.col("id")).select("scenario_id", "ordinal", "keyword", "text", "status", "targets")
-    names = m.scenarios.select(F.col("id").alias("s_id"), F.col("name").alias("scenario"), "feature_id").join(m.features.select(F.col("id").alias("f_id"), F.col("name").alias("feature")), F.col("feature_id") == F.col("f_id"), "left")
-    listed = F.array_sort(F.collect_list(F.struct("ordinal", "keyword", "text", "status", "targets")))
-    tree = steps.join(names, F.col("scenario_id") == F.col("s_id")).groupBy("feature", "scenario_id", "scenario").agg(listed.alias("steps")).orderBy("feature", "scenario_id")
-    parts = []
-    for r in tree.toLocalIterator():
-        items = "".join(f'<li class="{s["status"]}" title="{escape(s["targets"])}">{escape(s["keyword"])} {escape(s["text"])}</li>' for s in r["steps"])
-        parts.append(f'<div data-t="{escape(r["scenario"])}"><b>{escape(r["feature"] or "?")}</b>: {escape(r["scenario"])}<ul>{items}</ul></div>')
     ranked = graph.endpoint_ranking(m).orderBy(F.desc("scenarios"), F.desc("call_sites"), "route", "verb").limit(80)
-    return "".join(
+    head = "".join(
         [
             f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>Test map</title><style>{_STYLE}</style><script>{_FILTER}</script></head><body><h1>Test map</h1>",
             f"<p>Step coverage: <b>{percent} %</b> of {total} steps ({states.get('ambiguous', 0)} ambiguous, {states.get('unbound', 0)} unbound)</p>",
@@ -53,10 +72,42 @@ def overview(m: TestMap) -> str:
             _table("Features", rows(analytics.unbound_by_feature(m).orderBy(F.desc("unbound"), "feature_id"))),
             _table("Diagnostics", rows(analytics.diagnostic_summary(m.diagnostics))),
             "<h2>Scenarios</h2><input oninput='f(this.value)' placeholder='filter'>",
-            *parts,
-            "</body></html>",
         ]
     )
+    return head, _fragments(m, view), "</body></html>"
+
+
+def overview(m: TestMap) -> str:
+    """Coverage, counts, endpoints, collaborators, tags, diagnostics, and all scenarios with their steps' bindings, as one text."""
+    head, fragments, tail = _overview(m)
+    return head + "".join(r["fragment"] + _END for r in fragments.collect()) + tail
+
+
+def write_overview(m: TestMap, path: str) -> None:
+    """overview() as a file on any Hadoop path. Tasks write the scenarios by ranges; the parts are copied one after the other, so the
+    driver holds a buffer, whatever their number."""
+    spark = m.meta.sparkSession
+    head, fragments, tail = _overview(m)
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+    target = hadoop.fs.Path(located(path, spark))
+    with Scratch(spark) as scratch:
+        folder = f"{scratch.folder}/report"
+        fragments.write.option("lineSep", _END).text(folder)
+        at = hadoop.fs.Path(folder)
+        fs = at.getFileSystem(conf)
+        parts = sorted((s.getPath() for s in fs.listStatus(at) if s.getPath().getName().startswith("part-")), key=lambda p: p.getName())
+        out = target.getFileSystem(conf).create(target, True)
+        try:
+            out.write(bytearray(head.encode()))
+            for part in parts:
+                stream = fs.open(part)
+                try:
+                    hadoop.io.IOUtils.copyBytes(stream, out, 1 << 16, False)
+                finally:
+                    stream.close()
+            out.write(bytearray(tail.encode()))
+        finally:
+            out.close()
 
 
 def arc(x0: float, y0: float, x1: float, y1: float, r0: float, r1: float) -> str:

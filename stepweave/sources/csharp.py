@@ -9,13 +9,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+from ..functions.options import ClassifierOptions
+
 # Attributes of step definitions, bindings and tests.
 STEP_ATTRIBUTES = {"Given", "When", "Then", "StepDefinition"}
 TEST_METHOD_ATTRIBUTES = {"Test", "TestCase", "Fact", "Theory", "TestMethod", "DataTestMethod"}
 TEST_CLASS_ATTRIBUTES = {"TestFixture", "TestClass"}
-# Types whose use marks page objects and API clients.
-UI_MARKERS = {"IPage", "ILocator", "IWebDriver", "IWebElement", "By", "WebDriver", "RemoteWebDriver", "AppiumDriver", "IOSDriver", "AndroidDriver"}
-API_MARKERS = {"HttpClient", "HttpRequestMessage", "RestClient", "IRestClient", "RestRequest", "IRestRequest", "IFlurlClient", "IFlurlRequest", "WebApplicationFactory"}
 # Names of HTTP client methods by verb.
 CLIENT_METHODS = {
     "GET": ["GetAsync", "GetStringAsync", "GetStreamAsync", "GetByteArrayAsync", "GetFromJsonAsync", "GetJsonAsync"],
@@ -127,8 +126,9 @@ class _Member:
 class Scanner:
     """One source file."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, options: ClassifierOptions = ClassifierOptions()):  # noqa: B008
         self.t = tokens(source)
+        self.ui, self.api = {*options.ui_markers}, {*options.api_markers}
         self.pairs = self._pairs()
         self.types: list[Type] = []
         self.usings: list[str] = []
@@ -438,9 +438,9 @@ class Scanner:
         out.facts = {
             "name": out.name, "base_type_name": out.base_name, "has_binding_attribute": "Binding" in names, "has_test_class_attribute": bool(names & TEST_CLASS_ATTRIBUTES),
             "method_count": len(methods), "step_method_count": sum(bool(of(m) & STEP_ATTRIBUTES) for m in methods), "test_method_count": sum(bool(of(m) & TEST_METHOD_ATTRIBUTES) for m in methods),
-            "hook_method_count": sum(hook(of(m)) for m in methods), "instance_member_count": len(instance), "ui_referencing_members": sum(self._has(self.member_slots(m), UI_MARKERS) for m in instance),
-            "api_referencing_members": sum(self._has(self.member_slots(m), API_MARKERS) for m in methods), "references_ui_type": self._has(inner, UI_MARKERS), "references_api_type": self._has(inner, API_MARKERS),
-            "holds_or_constructs_api_marker": bool(set(made) & API_MARKERS) or self._has(holds, API_MARKERS), "constructed_type_names": made, "is_static": "static" in modifiers,
+            "hook_method_count": sum(hook(of(m)) for m in methods), "instance_member_count": len(instance), "ui_referencing_members": sum(self._has(self.member_slots(m), self.ui) for m in instance),
+            "api_referencing_members": sum(self._has(self.member_slots(m), self.api) for m in methods), "references_ui_type": self._has(inner, self.ui), "references_api_type": self._has(inner, self.api),
+            "holds_or_constructs_api_marker": bool(set(made) & self.api) or self._has(holds, self.api), "constructed_type_names": made, "is_static": "static" in modifiers,
         }
         out.held = sorted({n for m in members for a, b in [m.type_at, *[(a, b) for a, b, _ in m.params]] for n in self.names_in(a, b)})
         out.request = self._request(members)
@@ -595,9 +595,9 @@ class Scanner:
             out.operations.append((self.v(a), self.v(a + 2)))
 
 
-def scan(source: str) -> tuple[list[Type], str]:
+def scan(source: str, options: ClassifierOptions = ClassifierOptions()) -> tuple[list[Type], str]:
     """The types of a file and the expression kind that its usings imply."""
-    s = Scanner(source)
+    s = Scanner(source, options)
     kind = "regex"
     for u in s.usings:
         if u.startswith("Reqnroll"):

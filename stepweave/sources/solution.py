@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import expression_kind, glob_filter, inferred_verb, is_generated, quoted_project
+from ..functions.options import ClassifierOptions
 from ..operators import analytics, binding, classify, structural
 from ..operators.storage import cut
 from ..schema import TABLES, aligned, empty
@@ -64,7 +65,7 @@ def project_references(projects: DataFrame) -> DataFrame:
     return rows.select("path", F.regexp_extract(F.replace("to", F.lit("\\"), F.lit("/")), r"([^/]+)\.csproj$", 1).alias("name"))
 
 
-def _types(sources: DataFrame) -> DataFrame:
+def _types(sources: DataFrame, options: ClassifierOptions) -> DataFrame:
     """(path, project, type) of sources (path, project, text); a file that can't be scanned gives a class `<parse-error>`."""
 
     def plain(t) -> dict:
@@ -78,7 +79,7 @@ def _types(sources: DataFrame) -> DataFrame:
             rows = []
             for path, project, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 try:
-                    types, kind = scan(text or "")
+                    types, kind = scan(text or "", options)
                     rows += [(path, project, kind, json.dumps(plain(t))) for t in types]
                 except Exception:
                     rows.append((path, project, "regex", json.dumps({"name": "<parse-error>", "namespace": "", "line_start": 0, "line_end": 0, "held": [], "methods": [], "facts": {"name": "<parse-error>"}})))
@@ -98,7 +99,7 @@ def _features(sources: DataFrame) -> DataFrame:
     return raw.select("path", "project", F.when(F.col("json") != "null", F.from_json("json", FEATURE)).alias("f"))
 
 
-def index(spark: SparkSession, target: str, include: list[str] | None = None, exclude: list[str] | None = None, messages: list[str] | None = None, now: str | None = None) -> tuple[TestMap, str]:
+def index(spark: SparkSession, target: str, include: list[str] | None = None, exclude: list[str] | None = None, messages: list[str] | None = None, now: str | None = None, options: ClassifierOptions = ClassifierOptions()) -> tuple[TestMap, str]:  # noqa: B008
     """The map of a solution or project file, and the outcome: success, warnings or fatal.
 
     messages: what a build reported, classified as diagnostics. Files in obj and bin are left out. One bad file or
@@ -116,13 +117,13 @@ def index(spark: SparkSession, target: str, include: list[str] | None = None, ex
     chosen = cut(found.where(glob_filter(F.col("name"), F.col("path"), include or [], exclude or [])))
     projects = cut(structural.numbered(chosen, [F.col("name"), F.col("path")]).withColumn("dir", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)))
     sources = _owned(files(spark, root, "*.cs"), projects)
-    types = cut(_types(sources))
+    types = cut(_types(sources, options))
     features = cut(_features(_owned(files(spark, root, "*.feature"), projects)))
 
     of = projects.select(F.col("id").alias("project_id"), F.col("path").alias("project_path"))
     rows = types.join(of, F.col("project") == F.col("project_path")).select("project_id", F.col("path").alias("file_path"), "default_kind", "t.*")
     rows = cut(structural.numbered(rows, ["project_id", "namespace", "name", "file_path", "line_start"]))
-    kinds = classify.classify(rows.select("id", "facts.*").fillna(0).fillna(False).withColumn("constructed_type_names", F.coalesce("constructed_type_names", F.array().cast("array<string>"))))
+    kinds = classify.classify(rows.select("id", "facts.*").fillna(0).fillna(False).withColumn("constructed_type_names", F.coalesce("constructed_type_names", F.array().cast("array<string>"))), options)
     classes = cut(rows.join(kinds.select(F.col("id").alias("k_id"), "kind"), F.col("id") == F.col("k_id")).drop("k_id"))
 
     m_rows = classes.select(F.col("id").alias("class_id"), "project_id", F.col("kind").alias("class_kind"), "file_path", "default_kind", F.explode("methods").alias("m")).select("class_id", "project_id", "class_kind", "file_path", "default_kind", "m.*")

@@ -15,6 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import postings, search
+from ..operators.storage import located
 from ..schema import CORE, SCHEMA_VERSION, TABLES, aligned, empty
 from ..testmap import TestMap
 from . import sqlite
@@ -35,7 +36,7 @@ class Folder:
 
     def __init__(self, path: str, spark: SparkSession | None = None):
         self.spark = spark or SparkSession.builder.getOrCreate()
-        self.root = path.rstrip("/") or "/"
+        self.root = located(path, self.spark).rstrip("/") or "/"
         self._jvm, self._conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
 
     def path(self, name: str = ""):
