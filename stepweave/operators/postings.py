@@ -1,9 +1,9 @@
 """A stored positional index for phrase search.
 
-A posting says where a term stands in a column of a row: (term, id, column, positions). Postings of a term are kept in blocks: a row's
+A posting says that a term stands at a place of a column of a row: (term, id, column, at). Postings of a term are kept in blocks: a row's
 block comes from a hash of its id, so that blocks are of about equal size however frequent a term is, and a block of a term is one row of a Parquet
 table that is partitioned by a hash of the term and sorted by term and block. A search reads the partitions of its own terms, the rarest
-first; of the others only blocks in which the rarest occurs. A phrase's positions, less each term's place in the phrase, must meet.
+first; of the others only blocks in which the rarest occurs. The places of a phrase's terms, less each one's place in the phrase, must be the same.
 """
 
 from __future__ import annotations
@@ -29,15 +29,19 @@ def tokens(column: Column) -> Column:
     return F.array_remove(F.split(F.trim(folded(column)), " "), "")
 
 
-def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, id, row, column, positions) of df's columns; the column by its place in the list, positions from 0 in order.
+def occurrences(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(term, id, row, column, at) of df's columns; the column by its place in the list, at from 0.
 
     row is a hash of a row's texts: of rows that share an id, it tells those apart whose texts differ.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("column"), tokens(F.col(c)).alias("own")) for k, c in enumerate(columns)]))
     rows = df.select(F.col(key).alias("id"), F.hash(*[F.col(c).cast("string") for c in columns]).alias("row"), each.alias("e"))
-    rows = rows.select("id", "row", "e.column", F.posexplode("e.own").alias("at", "term"))
-    return rows.groupBy("term", "id", "row", "column").agg(F.array_sort(F.collect_set("at")).alias("positions"))
+    return rows.select("id", "row", "e.column", F.posexplode("e.own").alias("at", "term"))
+
+
+def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(term, id, row, column, positions): the occurrences of a term in a text, in order."""
+    return occurrences(df, key, columns).groupBy("term", "id", "row", "column").agg(F.array_sort(F.collect_set("at")).alias("positions"))
 
 
 @dataclass
@@ -72,7 +76,7 @@ class SearchIndex:
             own = self._rows({term})
             if term != rarest:
                 own = own.where(F.col("block").isin(named)) if len(named) <= NAMED_BLOCKS else own.join(blocks, "block", "left_semi")
-            return own.select(F.explode("postings").alias("p")).select("p.id", "p.row", "p.column", "p.positions")
+            return own.select(F.explode("postings").alias("p")).select("p.*")
 
         out = None
         for phrase in sorted(phrases, key=lambda p: min(known[t] for t in p)):
@@ -91,13 +95,13 @@ def _phrase(phrase: list[str], known: dict[str, int], of) -> DataFrame:
     order = sorted(range(len(phrase)), key=lambda k: (known[phrase[k]], k))
 
     def starts(k: int) -> DataFrame:
-        return of(phrase[k]).select("id", "row", "column", F.transform("positions", lambda x: x - k).alias("starts"))
+        return of(phrase[k]).select("id", "row", "column", (F.col("at") - k).alias("start"))
 
     out = starts(order[0])
     for k in order[1:]:
-        other = starts(k).toDF("o_id", "o_row", "o_column", "o_starts")
-        met = out.join(other, F.col("id").eqNullSafe(F.col("o_id")) & (F.col("row") == F.col("o_row")) & (F.col("column") == F.col("o_column")))
-        out = met.select("id", "row", "column", F.array_intersect("starts", "o_starts").alias("starts")).where(F.size("starts") > 0)
+        other = starts(k).toDF("o_id", "o_row", "o_column", "o_start")
+        same = (F.col("row") == F.col("o_row")) & (F.col("column") == F.col("o_column")) & (F.col("start") == F.col("o_start"))
+        out = out.join(other, F.col("id").eqNullSafe(F.col("o_id")) & same, "left_semi")
     return out.select("id").distinct()
 
 
@@ -111,8 +115,8 @@ def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> Searc
     n = df.count()
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     blocks = max(1, -(-n // BLOCK_ROWS))
-    rows = postings(df, key, columns).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("id", "row", "column", "positions"))).alias("postings")
+    rows = occurrences(df, key, columns).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    held = F.array_sort(F.collect_list(F.struct("id", "row", "column", "at"))).alias("postings")
     grouped = rows.groupBy("term", "block").agg(held, F.count(F.lit(1)).alias("n"))
     grouped = grouped.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
     # Partitions by term of very unequal size are split and joined by Spark as it writes.
