@@ -59,6 +59,7 @@ def parser() -> Parser:
     s = add("index", ("solution", "?"), ("output_map", "?"), map_=False)
     s.add_argument("-o", "--output")
     s.add_argument("--config")
+    s.add_argument("--dialects", help="JSON of Gherkin keywords by language")
     s.add_argument("--include", action="append", default=[])
     s.add_argument("--exclude", action="append", default=[])
     loud = s.add_mutually_exclusive_group()
@@ -106,10 +107,14 @@ def main(argv: list[str] | None = None) -> int:
 def _index(a: argparse.Namespace) -> int:
     from .functions.options import ClassifierOptions, read_config
     from .sources import store
+    from .sources.gherkin import LANGUAGES, read_dialects
     from .sources.solution import index
 
-    options, include, exclude = ClassifierOptions(), [], []
+    options, include, exclude, languages = ClassifierOptions(), [], [], LANGUAGES
     try:
+        if a.dialects:
+            with open(a.dialects, encoding="utf-8") as f:
+                languages = read_dialects(f.read())
         if a.config:
             with open(a.config, encoding="utf-8") as f:
                 options, include, exclude = read_config(f.read())
@@ -119,7 +124,7 @@ def _index(a: argparse.Namespace) -> int:
     spark, began = session(), time.time()
     say = (lambda text: print(text, file=sys.stderr)) if a.verbose else lambda text: None
     say(f"reading {solution}")
-    m, outcome = index(spark, solution, include + a.include, exclude + a.exclude, options=options)
+    m, outcome = index(spark, solution, include + a.include, exclude + a.exclude, options=options, languages=languages)
     target = a.output or a.output_map or os.environ.get(VARIABLE) or NAMES[0]
     say(f"writing {target}")
     try:

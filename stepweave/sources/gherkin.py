@@ -1,8 +1,14 @@
-"""Feature files as nested rows: a line grammar for Gherkin in English and a few other languages."""
+"""Feature files as nested rows: a line grammar for Gherkin as a table of states.
+
+A few languages are built in; read_dialects() takes all others from a file in the format in which dialects are published. What a line
+can't be in its state is told with its number, and reading goes on behind it.
+"""
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
 
 # Keywords by role and language.
 LANGUAGES = {
@@ -17,85 +23,120 @@ SCENARIO = f"struct<name:string,kind:string,tags:array<string>,example_row_count
 FEATURE = f"struct<name:string,description:string,tags:array<string>,scenarios:array<{SCENARIO}>>"
 
 
-def parse_feature(content: str | None) -> dict | None:
-    """The feature of a file, or None if it has none or isn't Gherkin.
+ROLES = ("feature", "rule", "background", "scenario", "examples")
+#: What may begin in a state; a feature's description and those of its parts are text.
+BEGINS = {
+    "top": {"feature"},
+    "feature": {"rule", "background", "scenario", "text"},
+    "rule": {"rule", "background", "scenario", "text"},
+    "background": {"rule", "background", "scenario", "step", "table", "block", "text"},
+    "scenario": {"rule", "background", "scenario", "step", "examples", "text"},
+    "step": {"rule", "background", "scenario", "step", "examples", "table", "block"},
+    "examples": {"rule", "background", "scenario", "examples", "table", "text"},
+}
+
+
+def read_dialects(text: str) -> dict:
+    """Languages from JSON: by language, lists of keywords by feature, rule, background, scenario, scenarioOutline, examples, given, when, then, and, but.
+
+    Step keywords end in a blank where one must follow them. The built-in languages that the file lacks stay.
+    """
+    out = dict(LANGUAGES)
+    for name, own in json.loads(text).items():
+        get = lambda *keys: [k for key in keys for k in own.get(key, [])]  # noqa: B023, E731
+        words = {role: get(role) for role in ROLES if role != "scenario"} | {"scenario": get("scenarioOutline", "scenario")}
+        out[name] = words | {"step": list(dict.fromkeys(get("given", "when", "then", "and", "but")))}
+    return out
+
+
+@lru_cache(maxsize=256)
+def _lines(words: tuple) -> tuple[re.Pattern, re.Pattern]:
+    """Patterns of a language's headings and steps. Of keywords that begin alike, the longest is tried first."""
+    longest = lambda ks: "|".join(re.escape(k) for k in sorted(ks, key=len, reverse=True)) or "(?!)"
+    by_role = dict(words)
+    headings = "|".join(f"(?P<{role}>{longest(by_role[role])})" for role in ROLES)
+    steps = [k if k.endswith(" ") or not k.isascii() and any(ord(c) > 0x2E7F for c in k) else f"{k} " for k in by_role["step"]]
+    return re.compile(f"(?:{headings}):(.*)"), re.compile(f"({longest(steps)})(.*)")
+
+
+def _language(name: str, languages: dict) -> dict | None:
+    return languages.get(name) or languages.get(name.partition("-")[0])
+
+
+def read(content: str | None, languages: dict = LANGUAGES) -> tuple[dict | None, list[tuple[int, str]]]:
+    """(the feature of a file as far as it can be read, what is wrong in which lines).
 
     Scenarios may stand in rules, whose tags they don't get. Background steps are no scenario. A scenario with examples is an
     outline; rows are counted without their heading.
     """
-    words = LANGUAGES["en"]
-    feature, scenario, where, tags, step = None, None, "top", [], None
-    doc, header_seen = "", False
+    pattern = lambda words: _lines(tuple((r, tuple(words[r])) for r in (*ROLES, "step")))
+    headings, steps = pattern(languages["en"])
+    feature, scenario, state, tags, step = None, None, "top", [], None
+    doc, doc_at, header_seen, wrong = "", 0, False, []
     for number, raw in enumerate((content or "").replace("\r\n", "\n").split("\n"), 1):
         line = raw.strip()
         if doc:
             doc = "" if line.startswith(doc) else doc
             continue
         if m := re.match(r"#\s*language\s*:\s*([\w-]+)", line):
-            if feature is None:
-                if m[1].partition("-")[0] not in LANGUAGES:
-                    return None
-                words = LANGUAGES[m[1].partition("-")[0]]
+            words = _language(m[1], languages)
+            if feature is None and words is None:
+                wrong.append((number, f"unknown language {m[1]}"))
+            elif feature is None:
+                headings, steps = pattern(words)
             continue
         if not line or line.startswith("#"):
             continue
         if line.startswith("@"):
             tags += re.findall(r"@[^\s@#]+", line.split(" #")[0])
             continue
-        role, name = _heading(line, words)
-        if role == "feature":
-            if feature is not None:
-                return None
-            feature, where, tags = {"name": name, "description": "", "tags": tags, "scenarios": []}, "feature", []
-        elif role and feature is None:
-            return None
-        elif role in ("rule", "background"):
-            where, scenario, tags = role, None, []
-        elif role == "scenario":
+        m = headings.match(line)
+        s = None if m else steps.match(f"{line} ")
+        what = next(r for r in ROLES if m[r]) if m else "block" if line.startswith(('"""', "```")) else "table" if line.startswith("|") else "step" if s and state in ("background", "scenario", "step") else "text"
+        if what not in BEGINS[state]:
+            wrong.append((number, "a second feature" if what == "feature" else f"{what} in a place for {', '.join(sorted(BEGINS[state]))}"))
+            if what == "block":
+                doc, doc_at = line[:3], number
+            continue
+        if m:
+            name = m[len(ROLES) + 1].strip()
+        if what == "feature":
+            feature, state, tags = {"name": name, "description": "", "tags": tags, "scenarios": []}, "feature", []
+        elif what in ("rule", "background"):
+            state, scenario, step, tags = what, None, None, []
+        elif what == "scenario":
             scenario = {"name": name, "kind": "scenario", "tags": tags, "example_row_count": 0, "line": number, "steps": []}
             feature["scenarios"].append(scenario)
-            where, tags, step = "scenario", [], None
-        elif role == "examples":
-            if scenario is None:
-                return None
-            scenario["kind"], where, tags, header_seen = "scenario_outline", "examples", [], False
-        elif line.startswith(('"""', "```")):
-            if where not in ("step", "background") and step is None:
-                return None
-            if where == "step" and step:
+            state, tags, step = "scenario", [], None
+        elif what == "examples":
+            scenario["kind"], state, tags, header_seen = "scenario_outline", "examples", [], False
+        elif what == "block":
+            doc, doc_at = line[:3], number
+            if step:
                 step["has_docstring"] = True
-            doc = line[:3]
-        elif line.startswith("|"):
-            if where == "examples":
-                scenario["example_row_count"] += header_seen
-                header_seen = True
-            elif where == "step" and step:
-                step["has_table"] = True
-            elif where != "background":
-                return None
-        elif where in ("scenario", "step", "background") and (hit := _step(line, words)):
-            if where == "background":
-                continue
-            step = {"keyword": hit[0], "text": hit[1], "ordinal": len(scenario["steps"]), "has_docstring": False, "has_table": False, "line": number}
+        elif what == "table" and state == "examples":
+            scenario["example_row_count"] += header_seen
+            header_seen = True
+        elif what == "table" and step:
+            step["has_table"] = True
+        elif what == "step" and state != "background":
+            step = {"keyword": s[1].strip(), "text": s[2].strip(), "ordinal": len(scenario["steps"]), "has_docstring": False, "has_table": False, "line": number}
             scenario["steps"].append(step)
-            where = "step"
-        elif where == "feature":
+            state = "step"
+        elif what == "text" and state == "feature":
             feature["description"] += ("\n" if feature["description"] else "") + line
-        elif where in ("step", "top") or feature is None:
-            return None
-    return None if doc else feature
+    if doc:
+        wrong.append((doc_at, "a text block without an end"))
+    if feature is None and not wrong:
+        wrong.append((1, "no feature"))
+    return feature, wrong
 
 
-def _heading(line: str, words: dict) -> tuple[str, str]:
-    for role in ("feature", "rule", "background", "scenario", "examples"):
-        for k in words[role]:
-            if line.startswith(k + ":"):
-                return role, line[len(k) + 1 :].strip()
-    return "", ""
+def parse_feature(content: str | None, languages: dict = LANGUAGES) -> dict | None:
+    """The feature of a file, or None if it has none or anything in it is wrong."""
+    feature, wrong = read(content, languages)
+    return None if wrong else feature
 
 
-def _step(line: str, words: dict) -> tuple[str, str] | None:
-    for k in words["step"]:
-        if line == k or line.startswith(k + " "):
-            return k, line[len(k) :].strip()
-    return None
+def problems(content: str | None, languages: dict = LANGUAGES) -> list[str]:
+    return [f"line {number}: {what}" for number, what in read(content, languages)[1]]

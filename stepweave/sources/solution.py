@@ -23,7 +23,7 @@ from ..operators.storage import cut
 from ..schema import TABLES, aligned, empty
 from ..testmap import TestMap
 from .csharp import scan
-from .gherkin import FEATURE, parse_feature
+from .gherkin import FEATURE, LANGUAGES, read
 
 TOOL_VERSION = "1"
 
@@ -89,17 +89,21 @@ def _types(sources: DataFrame, options: ClassifierOptions) -> DataFrame:
     return raw.select("path", "project", "default_kind", F.from_json("json", _TYPE).alias("t"))
 
 
-def _features(sources: DataFrame) -> DataFrame:
+def _features(sources: DataFrame, languages: dict) -> DataFrame:
+    """(path, project, f, problems): f is null where there are problems."""
+
     def run(batches):
         for batch in batches:
-            got = [json.dumps(parse_feature(x)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string())], ["path", "project", "json"])
+            read_ = [read(x, languages) for x in batch.column(2).to_pylist()]
+            got = [json.dumps(None if wrong else f) for f, wrong in read_]
+            told = [[f"line {n}: {what}" for n, what in wrong] for _, wrong in read_]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.string()), pa.array(told, pa.list_(pa.string()))], ["path", "project", "json", "problems"])
 
-    raw = sources.select("path", "project", "text").mapInArrow(run, "path string, project string, json string")
-    return raw.select("path", "project", F.when(F.col("json") != "null", F.from_json("json", FEATURE)).alias("f"))
+    raw = sources.select("path", "project", "text").mapInArrow(run, "path string, project string, json string, problems array<string>")
+    return raw.select("path", "project", F.when(F.col("json") != "null", F.from_json("json", FEATURE)).alias("f"), "problems")
 
 
-def index(spark: SparkSession, target: str, include: list[str] | None = None, exclude: list[str] | None = None, messages: list[str] | None = None, now: str | None = None, options: ClassifierOptions = ClassifierOptions()) -> tuple[TestMap, str]:  # noqa: B008
+def index(spark: SparkSession, target: str, include: list[str] | None = None, exclude: list[str] | None = None, messages: list[str] | None = None, now: str | None = None, options: ClassifierOptions = ClassifierOptions(), languages: dict = LANGUAGES) -> tuple[TestMap, str]:  # noqa: B008
     """The map of a solution or project file, and the outcome: success, warnings or fatal.
 
     messages: what a build reported, classified as diagnostics. Files in obj and bin are left out. One bad file or
@@ -118,7 +122,7 @@ def index(spark: SparkSession, target: str, include: list[str] | None = None, ex
     projects = cut(structural.numbered(chosen, [F.col("name"), F.col("path")]).withColumn("dir", F.regexp_extract("path", r"^(.*/)?[^/]*$", 1)))
     sources = _owned(files(spark, root, "*.cs"), projects)
     types = cut(_types(sources, options))
-    features = cut(_features(_owned(files(spark, root, "*.feature"), projects)))
+    features = cut(_features(_owned(files(spark, root, "*.feature"), projects), languages))
 
     of = projects.select(F.col("id").alias("project_id"), F.col("path").alias("project_path"))
     rows = types.join(of, F.col("project") == F.col("project_path")).select("project_id", F.col("path").alias("file_path"), "default_kind", "t.*")
@@ -204,7 +208,7 @@ def _edges(bound, inherits, uses, held, refs, sites) -> DataFrame:
 
 
 def _diagnostics(spark: SparkSession, features: DataFrame, projects: DataFrame, classes: DataFrame, listed: list[str], messages: list[str]) -> tuple[DataFrame, int]:
-    bad = features.where("f is null").select(F.lit("warning").alias("severity"), F.lit("feature_parse_error").alias("code"), F.lit("not a feature file").alias("message"), F.col("path").alias("location"))
+    bad = features.where("f is null").select(F.lit("warning").alias("severity"), F.lit("feature_parse_error").alias("code"), F.explode("problems").alias("message"), F.col("path").alias("location"))
     n = projects.count()
     lost = [("error", "project_not_loaded", f"{len(listed) - n} of {len(listed)} projects were not loaded", None)] if n < len(listed) else []
     said = spark.createDataFrame([(x,) for x in messages], T.StructType().add("message", "string"))

@@ -208,6 +208,42 @@ def test_gherkin_dialects_and_failures():
     assert gherkin.parse_feature("") is None and gherkin.parse_feature("Scenario: x\n Given y") is None and gherkin.parse_feature(None) is None
 
 
+def test_gherkin_problems_are_told_by_line():
+    text = """Scenario: early
+Feature: Tides
+  About them
+  Examples:
+    | n |
+  Scenario: Low
+    Given it ebbs
+      | a |
+    whatever this is
+    Examples:
+      | n |
+      | 1 |
+Feature: again
+  Scenario: High
+    Given it flows
+"""
+    feature, wrong = gherkin.read(text)
+    assert [n for n, _ in wrong] == [1, 4, 5, 9, 13] and wrong[4][1] == "a second feature"
+    assert [(s["name"], s["kind"], len(s["steps"])) for s in feature["scenarios"]] == [("Low", "scenario_outline", 1), ("High", "scenario", 1)]
+    assert gherkin.parse_feature(text) is None and gherkin.problems("Feature: x\n  Scenario: y\n    Given z\n      \"\"\"\n")[0].startswith("line 4:")
+    assert gherkin.problems("") == ["line 1: no feature"] and gherkin.problems("# language: xx\nFeature: a") == ["line 1: unknown language xx"]
+
+
+def test_gherkin_in_dialects_of_a_file():
+    own = {"feature": ["Zug", "Zugfahrt"], "scenario": ["Halt"], "scenarioOutline": ["Halte"], "examples": ["Tafel"], "background": ["Depot"], "rule": ["Regel"], "given": ["* ", "Es ", "Es sei "], "when": ["Da "], "then": ["So "], "and": ["Und "], "but": ["Doch "]}
+    joined = {**own, "feature": ["機能"], "scenario": ["場合"], "given": ["* ", "前提"]}
+    languages = gherkin.read_dialects(json.dumps({"zz": own, "zz-ab": joined}))
+    got = gherkin.parse_feature("# language: zz\nZugfahrt: Nord\n  Halte: Ulm\n    Es sei <n> Uhr\n    Es regnet\n    Tafel:\n      | n |\n      | 9 |\n", languages)
+    assert got["name"] == "Nord" and got["scenarios"][0]["kind"] == "scenario_outline" and got["scenarios"][0]["example_row_count"] == 1
+    assert [(s["keyword"], s["text"]) for s in got["scenarios"][0]["steps"]] == [("Es sei", "<n> Uhr"), ("Es", "regnet")]
+    got = gherkin.parse_feature("# language: zz-ab\n機能: 北\n  場合: 一\n    前提雨が降る\n", languages)
+    assert [(s["keyword"], s["text"]) for s in got["scenarios"][0]["steps"]] == [("前提", "雨が降る")]
+    assert "en" in languages and gherkin.parse_feature("Feature: still", languages)["name"] == "still"
+
+
 def test_stream_binds_like_a_table(spark, shop, tmp_path):
     from stepweave.operators.binding import compiled
     from stepweave.streaming.binding_stream import watch
