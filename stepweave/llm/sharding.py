@@ -18,6 +18,8 @@ from .common import cut, table
 LIMIT = 8 << 20
 #: The registered query's limit: so small that the generated tables of every size split.
 QUERY_LIMIT = 64 << 10
+#: Buckets of at most 100 bytes each that are broadcast to find those of hashes; more are joined by a shuffle.
+BROADCAST_BUCKETS = 100_000
 LEVEL = 12
 DIGITS = 60
 
@@ -55,7 +57,7 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
         large = cut(levels.where((F.col("depth") == top) & (F.col("bytes") > limit)).select(F.col("p").alias("large")))
         if large.isEmpty():
             break
-        open_ = open_.join(large, F.substring("digits", 1, top) == F.col("large"), "left_semi")
+        open_ = cut(open_.join(large, F.substring("digits", 1, top) == F.col("large"), "left_semi"))
         base = top
     return found.select(F.col("p").alias("prefix"), "depth", "bytes")
 
@@ -72,13 +74,15 @@ def shard(df: DataFrame, key: str = "doc_id", payload: str = "text", limit: int
     """
     names = [c for c in df.columns if c not in MADE]
     rows = df.withColumn("__digits", hash_digits(F.col(key))).withColumn("__bytes", F.coalesce(F.octet_length(payload), F.lit(0)).cast("long")).select(*names, "__digits", "__bytes")
-    buckets = directory(rows.select(F.col("__digits").alias("digits"), F.col("__bytes").alias("bytes")), limit)
-    # A row's bucket is found by its first LEVEL digits or, below a split there, by a longer prefix: one equi join for each level in use.
+    each = cut(rows.groupBy(F.col("__digits").alias("digits")).agg(F.sum("__bytes").alias("bytes")))
+    buckets = cut(directory(each, limit))
+    # A hash's bucket is found by its prefixes of the depths in use; rows, with all that they carry, then join their hash.
     depths = [r[0] for r in buckets.select("depth").distinct().orderBy("depth").collect()]
-    prefixes = F.explode(F.array(*[F.substring("__digits", 1, d) for d in depths])) if depths else F.lit(None).cast("string")
+    prefixes = F.explode(F.array(*[F.substring("digits", 1, d) for d in depths])) if depths else F.lit(None).cast("string")
     b = buckets.select(F.col("prefix").alias("__prefix"), F.col("depth").alias("__depth"), F.col("bytes").alias("__bucket"))
-    out = rows.withColumn("__p", prefixes).join(b, (F.col("__p") == F.col("__prefix")) & (F.length("__p") == F.col("__depth")))
-    return _paged(out, names, limit)
+    b = F.broadcast(b) if buckets.count() <= BROADCAST_BUCKETS else b
+    placed = each.select(F.col("digits").alias("__hash"), prefixes.alias("__p")).join(b, (F.col("__p") == F.col("__prefix")) & (F.length("__p") == F.col("__depth"))).drop("__p")
+    return _paged(rows.join(placed, F.col("__digits") == F.col("__hash")).drop("__hash"), names, limit)
 
 
 def _paged(out: DataFrame, names: list[str], limit: int) -> DataFrame:
