@@ -2,8 +2,8 @@
 
 Every row has a 60-bit hash, read as binary digits. A bucket is a prefix; it splits on one more digit while its bytes
 exceed the limit. Bytes of prefixes add up, so the buckets of all depths come from one grouping of the rows at
-LEVEL digits (map-side sums first) and roll-ups of that table; a prefix still too large there is grouped at the
-next LEVEL digits, among its own rows only. Rows with one hash can't be parted by digits: if they alone exceed the limit,
+the first of LEVELS digits (map-side sums first) and roll-ups of that table; a prefix still too large there is grouped at the
+next of LEVELS, among its own rows only. Rows with one hash can't be parted by digits: if they alone exceed the limit,
 the bucket is filled page by page, and one row above the limit is a shard of its own.
 """
 
@@ -20,8 +20,9 @@ LIMIT = 8 << 20
 QUERY_LIMIT = 64 << 10
 #: Buckets of at most 100 bytes each that are broadcast to find those of hashes; more are joined by a shuffle.
 BROADCAST_BUCKETS = 100_000
-LEVEL = 12
 DIGITS = 60
+#: Digits at which rows are grouped in turn. The steps grow as fewer prefixes are left too large.
+LEVELS = (12, 16, 24, 36, DIGITS)
 
 
 def hash_digits(key: Column) -> Column:
@@ -36,12 +37,11 @@ def directory(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     Buckets of 60 digits may exceed it.
     """
     open_, found, base = rows, None, 0
-    while True:
-        top = min(base + LEVEL, DIGITS)
+    for top in LEVELS:
         sums = cut(open_.groupBy(F.substring("digits", 1, top).alias("prefix")).agg(F.sum("bytes").alias("bytes")))
         depths = F.sequence(F.lit(base if base == 0 else base + 1), F.lit(top))
         levels = sums.withColumn("depth", F.explode(depths)).withColumn("p", F.expr("substring(prefix, 1, depth)"))
-        levels = levels.groupBy("p", "depth").agg(F.sum("bytes").alias("bytes"))
+        levels = cut(levels.groupBy("p", "depth").agg(F.sum("bytes").alias("bytes")))
         fits = (F.col("bytes") <= limit) | (F.col("depth") == DIGITS)
         parents = levels.where(F.col("bytes") > limit).select(F.col("p").alias("up"))
         leaves = levels.where(fits)
