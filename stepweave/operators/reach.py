@@ -61,7 +61,8 @@ def _bridges(cut: Cut, chains: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def components(cut: Cut, edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes of cycles: the strongly connected component by one of its nodes. Other nodes are their own."""
+    """(node, component) of the nodes of cycles: the strongly connected component by one of its nodes. Other nodes are their own,
+    and some of them are listed so."""
     edges = cut(edges.where("src <> dst").select("src", "dst").distinct())
     stack: list[DataFrame] = []
     found: list[DataFrame] = []
@@ -92,6 +93,14 @@ def components(cut: Cut, edges: DataFrame) -> DataFrame:
     return known
 
 
+def cycles(cut: Cut, edges: DataFrame) -> DataFrame:
+    """(node, cycle, size) of the nodes that lie on a cycle with others: the least of them, and how many they are."""
+    own = cut(components(cut, edges))
+    members = own.unionByName(own.select(F.col("component").alias("node"), "component")).distinct()
+    sizes = members.groupBy(F.col("component").alias("c")).agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return members.join(sizes, F.col("component") == F.col("c")).select("node", "cycle", "size")
+
+
 def _coloured(cut: Cut, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(components of the highest nodes of each colour, the edges left inside of colours)."""
     ids = edges.select(F.col("src").alias("node")).unionByName(edges.select("dst").withColumnRenamed("dst", "node")).distinct()

@@ -569,10 +569,7 @@ select a.src class_id, least(a.src, min(a.dst)) cycle, cast(count(distinct a.dst
 def class_cycles(spark, sf):
     """Classes that need each other in a circle, by the least of them."""
     with Scratch(spark) as scratch:
-        own = reach.components(scratch.cut, G.class_adjacency(derived_map(spark, sf)))
-        members = own.unionByName(own.select(F.col("component").alias("node"), "component")).distinct()
-        sizes = members.groupBy(F.col("component").alias("c")).agg(F.min("node").alias("cycle"), F.count(F.lit(1)).alias("classes"))
-        return cut(members.join(sizes, F.col("component") == F.col("c")).select(F.col("node").alias("class_id"), "cycle", "classes"))
+        return cut(reach.cycles(scratch.cut, G.class_adjacency(derived_map(spark, sf))).toDF("class_id", "cycle", "classes"))
 
 
 @_query("""select r.e endpoint_id, r.c class_id from (with recursive w(e, c) as (select distinct k.endpoint_id, m.class_id from m_calls k join m_method m on m.id = k.method_id

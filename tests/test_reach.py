@@ -59,6 +59,15 @@ def test_components(spark, graph):
     assert {frozenset(g | {c}) for c, g in groups.items() if g | {c} != {c}} == strong(edges)
 
 
+def test_a_node_between_cycles_is_on_none(spark):
+    """99 has two ways in and two out, so it stays in the core, where it is the highest node of its colour."""
+    ring = lambda *n: [(a, b) for a in n for b in n if a != b]
+    edges = ring(1, 2, 3) + ring(11, 12, 13) + [(1, 99), (2, 99), (99, 11), (99, 12)]
+    with Scratch(spark) as scratch:
+        rows = reach.cycles(scratch.cut, spark.createDataFrame(edges, "src long, dst long")).collect()
+    assert sorted(map(tuple, rows)) == [(n, 1, 3) for n in (1, 2, 3)] + [(n, 11, 3) for n in (11, 12, 13)]
+
+
 def test_both_ways_equal_a_search(spark, graph, monkeypatch):
     edges, df = graph
     rng = random.Random(4)
