@@ -17,16 +17,32 @@ def inherits(derived: DataFrame, classes: DataFrame) -> DataFrame:
     return out.select("from_id", "to_id", F.when(n > 1, "ambiguous").otherwise("exact").alias("confidence"))
 
 
+#: Targets (rows of an id and a name) up to which they are broadcast.
+FEW_TARGETS = 1_000_000
+
+
 def uses(methods: DataFrame, classes: DataFrame) -> DataFrame:
     """(method_id, class_id, confidence) of methods (id, class_id, names) to page objects and API clients (id, name, kind).
 
-    A target is ambiguous if one of the names that lead to it leads to another class as well; the own class is none.
+    A target is ambiguous if one of the names that lead to it leads to another class as well; the own class is none. How many
+    classes a name leads to is counted before they are listed, so that the edges, which are as many as methods times classes of a
+    name, aren't sorted or grouped: only those to classes of several names are.
     """
-    t = classes.where(F.col("kind").isin(*COLLABORATORS)).select(F.col("id").alias("to_id"), "name")
-    named = methods.select(F.col("id").alias("method_id"), F.col("class_id").alias("own"), F.explode(F.array_distinct("names")).alias("used"))
-    hit = named.join(t, F.col("used") == F.col("name")).where("own <> to_id").withColumn("n", F.count(F.lit(1)).over(W.partitionBy("method_id", "used")))
-    grouped = hit.groupBy("method_id", F.col("to_id").alias("class_id")).agg(F.bool_or(F.col("n") > 1).alias("unclear"))
-    return grouped.select("method_id", "class_id", F.when(F.col("unclear"), "ambiguous").otherwise("exact").alias("confidence"))
+    spark = methods.sparkSession
+    t = classes.where(F.col("kind").isin(*COLLABORATORS)).select(F.col("id").alias("to_id"), "name").distinct()
+    named = methods.select(F.col("id").alias("method_id"), F.col("class_id").alias("own"), F.explode("names").alias("used")).distinct()
+    sizes = t.groupBy(F.col("name").alias("s_name")).agg(F.count(F.lit(1)).alias("size"))
+    mine = t.select(F.col("to_id").alias("o_id"), F.col("name").alias("o_name"))
+    named = named.join(sizes, F.col("used") == F.col("s_name")).join(mine, (F.col("own") == F.col("o_id")) & (F.col("used") == F.col("o_name")), "left")
+    named = named.select("method_id", "own", "used", (F.col("size") - F.col("o_id").isNotNull().cast("long") > 1).alias("unclear"))
+    names = t.groupBy(F.col("to_id").alias("n_id")).agg(F.count(F.lit(1)).alias("names"))
+    targets = t.join(names, F.col("to_id") == F.col("n_id")).select("to_id", "name", "names")
+    if t.limit(FEW_TARGETS + 1).count() <= FEW_TARGETS:  # a name may lead to very many classes: its methods stay spread over the tasks
+        named, targets = named.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "method_id", "used"), F.broadcast(targets)
+    hit = named.join(targets, F.col("used") == F.col("name")).where("own <> to_id")
+    one = hit.where("names = 1").select("method_id", F.col("to_id").alias("class_id"), "unclear")
+    more = hit.where("names > 1").groupBy("method_id", F.col("to_id").alias("class_id")).agg(F.bool_or("unclear").alias("unclear"))
+    return one.unionByName(more).select("method_id", "class_id", F.when(F.col("unclear"), "ambiguous").otherwise("exact").alias("confidence"))
 
 
 def holds(holders: DataFrame, classes: DataFrame) -> DataFrame:

@@ -154,3 +154,24 @@ def test_diagnostics(spark):
 def test_dense_ids(spark):
     df = spark.createDataFrame([(x,) for x in "hgfedcba"], "name string")
     assert [(r["name"], r["id"]) for r in structural.numbered(df, [F.col("name")]).orderBy("id").collect()] == [(x, k + 1) for k, x in enumerate("abcdefgh")]
+
+
+def test_uses_by_name_list_edges_without_sorting_them(spark, monkeypatch):
+    from stepweave.operators import structural
+
+    classes = [(k, f"n{k % 3}", "page_object" if k % 4 else "other") for k in range(40)] + [(5, "n0", "page_object"), (7, "n7", "api_client")]
+    methods = [(100 + k, k % 40, [f"n{k % 3}", "n7", "n7", "none"][: 1 + k % 4]) for k in range(50)] + [(200, 2, None), (201, 2, [])]
+    t = {(i, n) for i, n, kind in classes if kind != "other"}
+    want = {}
+    for m, own, names in methods:
+        for n in set(names or ()):
+            hit = {i for i, x in t if x == n and i != own}
+            for i in hit:
+                want[m, i] = want.get((m, i), False) or len(hit) > 1
+    want = sorted((m, i, "ambiguous" if u else "exact") for (m, i), u in want.items())
+    m, c = spark.createDataFrame(methods, "id long, class_id long, names array<string>"), spark.createDataFrame(classes, "id long, name string, kind string")
+    out = structural.uses(m, c)
+    assert sorted(map(tuple, out.collect())) == want and "ambiguous" in {w[2] for w in want} and "exact" in {w[2] for w in want}
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(structural, "FEW_TARGETS", 1)
+    assert sorted(map(tuple, structural.uses(m, c).collect())) == want
