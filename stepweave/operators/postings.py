@@ -2,7 +2,8 @@
 
 A posting says that a term stands at a place of a column of a row: (term, id, column, at). Postings of a term are kept in blocks: a row's
 block comes from a hash of its id, so that blocks are of about equal size however frequent a term is, and a block of a term is one row of a Parquet
-table that is partitioned by a hash of the term and sorted by term and block. A search reads the partitions of its own terms, the rarest
+table that is partitioned by a hash of the term and sorted by term and block. Texts are dealt by block before they are taken apart, so that a block's
+occurrences are grouped where they arise, and only the grouped ones, as an array for each of id, row, column and place, are shuffled and written. A search reads the partitions of its own terms, the rarest
 first; of the others only blocks in which the rarest occurs. The places of a phrase's terms, less each one's place in the phrase, must be the same.
 """
 
@@ -22,6 +23,8 @@ BUCKET_ROWS = 1_000_000
 LEAST_BUCKETS, MOST_BUCKETS = 16, 4096
 #: Blocks of the rarest term that are named in the scan of the others; more are met by a join.
 NAMED_BLOCKS = 1000
+#: What a posting says of an occurrence.
+FIELDS = ["id", "row", "column", "at"]
 
 
 def tokens(column: Column) -> Column:
@@ -29,14 +32,15 @@ def tokens(column: Column) -> Column:
     return F.array_remove(F.split(F.trim(folded(column)), " "), "")
 
 
-def occurrences(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(term, id, row, column, at) of df's columns; the column by its place in the list, at from 0.
+def occurrences(df: DataFrame, key: str, columns: list[str], others: list[str] | None = None) -> DataFrame:
+    """(term, id, row, column, at, others) of df's columns; the column by its place in the list, at from 0.
 
     row is a hash of a row's texts: of rows that share an id, it tells those apart whose texts differ.
     """
     each = F.explode(F.array(*[F.struct(F.lit(k).cast("int").alias("column"), tokens(F.col(c)).alias("own")) for k, c in enumerate(columns)]))
-    rows = df.select(F.col(key).alias("id"), F.hash(*[F.col(c).cast("string") for c in columns]).alias("row"), each.alias("e"))
-    return rows.select("id", "row", "e.column", F.posexplode("e.own").alias("at", "term"))
+    others = others or []
+    rows = df.select(*others, F.col(key).alias("id"), F.hash(*[F.col(c).cast("string") for c in columns]).alias("row"), each.alias("e"))
+    return rows.select(*others, "id", "row", "e.column", F.posexplode("e.own").alias("at", "term"))
 
 
 def postings(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -55,7 +59,9 @@ class SearchIndex:
     def _rows(self, terms: set[str]) -> DataFrame:
         """The blocks of some terms: reads their partitions alone."""
         wanted = sorted({_bucket(t, self.buckets) for t in terms})
-        return self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(sorted(terms)))
+        rows = self.spark.read.parquet(f"{self.path}/postings").where(F.col("bucket").isin(wanted) & F.col("term").isin(sorted(terms)))
+        # Indexes of older writers have the postings as an array of structs.
+        return rows if "postings" in rows.columns else rows.select("term", "block", "n", F.arrays_zip(*FIELDS).alias("postings"))
 
     def ids(self, query: str) -> DataFrame:
         """(id): rows that have all phrases of a query, each in one column or another; a query without a letter or digit finds none."""
@@ -115,9 +121,12 @@ def write_index(df: DataFrame, key: str, columns: list[str], path: str) -> Searc
     n = df.count()
     buckets = max(LEAST_BUCKETS, min(MOST_BUCKETS, -(-n // BUCKET_ROWS)))
     blocks = max(1, -(-n // BLOCK_ROWS))
-    rows = occurrences(df, key, columns).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    held = F.array_sort(F.collect_list(F.struct("id", "row", "column", "at"))).alias("postings")
-    grouped = rows.groupBy("term", "block").agg(held, F.count(F.lit(1)).alias("n"))
+    block = F.pmod(F.xxhash64(F.col(key)), F.lit(blocks)).cast("int")
+    dealt = df.select(F.col(key).alias("__id"), *[F.col(c).alias(f"__{k}") for k, c in enumerate(columns)], block.alias("__block")).repartition(blocks, "__block")
+    rows = occurrences(dealt, "__id", [f"__{k}" for k in range(len(columns))], ["__block"])
+    held = F.array_sort(F.collect_list(F.struct(*FIELDS))).alias("held")
+    grouped = rows.groupBy("term", F.col("__block").alias("block")).agg(held, F.count(F.lit(1)).alias("n"))
+    grouped = grouped.select("term", "block", "n", *[F.col(f"held.{c}").alias(c) for c in FIELDS])
     grouped = grouped.withColumn("bucket", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int"))
     # Partitions by term of very unequal size are split and joined by Spark as it writes.
     grouped = grouped.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "block")

@@ -61,6 +61,19 @@ def test_search_reads_the_partitions_of_its_terms_only(spark, tmp_path):
     assert [r["id"] for r in index.ids("word7-common").collect()] == [7]
 
 
+def test_postings_are_an_array_for_each_field(spark, tmp_path):
+    df = spark.createDataFrame([(k, "same words " * (k + 1)) for k in range(9)], "id long, x string")
+    index = P.write_index(df, "id", ["x"], str(tmp_path / "i"))
+    table = spark.read.parquet(f"{index.path}/postings")
+    assert set(P.FIELDS) <= set(table.columns) and table.where("term = 'same' and size(id) = n and size(at) = n and n = 45").count() == 1
+    assert sorted(r["id"] for r in index.ids("words-same").collect()) == list(range(1, 9))
+    # an index of an older writer
+    held = F.transform(F.arrays_zip(*P.FIELDS), lambda x: F.struct(*[x[c] for c in P.FIELDS]))
+    table.select("term", "block", "n", "bucket", held.alias("postings")).write.partitionBy("bucket").parquet(str(tmp_path / "old" / "postings"))
+    old = P.SearchIndex(spark, str(tmp_path / "old"), index.buckets)
+    assert sorted(r["id"] for r in old.ids("words-same").collect()) == list(range(1, 9))
+
+
 def test_postings_are_positions_in_columns(spark):
     df = spark.createDataFrame([(1, "The door, the DOOR", "door"), (2, None, "")], "id long, x string, y string")
     got = {(r["term"], r["id"], r["column"]): r["positions"] for r in P.postings(df, "id", ["x", "y"]).collect()}
