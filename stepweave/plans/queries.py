@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -626,18 +627,34 @@ def map_differences(spark, sf):
   (select count(*) from m_step t where t.scenario_id = s.id) n, (select string_agg(concat(case when keyword = 'Then:' then 'Then' else keyword end, ' ', text), '; ' order by ordinal) from m_step t where t.scenario_id = s.id) texts
   from m_scenario s join m_feature f on f.id = s.feature_id)""")
 def gherkin_files(spark, sf):
-    """A feature file for each feature of the map, parsed in the tasks: its scenarios with tags and steps."""
+    """Feature files of the map, parsed in the tasks: the scenarios with tags and steps. A feature has a file for each FILE_IDS ids of its scenarios,
+    so that a file doesn't grow with the map, and a task holds what it read from one file at a time."""
     f = Facts(spark, sf)
     keyword = F.when(F.col("keyword") == "Then:", "Then").otherwise(F.col("keyword"))
     step = F.struct("ordinal", F.concat(F.lit("    "), keyword, F.lit(" "), "text").alias("line"))
     steps = f.step.groupBy(F.col("scenario_id").alias("c_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(step)), lambda x: x["line"]), "\n").alias("body"))
-    written = f.scenario.join(steps, F.col("id") == F.col("c_id")).select("feature_id", "id", F.concat(F.coalesce(F.concat(F.lit("  "), "tags", F.lit("\n")), F.lit("")), F.lit("  Scenario: "), "name", F.lit("\n"), "body").alias("block"))
-    whole = written.groupBy("feature_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "block"))), lambda x: x["block"]), "\n\n").alias("body"))
+    written = f.scenario.join(steps, F.col("id") == F.col("c_id")).select("feature_id", F.floor(F.col("id") / FILE_IDS).alias("file"), "id", F.concat(F.coalesce(F.concat(F.lit("  "), "tags", F.lit("\n")), F.lit("")), F.lit("  Scenario: "), "name", F.lit("\n"), "body").alias("block"))
+    whole = written.groupBy("feature_id", "file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "block"))), lambda x: x["block"]), "\n\n").alias("body"))
     texts = whole.join(f.feature, F.col("feature_id") == F.col("id")).select(F.concat(F.lit("Feature: "), "name", F.lit("\n\n"), "body", F.lit("\n")).alias("content"))
-    read = texts.select(F.udf(gherkin.parse_feature, gherkin.FEATURE, useArrow=True)("content").alias("f")).select(F.col("f.name").alias("feature_name"), F.explode("f.scenarios").alias("s"))
-    own = F.array_join(F.transform("s.steps", lambda x: F.concat(x["keyword"], F.lit(" "), x["text"])), "; ")
-    number = F.regexp_extract("s.name", r"(\d+)$", 1).cast("long")
-    return read.select(number.alias("scenario_id"), F.col("s.name").alias("name"), "feature_name", F.array_join("s.tags", ",").alias("tags"), F.size("s.steps").cast("long").alias("steps"), own.alias("texts"))
+    read = texts.mapInArrow(_scenarios, "feature_name string, name string, tags array<string>, steps array<struct<keyword:string,text:string>>")
+    own = F.array_join(F.transform("steps", lambda x: F.concat(x["keyword"], F.lit(" "), x["text"])), "; ")
+    number = F.regexp_extract("name", r"(\d+)$", 1).cast("long")
+    return read.select(number.alias("scenario_id"), "name", "feature_name", F.array_join("tags", ",").alias("tags"), F.size("steps").cast("long").alias("steps"), own.alias("texts"))
+
+
+#: Ids of scenarios that one feature file spans.
+FILE_IDS = 8192
+
+
+def _scenarios(batches):
+    """A batch of scenarios for each file."""
+    names = pa.schema([("feature_name", pa.string()), ("name", pa.string()), ("tags", pa.list_(pa.string())), ("steps", pa.list_(pa.struct([("keyword", pa.string()), ("text", pa.string())])))])
+    for batch in batches:
+        for content in batch.column(0):
+            f = gherkin.parse_feature(content.as_py())
+            if f:
+                rows = [{"feature_name": f["name"], "name": s["name"], "tags": s["tags"], "steps": [{"keyword": x["keyword"], "text": x["text"]} for x in s["steps"]]} for s in f["scenarios"]]
+                yield pa.RecordBatch.from_pylist(rows, names)
 
 
 @_query("""select c.id class_id, c.name, coalesce(b.name, '') base, cast((select count(*) from m_method m where m.class_id = c.id) as bigint) methods,

@@ -20,3 +20,15 @@ def test_entry(spark):
     row = e.entry(spark).first()
     assert row["total"] == 1000 and row["bound"] + row["unbound"] == 1000
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_feature_files_do_not_grow_with_the_map(spark, sf, monkeypatch):
+    """A feature's scenarios stand in several files, each parsed and passed on by itself, with the same result."""
+    from stepweave.plans import queries as Q
+
+    want = sorted(map(tuple, Q.gherkin_files(spark, sf).collect()))
+    monkeypatch.setattr(Q, "FILE_IDS", 50)
+    assert sorted(map(tuple, Q.gherkin_files(spark, sf).collect())) == want
+    files = ["Feature: A\n\n  Scenario: S 1\n    Given x\n", "Feature: B\n\n  Scenario: S 2\n    When y\n\n  @t\n  Scenario: S 3\n    Then z\n", None]
+    got = list(Q._scenarios([Q.pa.RecordBatch.from_pydict({"content": files})]))
+    assert [[r["name"] for r in b.to_pylist()] for b in got] == [["S 1"], ["S 2", "S 3"]]
