@@ -223,6 +223,11 @@ def map_dump(m: TestMap) -> DataFrame:
 
     Maps of equal inputs have equal dumps. Rows without an id are in order of their line; nulls are empty.
     """
+    return dump_lines(m).orderBy("part", "at", "line")
+
+
+def dump_lines(m: TestMap) -> DataFrame:
+    """The rows of map_dump() in no order."""
     spark, none = m.meta.sparkSession, F.lit(0).cast("long").alias("at")
     out = spark.range(1).select(F.lit(0).alias("part"), none, F.lit(f"user_version={SCHEMA_VERSION}").alias("line"))
     meta = m.meta.where("key <> 'generated_utc'")
@@ -231,7 +236,7 @@ def map_dump(m: TestMap) -> DataFrame:
         cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns.split()]
         at = F.col("id").alias("at") if columns.startswith("id ") else none
         out = out.unionByName(m.tables()[table].select(F.lit(k).alias("part"), at, F.concat_ws("|", F.lit(word), *cells).alias("line")))
-    return out.orderBy("part", "at", "line")
+    return out
 
 
 def input_hash(files: DataFrame) -> DataFrame:

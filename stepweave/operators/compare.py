@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..testmap import TestMap
-from .analytics import DUMPED, map_dump
+from .analytics import DUMPED, dump_lines
 from .storage import Scratch, cut
 
 FANOUT = 64
@@ -27,7 +27,7 @@ def lines(m: TestMap) -> DataFrame:
     name = F.element_at(F.array(*map(F.lit, _TABLES)), F.col("part") + 1)
     placed = F.pmod(F.xxhash64("line"), F.lit(PLACES)).cast("long")
     has_id = [t for t in DUMPED if DUMPED[t][1].startswith("id ")]
-    rows = map_dump(m).select(name.alias("table"), "at", "line")
+    rows = dump_lines(m).select(name.alias("table"), "at", "line")
     return rows.withColumn("at", F.when(F.col("table").isin(has_id) & F.col("at").isNotNull(), F.col("at")).otherwise(placed))
 
 
@@ -38,9 +38,15 @@ def _sums(rows: DataFrame, *by: str) -> DataFrame:
 def _leaves(rows: DataFrame) -> DataFrame:
     """(table, range, sums) of the lowest ranges."""
     digest = F.sha2(F.col("line").cast("binary"), 256)
-    part = lambda k: F.conv(F.substring(digest, 15 * k + 1, 15), 16, 10).cast("decimal(28,0)").alias(f"h{k}")
-    one = rows.select("table", F.floor(F.col("at") / FANOUT).alias("range"), F.lit(1).cast("decimal(28,0)").alias("n"), *map(part, range(4)))
-    return _sums(one, "table", "range")
+    rows = rows.select("table", F.floor(F.col("at") / FANOUT).alias("range"), digest.alias("digest"))
+    # A part is 60 bits: its halves add up in longs, and only a range's sums are decimals.
+    part = lambda k: F.conv(F.substring("digest", 15 * k + 1, 15), 16, 10).cast("long").alias(f"h{k}")
+    rows = rows.select("table", "range", *map(part, range(4)))
+    halves = [f(F.col(f"h{k}")) for k in range(4) for f in (lambda h, k=k: F.sum(F.shiftright(h, 30)).alias(f"a{k}"), lambda h, k=k: F.sum(h.bitwiseAND((1 << 30) - 1)).alias(f"b{k}"))]
+    sums = rows.groupBy("table", "range").agg(F.count(F.lit(1)).alias("n"), *halves)
+    kind = "decimal(38,0)"
+    whole = lambda k: (F.col(f"a{k}").cast("decimal(20,0)") * F.lit(1 << 30).cast("decimal(10,0)") + F.col(f"b{k}")).cast(kind).alias(f"h{k}")
+    return sums.select("table", "range", F.col("n").cast(kind).alias("n"), *map(whole, range(4)))
 
 
 def digests(m: TestMap) -> DataFrame:
@@ -62,7 +68,7 @@ def _unlike(left: DataFrame, right: DataFrame) -> DataFrame:
 def differences(left: TestMap, right: TestMap) -> DataFrame:
     """(table, side, at, line): rows of one map alone, '-' of the left and '+' of the right; a row that one has more often, as often as it does."""
     with Scratch(left.meta.sparkSession) as scratch:
-        sides = [lines(left), lines(right)]
+        sides = [scratch.cut(lines(m)) for m in (left, right)]  # made once, read for the digests and for the rows
         levels = [[scratch.cut(_leaves(rows)) for rows in sides]]
         while any(not x.where("range not in (0, -1)").isEmpty() for x in levels[-1]):
             up = F.floor(F.col("range") / FANOUT).alias("range")

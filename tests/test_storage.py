@@ -195,3 +195,14 @@ def test_sqlite_rows_come_by_ranges_in_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
     with pytest.raises(Exception, match="no file"):
         spark.read.format("sqlite").schema("id long").options(path=path + "x", table="t").load().collect()
+
+
+def test_lines_of_a_comparison_are_made_once(spark, monkeypatch):
+    from stepweave.operators import compare
+    from stepweave.operators.storage import Scratch
+
+    made, plain = [], Scratch.cut
+    monkeypatch.setattr(Scratch, "cut", lambda self, df: made.append(df.columns) or plain(self, df))
+    left, right = (TestMap(**{t: empty(spark, t) for t in TABLES}) for _ in range(2))
+    assert compare.differences(left, right).collect() == []
+    assert made[:2] == [["table", "at", "line"]] * 2
