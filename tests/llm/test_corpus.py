@@ -275,6 +275,18 @@ def test_lines_equal_brute_force(spark):
     assert links and got == {at: first[group[x]] for at, x in occ.items()}
 
 
+def test_short_lines_that_share_a_very_common_segment_alone_are_found(spark):
+    """Every second line has four edits, one in each segment but the first, which all the lines have."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(50):
+        line = "aaaa" + "".join(rng.choice("bcdefghijklm") for _ in range(16))
+        twin = "".join(rng.choice("nopqrstuv") if at in (6, 10, 14, 18) else c for at, c in enumerate(line))
+        rows += [(2 * k, line), (2 * k + 1, twin)]
+    got = {r["doc_id"]: r["first_key"] for r in line_dedup.groups(docs_of(spark, rows), distance=None).withColumnRenamed("key", "doc_id").collect()}
+    assert got == {n: n - n % 2 for n in range(100)}
+
+
 @pytest.mark.parametrize("few", [True, False], ids=["1-4 words", "5-30 words"])
 def test_query_lines_equal_brute_force_on_edit_similarity(spark, tmp_path, few):
     rng = random.Random(7)
