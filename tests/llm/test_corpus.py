@@ -287,6 +287,20 @@ def test_short_lines_that_share_a_very_common_segment_alone_are_found(spark):
     assert got == {n: n - n % 2 for n in range(100)}
 
 
+def test_lines_of_one_component_are_not_compared_again(spark, monkeypatch):
+    """Near copies of a line meet several least members of buckets; once one has joined them, the others need no comparison."""
+    rng, rows, compared = random.Random(3), [], []
+    for k in range(60):
+        w = words(40, 5)
+        for _ in range(3):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    alike = line_dedup.alike
+    monkeypatch.setattr(line_dedup, "alike", lambda pairs, similarity: compared.append(pairs.count()) or alike(pairs, similarity))
+    got = {r["doc_id"]: r["first_key"] for r in line_dedup.groups(docs_of(spark, rows), distance=None).withColumnRenamed("key", "doc_id").collect()}
+    assert got == dict.fromkeys(range(60), 0) and sum(compared) <= 70
+
+
 @pytest.mark.parametrize("few", [True, False], ids=["1-4 words", "5-30 words"])
 def test_query_lines_equal_brute_force_on_edit_similarity(spark, tmp_path, few):
     rng = random.Random(7)
