@@ -2,8 +2,8 @@
 
 A piece of text is a sequence of bytes. In a proper merge list (each symbol is made by one merge, from
 symbols made earlier) a sequence of symbols is the encoding of its bytes exactly if each two neighbours
-are the encoding of theirs. So the last symbol of each prefix's encoding follows from shorter prefixes
-alone, and one pass from left to right finds it. Later bytes can change an earlier symbol only
+are the encoding of theirs. So one pass from left to right finds it: the longest symbol that fits the one before, with steps
+back where none does. Later bytes can change an earlier symbol only
 through a chain of merges of falling rank to the right, each of which shares bytes with the next; the longest
 such chain is the sufficient lookahead L of the list. Symbols that end L bytes before the reading
 position are stable and go out, so the memory held is a window of L plus the longest symbol.
@@ -39,7 +39,7 @@ WHITE_SPACE = [(0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680,
 ENDINGS = ["s", "t", "re", "ve", "m", "ll", "d"]
 
 WINDOW = 1 << 20  # characters that are split into pieces at once
-MEMO = 100_000  # pieces in each of two generations
+MEMO = 250_000  # pieces in each of two generations
 LONG = 64  # characters beyond which a piece is streamed and not kept
 PAIRS = 250_000
 FLUSH = 4 << 20
@@ -66,12 +66,19 @@ class Merges:
         self.bytes_of = {i: s for s, i in symbols.items()}
         # A symbol that isn't the encoding of its own bytes occurs in no encoding.
         self.ids = {s: i for s, i in symbols.items() if len(s) == 1 or self.by_rank(s) == [i]}
-        tails: dict[bytes, set[int]] = {}
-        for s in self.ids:
-            if len(s) > 2:
-                tails.setdefault(s[-3:], set()).add(len(s))
-        #: Lengths of the symbols that end with three given bytes, longest first.
-        self.lengths = {t: sorted(n, reverse=True) for t, n in tails.items()}
+        #: A tree of the symbols: steps[node + byte] is the node that follows, a multiple of 256; longest symbols on the way to a node, and the longest that a symbol starts with.
+        self.steps: dict[int, int] = {}
+        self.best: dict[int, int] = {}
+        self.shorter: dict[int, int] = {}
+        self.length = {i: len(s) for s, i in self.ids.items()}
+        for s, i in sorted(self.ids.items(), key=lambda x: len(x[0])):
+            node, shorter = 0, None
+            for b in s:
+                before, node = node, self.steps.setdefault(node + b, 256 * (len(self.steps) + 1))
+                shorter = self.best.setdefault(node, self.best.get(before))
+            if shorter is not None:
+                self.shorter[i] = shorter
+            self.best[node] = i
 
     @staticmethod
     def _sufficient_lookahead(merges: list[tuple[bytes, bytes]]) -> int:
@@ -137,48 +144,49 @@ class Merges:
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
         """Symbols of one piece that comes in chunks, each as soon as it is stable."""
-        held, base, last, edge = b"", 0, [-1], -1  # bytes from base on; last[k]: the last symbol of the first k of them
-        ids, bytes_of, fits, room = self.ids, self.bytes_of, self.neighbours, self.longest + self.lookahead
+        held, edge, room = b"", -1, 4 * (self.longest + self.lookahead)
         for chunk in chunks:
             held += chunk
-            for k in range(len(last), len(held) + 1):
-                for n in [*self.lengths.get(held[k - 3 : k] if k > 2 else b"", ()), 2, 1]:
-                    if n <= k and (t := ids.get(held[k - n : k])) is not None:
-                        before = last[k - n]
-                        if (k == n and (base == 0 or fits(edge, t))) or (k > n and before >= 0 and fits(before, t)):
-                            last.append(t)
-                            break
-                else:
-                    raise ValueError("the merge list isn't proper")
-            if len(held) > 2 * room:
-                stable = self._path(last, bytes_of, len(held) - self.lookahead)
-                if stable:
-                    yield from stable
-                    done = sum(len(bytes_of[t]) for t in stable)
-                    held, last, base, edge = held[done:], [-1, *last[done + 1 :]], base + done, stable[-1]
-        yield from self._path(last, bytes_of, len(held))
-
-    def whole(self, data: bytes) -> list[int]:
-        """stream() for a piece that fits the window."""
-        ids, fits, known, lengths, last = self.ids, self.neighbours, self.fits, self.lengths, [-1]
-        for k in range(1, len(data) + 1):
-            for n in (*lengths.get(data[k - 3 : k], ()), 2, 1) if k > 2 else (2, 1):
-                if n <= k and (t := ids.get(data[k - n : k])) is not None and (n == k or known.get(p := (last[k - n], t)) or (p not in known and fits(*p))):
-                    last.append(t)
+            if len(held) > room:
+                done, stop = 0, len(held) - self.lookahead
+                for t in self.whole(held, edge):
+                    if done + len(self.bytes_of[t]) > stop:
+                        break
+                    yield t
+                    done, edge = done + len(self.bytes_of[t]), t
+                held = held[done:]
+        yield from self.whole(held, edge)
+
+    def whole(self, data: bytes, edge: int = -1) -> list[int]:
+        """Symbols of a window that follows the symbol edge (-1: none): the longest that fits its neighbour, and where none does, a step back.
+
+        The encoding of a prefix is its only sequence of fitting symbols, so a place from which no way leads on is left for good.
+        """
+        step, best, known, fits, length, shorter = self.steps.get, self.best, self.fits.get, self.neighbours, self.length, self.shorter.get
+        out: list[int] = []
+        dead: set[int] = set()
+        at, last, size, most = 0, edge, len(data), self.longest
+        while at < size:
+            node = 0
+            for b in data[at : at + most]:
+                if (after := step(node + b)) is None:
                     break
-            else:
-                raise ValueError("the merge list isn't proper")
-        return self._path(last, self.bytes_of, len(data))
-
-    @staticmethod
-    def _path(last: list[int], bytes_of: dict[int, bytes], upto: int) -> list[int]:
-        k, out = len(last) - 1, []
-        while k > 0:
-            t = last[k]
-            if k <= upto:
-                out.append(t)
-            k -= len(bytes_of[t])
-        return out[::-1]
+                node = after
+            t = best[node]
+            while True:
+                end = at + length[t]
+                if end not in dead and (last < 0 or (fit := known((last, t))) or (fit is None and fits(last, t))):
+                    out.append(t)
+                    at, last = end, t
+                    break
+                while (t := shorter(t)) is None:
+                    if not out:
+                        raise ValueError("the merge list isn't proper")
+                    dead.add(at)
+                    t = out.pop()
+                    at -= length[t]
+                    last = out[-1] if out else edge
+        return out
 
 
 def _supported(spec: dict) -> None:

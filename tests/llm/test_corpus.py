@@ -138,6 +138,27 @@ def test_bpe_border_rule_equals_the_definition():
         assert m.whole(data) == want and list(m.stream([data[k : k + 7] for k in range(0, len(data), 7)])) == want
 
 
+def test_bpe_looks_up_symbols_rather_than_bytes():
+    """A window costs about a look at its neighbour for each symbol, not one for each byte."""
+
+    class Counted(dict):
+        seen = 0
+
+        def get(self, *key):
+            Counted.seen += 1
+            return super().get(*key)
+
+    m = bpe.vocabulary(bpe.default_path()).merges
+    data = " ".join(words(400, 5)).encode()
+    before = m.fits
+    try:
+        m.fits = Counted(before)
+        got = m.whole(data)
+    finally:
+        m.fits = before
+    assert b"".join(m.bytes_of[t] for t in got) == data and Counted.seen < len(data)
+
+
 # op 3
 
 
