@@ -235,6 +235,21 @@ def test_chains_follow_both_texts():
         assert tree.top(below) == max([v for a, v in plain if a < below], default=(float("-inf"), -1))
 
 
+def test_every_pair_that_shares_a_seed_can_be_compared(spark):
+    """Two passages in two documents each, whose parts many others quote, so that the first and last documents of their seeds are others."""
+    texts = []
+    for p in range(2):
+        passage = words(60, 700 + p, 5000)
+        texts += [" ".join([*words(30, 800 + 2 * p + k, 5000), *passage]) for k in range(2)]
+        for at in (0, 10, 20, 30):
+            texts += [" ".join([*words(30, 1000 + 100 * p + at + k, 5000), *passage[at : at + 30]]) for k in range(10)]
+    got = {tuple(r) for r in substring_dedup.shared_passages(docs_of(spark, list(enumerate(texts))), every=True).select("doc_id", "start", "end", "other", "other_start", "other_end").collect()}
+    got = {r if r[0] < r[3] else (*r[3:], *r[:3]) for r in got}
+    h = [hashes(t.split()) for t in texts]
+    want = {(a, *x[:2], b, *x[2:4]) for b in range(len(h)) for a in range(b) for x in substring_dedup.passages(h[a], h[b])}
+    assert got == want and {(0, 1), (42, 43)} <= {(r[0], r[3]) for r in want}
+
+
 # op 4
 
 
