@@ -183,6 +183,36 @@ def test_exact_passages_equal_a_plain_finder(spark):
     assert want and {x for r in got for x in (r["doc_id"], r["other"])} == want
 
 
+def test_pairs_are_not_made_for_each_of_their_seeds(spark, monkeypatch):
+    """Near copies share many seeds: their group of documents is listed once, in as many rounds as the texts ask for."""
+    base = words(600, 77, 10**6)
+    rows = [(k, " ".join(base[:300] + words(40, 300 + k, 10**6) + base[300:])) for k in range(6)]
+    seeds = substring_dedup._seeds(docs_of(spark, rows), "text").select(F.explode("seeds").alias("s")).groupBy("s").count().where("count > 1").count()
+    made = []
+    monkeypatch.setattr(substring_dedup.F, "sort_array", lambda c: made.append(c) or F.array_sort(c))
+    pairs = substring_dedup._pairs(docs_of(spark, rows), "text")
+    assert seeds > 50 and made and pairs.count() == 15
+    want = sorted(map(tuple, substring_dedup.shared_passages(docs_of(spark, rows)).collect()))
+    monkeypatch.setattr(substring_dedup, "ROUND", 1)
+    assert sorted(map(tuple, substring_dedup.shared_passages(docs_of(spark, rows)).collect())) == want and len(want) >= 15
+
+
+def test_hopeless_pairs_are_not_chained(monkeypatch):
+    """Scattered phrases of 16 words, a run of 45 words: no passage of 50 words can be there, so nothing is chained; near one, it is."""
+    chained, chains = [], substring_dedup.chains
+    monkeypatch.setattr(substring_dedup, "chains", lambda m: chained.append(len(m)) or chains(m))
+
+    def laid(sizes, seed):
+        out = []
+        for k, n in enumerate(sizes):
+            out += words(60, seed + k, 10**6) + words(n, 9000 + k, 10**6)
+        return np.array([hash(w) & (1 << 63) - 1 for w in out + words(60, seed + 99, 10**6)], np.uint64)
+
+    assert substring_dedup.passages(laid([16, 16, 45, 16], 100), laid([16, 16, 45, 16], 300)) == [] and not chained
+    got = substring_dedup.passages(laid([16, 55, 16], 100), laid([16, 55, 16], 300))
+    assert [(x[1] - x[0], x[4]) for x in got] == [(55, 1.0)] and chained
+
+
 # op 5
 
 
