@@ -126,17 +126,19 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     rows = docs.select(F.col(key).alias("__key"), F.col(source).alias("source"), size_of(F.col(text)).alias("size"), *[F.col(c).alias(f"__keep_{c}") for c in keep])
     rows = rows.withColumn("__order", F.md5(F.coalesce(F.col("__key").cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("__cell", F.substring("__order", 1, 3))
-    cells = rows.groupBy("source", "__cell").agg(F.sum("size").alias("cell_size"))
+    # Never null, so that rows and their cells are joined where the window has dealt the rows, and texts aren't shuffled again.
+    rows = rows.withColumn("__of", F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")))
+    cells = rows.groupBy("source", "__of", "__cell").agg(F.sum("size").alias("cell_size"))
     cells = cells.withColumn("cell_start", F.sum("cell_size").over(W.partitionBy("source").orderBy("__cell")) - F.col("cell_size"))
     goals = targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, share)
     goals = shares(goals, slots)
     goals = goals.withColumn("words", F.least(F.floor(F.coalesce("n_slots", F.lit(0)) * F.col("block") + 0.5).cast("long"), LAPS * F.col("source_size")))
     plan = ["n_slots", "block", "slots", "first_point", "end_point"]
     goals = goals.select(F.col("source").alias("g_source"), "source_size", "target", "words", *plan)
-    known = cells.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("source").alias("c_source"), F.col("__cell").alias("c_cell"), "cell_start", "source_size", "target", "words", *plan)
-    inside = W.partitionBy("source", "__cell").orderBy("__order", "__key", "size").rowsBetween(W.unboundedPreceding, 0)
+    known = cells.join(goals, F.col("source").eqNullSafe(F.col("g_source"))).select(F.col("__of").alias("c_of"), F.col("__cell").alias("c_cell"), "cell_start", "source_size", "target", "words", *plan)
+    inside = W.partitionBy("__of", "__cell").orderBy("__order", "__key", "size").rowsBetween(W.unboundedPreceding, 0)
     placed = rows.withColumn("__end", F.sum("size").over(inside))
-    placed = placed.join(known, (F.col("__cell") == F.col("c_cell")) & F.col("source").eqNullSafe(F.col("c_source")))
+    placed = placed.join(known, (F.col("__of") == F.col("c_of")) & (F.col("__cell") == F.col("c_cell")))
     start = F.col("cell_start") + F.col("__end") - F.col("size")
     lap = lambda upto: F.greatest(F.lit(0), F.least(F.col("size"), upto - start))
     first, second = F.least(F.col("words"), F.col("source_size")), F.greatest(F.lit(0), F.col("words") - F.col("source_size"))

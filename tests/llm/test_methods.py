@@ -363,6 +363,16 @@ def test_slots_equal_the_listed_schedule(spark):
     assert own == listed and sorted(own.values()) == list(range(n))
 
 
+def test_texts_are_shuffled_once_for_their_places(spark):
+    """Rows stay where the window has dealt them when their cells are joined; an empty source isn't the null one."""
+    rows = [(k, "one two three " * (k % 5 + 1), "en", (None, "", "n", "s")[k % 4]) for k in range(80)]
+    got = mixing.mix(docs_of(spark, rows), keep=["text"])
+    assert {r["source_size"] for r in got.where("doc_id % 4 < 2").collect()} == {sum(3 * (k % 5 + 1) for k in range(n, 80, 4)) for n in (0, 1)}
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    by_cell = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "__cell" in line]
+    assert by_cell and not [line for line in by_cell if "isnull(source" in line]
+
+
 def test_the_mix_is_in_the_order_of_its_slots(spark):
     rows = [(k, " ".join(["w"] * (3 + k % 20)), "en", "abc"[k % 3]) for k in range(300)]
     df = docs_of(spark, rows)
