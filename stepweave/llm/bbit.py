@@ -7,7 +7,8 @@ less what agrees by chance (2^-BITS of the rest), and pairs are dropped where so
 with odds below TOLERANCE. All links are confirmed on the full sets.
 
 Every bucket's members first meet its least member: each member is compared with the best estimated of its candidates, then with the
-others that it isn't yet connected with. What then is left, members of one bucket in different components, meets in blocks, where packed signatures
+others that it isn't yet connected with. What then is left, members of one bucket in different components, meets as pairs, each once for all its buckets,
+if the bucket has at most SMALL, or else in blocks, where packed signatures
 are compared in arrays and only pairs of components that aren't yet connected are confirmed. So no row is made for each pair of a
 group, while no pair that shares a band is passed over but those that are already connected. At the threshold of 0.85 a pair shares
 none of 32 bands of 6 values with odds of 3e-7.
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, shared_folder, table
+from .common import checked_broadcast, cut, few, shared_folder, table
 from .graph import components, shared_items
 from .jaccard_join import _slices, all_pairs
 from .shingles import mix
@@ -43,6 +44,9 @@ BANDS, ROWS = 32, 6
 BITS = 2
 TOLERANCE = 1e-9
 BLOCK = 1024
+SMALL = 16  # members of a bucket up to which its pairs are rows
+#: Pairs of a task that are estimated, and pairs or rows of buckets of which the full sets are compared.
+ESTIMATED, COMPARED = 1 << 17, 1 << 11
 _VALUES = BANDS * ROWS
 _rng = np.random.default_rng(12)
 _A = _rng.integers(0, 1 << 31, _VALUES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -157,8 +161,8 @@ def texts_of(docs: DataFrame, text: str, sigs: DataFrame) -> DataFrame:
     return docs.sparkSession.read.parquet(path)
 
 
-def estimated(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
-    """(u, v, matches) of the pairs (u, v) whose estimate doesn't rule a link out. bits: (sig, bits)."""
+def estimated(pairs: DataFrame, bits: DataFrame, percent: int, rows: int) -> DataFrame:
+    """(u, v, matches) of the pairs (u, v), `rows` at most, whose estimate doesn't rule a link out. bits: (sig, bits)."""
     least = least_matches(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,11 +173,11 @@ def estimated(pairs: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
 
     of = lambda c: bits.select(F.col("sig").alias(f"{c}_sig"), F.col("bits").alias(f"{c}_bits"))
     both = pairs.join(of("u"), F.col("u") == F.col("u_sig")).join(of("v"), F.col("v") == F.col("v_sig"))
-    return both.select("u", "v", "u_bits", "v_bits").mapInArrow(run, "u long, v long, matches long")
+    return few(both.select("u", "v", "u_bits", "v_bits"), rows, ESTIMATED).mapInArrow(run, "u long, v long, matches long")
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) that the full sets confirm."""
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, rows: int) -> DataFrame:
+    """The pairs (u, v), `rows` at most, that the full sets confirm."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
@@ -190,18 +194,23 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
     of = lambda c: texts.select(F.col("sig").alias(f"{c}_sig"), F.col("text").alias(f"{c}_text"))
     both = pairs.join(of("u"), F.col("u") == F.col("u_sig")).join(of("v"), F.col("v") == F.col("v_sig"))
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
+    return few(both.select("u", "v", "u_text", "v_text"), rows, COMPARED).mapInArrow(run, "u long, v long")
 
 
 def bucket_links(percent: int) -> Callable[[pa.Table], pa.Table]:
-    """For a task that holds two blocks of a bucket: links (u, v) enough to connect all that are similar and not yet in one group."""
+    """For a task that holds two blocks of a bucket: links (u, v) enough to connect all that are similar and not yet in one group.
+
+    A pair is looked at in the first of its shared bands only. There it has met as a star or as a pair of a small bucket, is in one group, or meets in this bucket.
+    """
     least = least_matches(percent)
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("item")
         own, item, group = (rows[c].to_numpy() for c in ("own", "item", "group"))
         bits = np.frombuffer(b"".join(rows["bits"].to_pylist()), np.uint64).reshape(len(item), -1)
-        low, high = rows["low"][0].as_py(), rows["high"][0].as_py()
+        bands = rows["bands"].combine_chunks()
+        bands = (pa.concat_arrays(bands.chunks) if isinstance(bands, pa.ChunkedArray) else bands).flatten().to_numpy().reshape(len(item), -1)
+        low, high, bucket = (rows[c][0].as_py() for c in ("low", "high", "component"))
         a = np.flatnonzero(own == low)
         b = a if low == high else np.flatnonzero(own == high)
         root = dict(zip(group.tolist(), group.tolist(), strict=True))
@@ -223,8 +232,11 @@ def bucket_links(percent: int) -> Callable[[pa.Table], pa.Table]:
             part = a[s : s + 64]
             n = agreeing(bits[part][:, None, :], bits[b][None, :, :])
             x, y = np.nonzero((n >= least) & (group[part][:, None] != group[b][None, :]))
-            for k in np.argsort(-n[x, y], kind="stable").tolist():
-                i, j = int(part[x[k]]), int(b[y[k]])
+            i_all, j_all, n = part[x], b[y], n[x, y]
+            keep = (bands[i_all, (bands[i_all] == bands[j_all]).argmax(1)] == bucket) & ((i_all < j_all) | (low != high))
+            i_all, j_all, n = i_all[keep], j_all[keep], n[keep]
+            for k in np.argsort(-n, kind="stable").tolist():
+                i, j = int(i_all[k]), int(j_all[k])
                 p, q = top(int(group[i])), top(int(group[j]))
                 if p != q and linked(set_of(i), set_of(j), percent):
                     root[p] = q
@@ -235,6 +247,11 @@ def bucket_links(percent: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (u, v) that connect what the groups (node, component) and further links connect, groups as stars."""
+    return groups.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(links)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id, kept) of each row; component_id is the least key that links lead to, kept whether it is the row's own."""
     known = features(docs, key, text)
@@ -243,24 +260,33 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     bits = classes.select("sig", "bits")
     texts = texts_of(docs, text, items.select(F.col("item").alias("sig")).distinct())
     stars = items.where("item <> lo").select(F.col("item").alias("u"), F.col("lo").alias("v")).distinct()
-    near = cut(estimated(stars, bits, percent))
-    best = cut(near.groupBy("u").agg(F.max_by("v", F.struct("matches", "v")).alias("v")))
-    links = cut(confirmed(best, texts, percent))
+    near = cut(estimated(stars, bits, percent, items.count()))
+    n_near = near.count()
+    best = cut(few(near.groupBy("u").agg(F.max_by("v", F.struct("matches", "v")).alias("v")), n_near, ESTIMATED))
+    links = cut(confirmed(best, texts, percent, n_near))
     groups = cut(components(links))
     of = lambda c: groups.select(F.col("node").alias(f"{c}_node"), F.col("component").alias(f"{c}_group"))
     rest = near.join(best, ["u", "v"], "left_anti").join(of("u"), F.col("u") == F.col("u_node"), "left").join(of("v"), F.col("v") == F.col("v_node"), "left")
     rest = cut(rest.where(F.coalesce("u_group", "u") != F.coalesce("v_group", "v")).select("u", "v"))
-    if not rest.isEmpty():
-        links = links.unionByName(cut(confirmed(rest, texts, percent)))
+    if n_rest := rest.count():
+        links = joined(groups, cut(confirmed(rest, texts, percent, n_rest)))
         groups = cut(components(links))
     members = items.where("item <> lo").join(of("i"), F.col("item") == F.col("i_node"), "left").select("bucket", "item", F.coalesce("i_group", "item").alias("group"))
-    mixed = members.groupBy(F.col("bucket").alias("m_bucket")).agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo <> hi").select("m_bucket")
+    ends = F.min("group").alias("lo"), F.max("group").alias("hi"), F.count("*").alias("size")
+    mixed = members.groupBy(F.col("bucket").alias("m_bucket")).agg(*ends).where("lo <> hi").select("m_bucket", "size")
     members = cut(members.join(mixed, F.col("bucket") == F.col("m_bucket")).drop("m_bucket"))
-    if not members.isEmpty():
-        full = members.join(bits, F.col("item") == F.col("sig")).drop("sig").join(texts, F.col("item") == F.col("sig"))
-        met = all_pairs(full.select(F.col("bucket").alias("component"), "item", "group", "bits", "text"), BLOCK)
-        met = met.select("component", "low", "high", "own", "item", "group", "bits", "text")
-        links = links.unionByName(cut(met.groupBy("component", "low", "high").applyInArrow(bucket_links(percent), "u long, v long")))
+    n_members = members.count()
+    small, members = members.where(F.col("size") <= SMALL), members.where(F.col("size") > SMALL).drop("size")
+    if n_members:
+        other = small.select(F.col("bucket").alias("o_bucket"), F.col("item").alias("other"), F.col("group").alias("o_group"))
+        met = small.join(other, (F.col("bucket") == F.col("o_bucket")) & (F.col("item") > F.col("other")) & (F.col("group") != F.col("o_group")))
+        met = cut(estimated(met.select(F.col("item").alias("u"), F.col("other").alias("v")).distinct(), bits, percent, n_members * SMALL // 2))
+        paired = cut(confirmed(met, texts, percent, met.count()))
+        full = members.join(classes.select("sig", "bits", "bands"), F.col("item") == F.col("sig")).drop("sig").join(texts, F.col("item") == F.col("sig"))
+        met = all_pairs(full.select(F.col("bucket").alias("component"), "item", "group", "bits", "bands", "text"), BLOCK)
+        met = met.select("component", "low", "high", "own", "item", "group", "bits", "bands", "text")
+        found = met.groupBy("component", "low", "high").applyInArrow(bucket_links(percent), "u long, v long")
+        links = joined(groups, paired.unionByName(cut(few(found, n_members, COMPARED))))
         groups = cut(components(links))
     named = classes.select("sig", "least").join(groups, F.col("sig") == F.col("node"), "left").select(F.col("sig").alias("k_sig"), "least", F.coalesce("component", "sig").alias("component"))
     tops = named.groupBy(F.col("component").alias("top")).agg(F.min("least").alias("component_id"))

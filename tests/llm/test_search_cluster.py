@@ -198,6 +198,35 @@ def test_blocks_of_buckets_link_what_stars_leave(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == near_copies(docs)
 
 
+def test_a_pair_of_several_buckets_is_confirmed_in_the_first(monkeypatch):
+    """Two texts that agree in all packed values but aren't similar share two bands: one comparison, not two for each bucket."""
+    import pyarrow as pa
+
+    compared, linked = [], bbit.linked
+    monkeypatch.setattr(bbit, "linked", lambda a, b, percent: compared.append(1) or linked(a, b, percent))
+    bits = np.zeros(bbit._VALUES * bbit.BITS // 64, np.uint64).tobytes()
+    for bucket in (7, 8):
+        rows = {"component": [bucket] * 2, "low": [0] * 2, "high": [0] * 2, "own": [0] * 2, "item": [1, 2], "group": [1, 2], "bits": [bits] * 2, "bands": [[7, 8]] * 2, "text": ["a b c d e", "f g h i j"]}
+        assert bbit.bucket_links(85)(pa.table(rows)).num_rows == 0
+    assert len(compared) == 1
+
+
+def test_small_frames_take_few_tasks(spark):
+    """Components of a few links don't take a task for each shuffle partition."""
+    from stepweave.llm import graph
+
+    adaptive, parts = (spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        got = graph.components(spark.createDataFrame([(k + 1, k) for k in range(20)], "u long, v long"))
+        assert {tuple(r) for r in got.collect()} == {(k, 0) for k in range(21)}
+        assert got.where("node <> component").rdd.getNumPartitions() < 60  # 40 of the roots and few of the edges; 80 before
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_estimate_corrects_for_chance():
     rng = np.random.default_rng(2)
     for share in (0.3, 0.85):
