@@ -1,6 +1,7 @@
 """The corpus operators against brute-force versions and on odd inputs."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -337,6 +338,24 @@ def test_lines_of_one_component_are_not_compared_again(spark, monkeypatch):
     assert got == dict.fromkeys(range(60), 0) and sum(compared) <= 70
 
 
+def test_lines_leave_places_alone_on_disk(spark, monkeypatch, tmp_path):
+    """The result is read from the places; the written lines are gone by then. Parts of the buckets give what all give at once."""
+    rng, rows = random.Random(4), []
+    for k in range(40):
+        w = words(rng.randint(8, 40), k % 9)
+        w[rng.randrange(len(w))] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    got = {}
+    for parts in (1, 2):
+        folder = str(tmp_path / f"scratch{parts}")
+        monkeypatch.setattr(line_dedup, "HALVES", parts, raising=False)
+        monkeypatch.setattr(line_dedup, "shared_folder", lambda spark, folder=folder: folder)
+        found = line_dedup.groups(docs_of(spark, rows), distance=None).withColumnRenamed("key", "doc_id")
+        assert os.listdir(folder) == ["places"]
+        got[parts] = {r["doc_id"]: r["first_key"] for r in found.collect()}
+    assert got[1] == got[2] and len(got[1]) == 40 and len(set(got[1].values())) < 40
+
+
 @pytest.mark.parametrize("few", [True, False], ids=["1-4 words", "5-30 words"])
 def test_query_lines_equal_brute_force_on_edit_similarity(spark, tmp_path, few):
     rng = random.Random(7)
