@@ -356,6 +356,15 @@ def test_lines_leave_places_alone_on_disk(spark, monkeypatch, tmp_path):
     assert got[1] == got[2] and len(got[1]) == 40 and len(set(got[1].values())) < 40
 
 
+def test_buckets_are_shuffled_once_and_leave_fitting_pairs_alone(spark):
+    """A bucket's least line meets the others where they were dealt; of unlike lengths, or with one value in common, nothing is written."""
+    lines = [(1, 60, 0, *[7] * 8), (2, 61, 0, *[7] * 8), (3, 90, 0, *[7] * 8), (4, 60, 0, 7, *range(100, 107)), (5, 60, 1, *[7] * 8), (6, 60, 0, 7, 7, *range(200, 206))]
+    values = spark.createDataFrame(lines, "item long, mark int, kind int, " + ", ".join(f"v{k} long" for k in range(8)))
+    met = line_dedup.meetings(line_dedup.value_keys(values), 0.8)
+    assert met._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in met.collect()} == {(2, 1, 8), (6, 1, 2)}
+
+
 @pytest.mark.parametrize("few", [True, False], ids=["1-4 words", "5-30 words"])
 def test_query_lines_equal_brute_force_on_edit_similarity(spark, tmp_path, few):
     rng = random.Random(7)
