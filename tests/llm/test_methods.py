@@ -213,6 +213,22 @@ def test_hopeless_pairs_are_not_chained(monkeypatch):
     assert [(x[1] - x[0], x[4]) for x in got] == [(55, 1.0)] and chained
 
 
+def test_the_shorter_text_of_a_pair_is_looked_at_first_and_stray_matches_are_not_aligned(monkeypatch):
+    """A long text's words are hashed and sorted once for all its pairs; a phrase repeated inside a found passage starts no alignment."""
+    looked, shared = [], substring_dedup.Words.shared
+    monkeypatch.setattr(substring_dedup.Words, "shared", lambda self, other, k: looked.append(len(self.h)) or shared(self, other, k))
+    h = lambda w: np.array([int(hashlib.sha256(x.encode()).hexdigest()[:15], 16) for x in w], np.uint64)
+    long_, short = h(words(900, 1, 10**6)), h(words(80, 2, 10**6))
+    for a, b in ((long_, short), (short, long_)):
+        looked.clear()
+        assert substring_dedup.passages(a, b) == [] and looked == [80]
+    phrase, aligned, align = words(6, 3, 10**6), [], substring_dedup.align
+    monkeypatch.setattr(substring_dedup, "align", lambda *a, **k: aligned.append(1) or align(*a, **k))
+    text = h([x for k in range(6) for x in words(40, 10 + k, 10**6) + phrase])
+    got = substring_dedup.passages(text, text.copy())
+    assert [x[:4] for x in got] == [(0, len(text), 0, len(text))] and len(aligned) == 1
+
+
 # op 5
 
 
